@@ -6,16 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, media
-from sparkwarden.llm.common import read
+from sparkwarden.llm import bpe, fingerprint, media, mixing, sharding, url_filter
+from sparkwarden.llm.common import read, utf8, word_count
 
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), BPE_VOCABULARY, keep_ids=False)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = utf8(F.col("text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    out = sharding.shard(docs, 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.fingerprints(read(spark, sf_dir, "documents"))
     code = F.sha2(F.to_json(F.struct("time_codes", "pair_codes")), 256)
@@ -23,9 +39,17 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op6_bpe": op6_bpe,
+    "op7_sharding": op7_sharding,
+    "op8_fingerprints": op8_fingerprints,
     "op9_media": op9_media,
+    "op10_url_filter": op10_url_filter,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, fingerprint, media, mixing, sharding, url_filter
-from sparkwarden.llm.common import read, utf8, word_count
+from sparkwarden.llm import bpe, fingerprint, language_id, media, mixing, quality, sharding, url_filter
+from sparkwarden.llm.common import held_out, read, utf8, word_count
 
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -17,6 +17,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = language_id.identify(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), language_id.fit(docs))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = quality.score(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), quality.fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), BPE_VOCABULARY, keep_ids=False)
 
@@ -45,6 +57,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op8_fingerprints": op8_fingerprints,

@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, fingerprint, language_id, media, mixing, quality, sharding, url_filter
+from sparkwarden.llm import bpe, fingerprint, language_id, media, minhash, mixing, quality, sharding, url_filter
 from sparkwarden.llm.common import held_out, read, utf8, word_count
 
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -56,6 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, fingerprint, language_id, media, minhash, mixing, quality, sharding, url_filter
+from sparkwarden.llm import bpe, fingerprint, language_id, media, minhash, mixing, quality, sharding, token_counts, url_filter
 from sparkwarden.llm.common import held_out, read, utf8, word_count
 
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+COUNT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each text and of its edited form: the first words put again before its middle, a character deleted
+    three quarters in, and a sentence put at the end."""
+    n, text = F.coalesce(F.char_length("text"), F.lit(0)), F.coalesce("text", F.lit(""))
+    edit = lambda a, b, new: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), new.alias("new"))
+    edits = F.array(
+        edit(F.floor(n / 2), F.floor(n / 2), F.substring(text, 1, 40)),
+        edit(F.floor(n * 3 / 4), F.floor(n * 3 / 4) + 1, F.lit("")),
+        edit(n + 40, n + 40, F.lit(" It ends here.")),
+    )
+    docs = read(spark, sf_dir, "documents").withColumn("edits", edits)
+    return token_counts.count_edits(docs, COUNT_RANKS, public_tokenizers.PATTERN)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = language_id.identify(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), language_id.fit(docs))
@@ -62,6 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
+    "op3_token_counts": op3_token_counts,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,

@@ -12,23 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import bpe, language_id, minhash, mixing, quality
-from sparkwarden.llm.common import free_name, materialize, read, shared_dir, word_count
+from sparkwarden.llm.common import materialize, read, shared_dir, word_count
 from sparkwarden.llm.queries import BPE_VOCABULARY
 
 
+def _as_one(docs: DataFrame, *more) -> DataFrame:
+    """docs with each row as one column, so that names of an operator's columns cannot clash with it."""
+    return docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
 def _columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in names])
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models know; those without letters, or unlike all languages, go."""
-    return _columns(language_id.identify(docs, language_id.fit(docs)).filter(~F.col("rejected")), docs.columns)
+    return language_id.identify(_as_one(docs, "text"), language_id.fit(docs)).filter(~F.col("rejected")).select("row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be of quality 1."""
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return _columns(quality.score(docs, model).filter("predicted = 1"), docs.columns)
+    return quality.score(_as_one(docs, "text"), model).filter("predicted = 1").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +52,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    size = free_name(docs, "size")
-    mixed = mixing.mix(docs.withColumn(size, word_count(F.col("text"))), size_col=size)
-    return _columns(mixing.expand(mixed), docs.columns)
+    mixed = mixing.mix(_as_one(docs, "source", word_count(F.col("text")).alias("size")))
+    return mixing.expand(mixed).select("row.*")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

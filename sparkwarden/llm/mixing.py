@@ -117,13 +117,14 @@ def draw_cells(cells: list, n_shards: int, seed: int) -> list[tuple]:
     return out
 
 
-def expand(mixed: DataFrame) -> DataFrame:
-    """The mixed corpus: a row for each copy, with its shard, in shuffled order within the shard when sorted by `mix_order`.
+def expand(mixed: DataFrame, *, size_col: str = "size") -> DataFrame:
+    """The mixed corpus: a row for each copy, with mix_copy, mix_shard and mix_order, which shuffles a shard when sorted by it
+    (columns of these names in mixed are replaced).
 
     A document of which a part is drawn is there whole if that part is half of it or more, so texts are never cut.
     """
-    cols = [c for c in mixed.columns if c not in ("source_size", "target", "taken", "copies")]
-    size = free_name(mixed, "units")
-    whole = mixed.withColumn(size, F.array_max(F.transform("copies", lambda c: c["units"])))
-    flat = whole.select(*cols, size, "taken", F.explode("copies").alias("copy"))
-    return flat.filter(F.col("copy.units") * 2 >= F.col(size)).select(*cols, F.col("copy.copy").alias("copy"), F.col("copy.shard").alias("shard"), F.xxhash64(F.lit(29), *cols, "copy.copy").alias("mix_order"))
+    cols = [c for c in mixed.columns if c not in ("source_size", "target", "taken", "copies", "mix_copy", "mix_shard", "mix_order")]
+    one = free_name(mixed, "one")
+    cols = [F.col(f"`{c}`") for c in cols]
+    flat = mixed.select(*cols, F.explode("copies").alias(one))
+    return flat.filter(F.col(f"{one}.units") * 2 >= F.coalesce(F.col(f"`{size_col}`"), F.lit(0))).select(*cols, F.col(f"{one}.copy").alias("mix_copy"), F.col(f"{one}.shard").alias("mix_shard"), F.xxhash64(F.lit(29), *cols, f"{one}.copy").alias("mix_order"))

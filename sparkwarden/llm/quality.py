@@ -131,5 +131,5 @@ def score(docs: DataFrame, model: Ranker, *, text_col: str = "text") -> DataFram
             yield pd.Series(model.score(np.stack([features("" if t is None else t) for t in batch])) if len(batch) else np.zeros(0))
 
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    out = docs.withColumn("_score", scored(F.col(text_col).cast("string"))).select(*cols, F.col("_score").alias("score"))
+    out = docs.select(*cols, scored(F.col(text_col).cast("string")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PASS).cast("int"))

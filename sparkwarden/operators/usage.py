@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwarden.session import ship_package
+
 BUCKET_SECONDS, BUCKETS = 6, 10
 
 
@@ -108,3 +114,68 @@ def with_cost(calls: DataFrame, prices: DataFrame, fallback: tuple[str, str] = (
     dec = lambda c: c.cast("decimal(18,6)")
     total = F.col("tokens_in") * F.coalesce(dec(F.col("_rate.rate_in")), dec(F.lit(fallback[0]))) + F.col("tokens_out") * F.coalesce(dec(F.col("_rate.rate_out")), dec(F.lit(fallback[1])))
     return rows.withColumn("cost_usd", F.bround(total / 1_000_000, 6).cast("decimal(12,6)")).drop("_rate")
+
+
+def admit_by_capacity(enrolments: DataFrame, seats: DataFrame) -> DataFrame:
+    """enrolments(tenant_id, at, id) with `admitted`: as many in order as seats(tenant_id, cap, used) has left."""
+    n = F.row_number().over(Window.partitionBy("tenant_id").orderBy("at", "id"))
+    rows = enrolments.withColumn("_n", n).join(seats, "tenant_id", "left")
+    return rows.withColumn("admitted", F.coalesce(F.col("_n") + F.col("used") <= F.col("cap"), F.lit(False))).drop("_n", "cap", "used")
+
+
+def _ordered(rows: DataFrame, key: str, order: list[str], make) -> DataFrame:
+    """rows with `admitted`, told by a fresh make() for each key that is asked in order; batches of a key follow each other."""
+    ship_package(rows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for batch in batches:
+            said = []
+            for k, stamp, amount in zip(batch[key], batch["_second"], batch["_amount"]):
+                if state is None or k != now:
+                    now, state = k, make()
+                said.append(state(stamp, amount))
+            yield batch.drop(columns=["_second", "_amount"]).assign(admitted=said)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_second", "_amount"))
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{fields}, admitted boolean")
+
+
+def admit_by_rate(batches: DataFrame, key: str, at: str, order: str, amount: Column, limit: int) -> DataFrame:
+    """batches with `admitted`: a whole batch is refused if it would bring its key over the limit of the last BUCKETS
+    buckets; refused batches take nothing, so each answer depends on those before it."""
+    class Sliding:
+        def __init__(self):
+            self.held, self.total = deque(), 0
+
+        def __call__(self, second: int, n: int) -> bool:
+            b = second // BUCKET_SECONDS
+            while self.held and self.held[0][0] <= b - BUCKETS:
+                self.total -= self.held.popleft()[1]
+            if self.total + n > limit:
+                return False
+            self.held.append((b, n))
+            self.total += n
+            return True
+
+    return _ordered(batches.withColumns({"_second": F.unix_timestamp(F.col(at).cast("timestamp")), "_amount": amount}), key, [at, order], Sliding)
+
+
+def admit_by_fixed_window(requests: DataFrame, key: str, at: str, order: str, limit: int, seconds: int = 60) -> DataFrame:
+    """requests with `admitted`: at most `limit` in a window that starts with the first request after the last window."""
+    class Fixed:
+        def __init__(self):
+            self.start, self.n = None, 0
+
+        def __call__(self, second: int, _: int) -> bool:
+            if self.start is None or second >= self.start + seconds:
+                self.start, self.n = second, 0
+            self.n += 1
+            return self.n <= limit
+
+    return _ordered(requests.withColumns({"_second": F.unix_timestamp(F.col(at).cast("timestamp")), "_amount": F.lit(1)}), key, [at, order], Fixed)
+
+
+def backoff_seconds(attempt: Column, jitter: Column, base: float = 1.0, most: float = 300.0) -> Column:
+    """Waiting time before a retry: doubled with each attempt up to a bound, times a jitter from 0.5 to 1.5."""
+    return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), F.least(attempt, F.lit(30)))) * (0.5 + jitter)

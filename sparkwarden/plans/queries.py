@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from sparkwarden.functions import scoring, summary, text
 from sparkwarden.operators import admin, alerts, assets, normalize, queue, usage
 from sparkwarden.rules.compile import TypedResolver, condition
-from sparkwarden.rules.content import leaf
+from sparkwarden.rules.content import RULES, leaf
 from sparkwarden.rules.detect import detect
 from sparkwarden.rules.pack import build_pack
+from sparkwarden.sources import ingest
 
 AS_OF = "2024-01-31 00:00:00"
 QUERIES: dict[str, tuple] = {}
@@ -566,6 +567,116 @@ def onboarding_first(spark, d):
     return admin.onboarding(read(spark, d, "events").select((F.col("user_id") % 5).alias("tenant_id"), F.col("ts").alias("ingest_time")))
 
 
+@query("admit_bodies", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'BODY_MALFORMED' WHEN event_id % 7 = 0 THEN 'TOO_MANY_EVENTS' ELSE 'ok' END AS said, CAST(CASE WHEN event_id % 5 = 0 THEN -1 WHEN event_id % 7 = 0 THEN 1001 ELSE event_id % 3 END AS INTEGER) AS n FROM events""")
+def admit_bodies(spark, d):
+    many = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("{}"), F.when(F.col("event_id") % 7 == 0, 1001).otherwise((F.col("event_id") % 3).cast("int"))), ","), F.lit("]"))
+    body = F.when(F.col("event_id") % 5 == 0, "nothing").otherwise(F.concat(F.lit('{"events":'), many, F.lit("}")))
+    good, bad = ingest.admit_bodies(read(spark, d, "events").select("event_id", body.alias("body")))
+    n = F.coalesce(F.size("events"), F.lit(-1)).cast("int").alias("n")
+    return good.select("event_id", F.lit("ok").alias("said"), n).unionByName(bad.select("event_id", F.col("code").alias("said"), F.when(F.col("events").isNull(), -1).otherwise(F.size("events")).cast("int").alias("n")))
+
+
+@query("envelope_roundtrip", "SELECT CASE WHEN event_id % 4 = 0 THEN '00000000-0000-0000-0000-000000000000' ELSE '00000000-0000-4000-8000-000000000001' END AS tenant_id, event_id % 4 = 0 OR event_id % 9 = 0 AS malformed, count(*) AS n FROM events GROUP BY ALL")
+def envelope_roundtrip(spark, d):
+    e = read(spark, d, "events").select(F.when(F.col("event_id") % 4 == 0, "nobody").otherwise("00000000-0000-4000-8000-000000000001").alias("tenant_id"), F.lit("t").alias("trace_id"), "event_id", "event_type")
+    sent = ingest.to_envelope(e, ["event_id", "event_type"])
+    sent = sent.withColumn("payload", F.when(F.get_json_object("payload", "$.event_id").cast("bigint") % 9 == 0, "{broken").otherwise(F.col("payload")))
+    good, bad = ingest.from_envelope(sent, "event_id bigint, event_type string")
+    rows = good.select("tenant_id", F.lit(False).alias("malformed")).unionByName(bad.select("tenant_id", F.lit(True).alias("malformed")))
+    return rows.groupBy("tenant_id", "malformed").agg(F.count("*").alias("n"))
+
+
+@query("audit_redacted", """SELECT CAST(event_id AS VARCHAR) AS target, '{"token":"[REDACTED]","n":' || user_id || '}' AS before, CASE WHEN event_id % 10 = 0 THEN '{"too_large":true}' ELSE '{"v":"' || event_type || '"}' END AS after FROM events""")
+def audit_redacted(spark, d):
+    e = read(spark, d, "events").withColumn("tenant_id", F.lit("t"))
+    before = F.to_json(F.struct(F.col("event_type").alias("token"), F.col("user_id").alias("n")))
+    after = F.when(F.col("event_id") % 10 == 0, F.repeat(F.lit("x"), F.lit(20_000))).otherwise(F.to_json(F.struct(F.col("event_type").alias("v"))))
+    return ingest.audit_rows(e, F.lit("me"), F.lit("seen"), F.col("event_id").cast("string"), before, after, F.lit(None).cast("string"), F.col("ts")).select("target", "before", "after")
+
+
+@query("simulated_detections", None)
+def simulated_detections(spark, d):
+    batches = ingest.batches_of(ingest.simulate(spark, 400, "00000000-0000-4000-8000-000000000001"), 100)
+    good, _ = normalize.split_valid(normalize.normalize(normalize.explode_batches(batches)))
+    return detect(good, build_pack("1.0.0", RULES)).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("context_document", """WITH f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders), g AS (SELECT o_custkey, list('"' || o_orderstatus || o_orderkey || '"' ORDER BY n) AS b FROM f WHERE n <= 5 AND o_orderkey % 3 <> 0 GROUP BY 1)
+ SELECT CAST(c_custkey AS VARCHAR) AS alert_id, '{"alert_id":"' || c_custkey || '","rule_id":"r","title":"' || c_mktsegment || '","severity":"low","occurrence_count":1,"events":[' || COALESCE(array_to_string(b, ','), '') || ']}' AS context FROM customer LEFT JOIN g ON o_custkey = c_custkey""")
+def context_document(spark, d):
+    o = read(spark, d, "orders")
+    links = o.select(F.lit("t").alias("tenant_id"), F.col("o_custkey").cast("string").alias("alert_id"), F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("created_at"))
+    events = o.filter("o_orderkey % 3 <> 0").select(F.lit("t").alias("tenant_id"), F.col("o_orderkey").alias("event_id"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("body"))
+    rows = read(spark, d, "customer").select(F.lit("t").alias("tenant_id"), F.col("c_custkey").cast("string").alias("alert_id"), F.lit("r").alias("rule_id"), F.col("c_mktsegment").alias("title"), F.lit("low").alias("severity"), F.lit(1).alias("occurrence_count"))
+    return queue.context_document(rows, links, events).select("alert_id", "context")
+
+
+@query("technique_text", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'sub' WHEN p_size % 3 = 1 THEN 'parent' END AS name FROM part")
+def technique_text(spark, d):
+    rows = read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "T1059.001").when(F.col("p_size") % 3 == 1, "T1059.999").otherwise("T9999").alias("technique_id"))
+    known = spark.sql("select * from values ('T1059', 'parent', 'd', 'u'), ('T1059.001', 'sub', 'd', 'u') as v(technique_id, name, description, url)")
+    return admin.with_technique_text(rows, known).select("p_partkey", F.col("text.name").alias("name"))
+
+
+@query("rule_catalog", "SELECT c_name AS rule_id, c_custkey % 11 = 0 AS runtime_disabled, c_custkey % 11 <> 0 AND c_custkey % 4 <> 0 AS enabled FROM customer ORDER BY 1")
+def rule_catalog(spark, d):
+    c = read(spark, d, "customer")
+    rules = c.select(F.col("c_name").alias("rule_id"))
+    toggles = c.filter("c_custkey % 2 = 0").select(F.lit("t1").alias("tenant_id"), F.col("c_name").alias("rule_id"), (F.col("c_custkey") % 4 != 0).alias("enabled"))
+    return admin.rule_catalog(rules, c.filter("c_custkey % 11 = 0").select(F.col("c_name").alias("rule_id")), toggles, "t1")
+
+
+@query("registry_gaps", "SELECT s_name AS table_name FROM supplier WHERE s_suppkey % 3 <> 0")
+def registry_gaps(spark, d):
+    t = read(spark, d, "supplier").select(F.lit("x").alias("table_schema"), F.col("s_name").alias("table_name"), "s_suppkey")
+    return admin.registry_gaps(t, t.filter("s_suppkey % 3 = 0").select("table_schema", "table_name")).select("table_name")
+
+
+@query("credential_valid", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1998-06-01') OR (o_orderpriority = '1-URGENT' AND TIMESTAMP '1998-06-01' <= o_orderdate + INTERVAL 24 HOUR)")
+def credential_valid(spark, d):
+    at = F.col("o_orderdate").cast("timestamp")
+    rows = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "O", at).alias("used_at"), at.alias("expires_at"), F.when(F.col("o_orderpriority") == "1-URGENT", at).alias("renewed_at"))
+    return admin.credential_valid(rows, "1998-06-01 00:00:00").select("o_orderkey")
+
+
+@query("tenant_gate", "SELECT c_custkey, COALESCE(CASE WHEN c_acctbal < 0 THEN 'TENANT_ABUSE_FROZEN' WHEN c_mktsegment = 'BUILDING' THEN 'TENANT_FROZEN' WHEN c_mktsegment = 'MACHINERY' THEN 'TENANT_PURGED' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'TENANT_NOT_ACTIVE' END, 'ok') AS gate FROM customer")
+def tenant_gate(spark, d):
+    seg = F.col("c_mktsegment")
+    status = F.when(seg == "BUILDING", "frozen").when(seg == "MACHINERY", "purged").when(seg == "HOUSEHOLD", "provisioning").otherwise("active")
+    return read(spark, d, "customer").select("c_custkey", F.coalesce(admin.tenant_gate(status, F.col("c_acctbal") < 0), F.lit("ok")).alias("gate"))
+
+
+@query("capacity_admission", "SELECT o_orderkey, n + o_custkey % 4 <= 6 AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")
+def capacity_admission(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("tenant_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))
+    seats = o.select("tenant_id").distinct().withColumns({"cap": F.lit(6), "used": F.col("tenant_id") % 4})
+    return usage.admit_by_capacity(o, seats).select(F.col("id").alias("o_orderkey"), "admitted")
+
+
+@query("rate_admission", None)
+def rate_admission(spark, d):
+    e = read(spark, d, "events").select("event_type", "ts", "event_id", (F.col("user_id") % 7).alias("n"))
+    return usage.admit_by_rate(e, "event_type", "ts", "event_id", F.col("n"), 9).select("event_id", "admitted")
+
+
+@query("fixed_window_admission", None)
+def fixed_window_admission(spark, d):
+    e = read(spark, d, "events").select("event_type", "ts", "event_id")
+    return usage.admit_by_fixed_window(e, "event_type", "ts", "event_id", 3, 600).select("event_id", "admitted")
+
+
+@query("retry_backoff", "SELECT event_id, round(least(300.0, 1.0 * pow(2, least(event_id % 12, 30))) * (0.5 + (user_id % 10) / 10.0), 6) AS wait FROM events")
+def retry_backoff(spark, d):
+    return read(spark, d, "events").select("event_id", F.round(usage.backoff_seconds(F.col("event_id") % 12, (F.col("user_id") % 10) / 10.0), 6).alias("wait"))
+
+
+@query("alert_view", "SELECT CAST(o_orderkey AS VARCHAR) AS alert_id, o_orderpriority AS rule, lower(o_orderstatus) AS state FROM orders")
+def alert_view(spark, d):
+    null = F.lit(None).cast("string")
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("alert_id"), F.lower("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("rule_id"), F.lit("1").alias("rule_version"), F.lit("t").alias("title"), F.lit("low").alias("severity"), null.alias("entity_hostname"), null.alias("entity_user"), F.lit(1).alias("occurrence_count"), F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"), F.lit(1).alias("priority_score"))
+    return queue.alert_view(rows).select("alert_id", F.col("rule.id").alias("rule"), "state")
+
+
 # ---- text checks, filters and sets ---------------------------------------------------------------------------------
 
 @query("validate_summary", """SELECT conv_id, turn, list_contains(e, 'length') AS too_long, list_contains(e, 'format') AS bad_format, lines FROM (SELECT conv_id, turn, len(string_split(text, chr(10))) AS lines,

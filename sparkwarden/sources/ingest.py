@@ -47,12 +47,13 @@ def from_envelope(messages: DataFrame, payload_schema: str) -> tuple[DataFrame,
 
 
 def store_events(events: DataFrame, path: str) -> DataFrame:
-    """Append events that the store does not have, by tenant and month; returns what was new. Each micro-batch reads only
-    the keys of the partitions it writes to."""
+    """Append events that the store does not have, by tenant and month; returns what was new. Only the keys of the months
+    that the batch writes to are read."""
     spark = events.sparkSession
     keyed = events.withColumn("month", month_of(F.col("event_time"))).dropDuplicates(["tenant_id", "month", "doc_id"])
     try:
-        stored = spark.read.parquet(path).select("tenant_id", "month", "doc_id")
+        months = [r.month for r in keyed.select("month").distinct().collect()]  # a batch spans a few
+        stored = spark.read.parquet(path).filter(F.col("month").cast("string").isin(months)).select("tenant_id", F.col("month").cast("string").alias("month"), "doc_id")
     except Exception as missing:  # the first batch of all
         if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
             raise

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import scoring, summary, text
-from sparkwarden.operators import admin, alerts, assets, normalize, queue, usage
+from sparkwarden.operators import admin, alerts, assets, normalize, queue, triage, usage
 from sparkwarden.rules.compile import TypedResolver, condition
 from sparkwarden.rules.content import RULES, leaf
 from sparkwarden.rules.detect import detect
@@ -611,6 +611,14 @@ def context_document(spark, d):
     return queue.context_document(rows, links, events).select("alert_id", "context")
 
 
+@query("triage_outcomes", f"WITH {SESSIONS} SELECT tenant_id, 'ok' AS outcome, severity AS ai_severity, count(*) AS n FROM al GROUP BY ALL")
+def triage_outcomes(spark, d):
+    rows = alerts.alerts(hits(spark, d))
+    links = alerts.alert_events(hits(spark, d))
+    events = hits(spark, d).select("tenant_id", "event_id", F.to_json(F.struct("rule_id", "entity_key")).alias("body"))
+    return triage.triage(rows.withColumn("entity_hostname", F.lit(None).cast("string")), links, events).groupBy("tenant_id", "outcome", "ai_severity").agg(F.count("*").alias("n"))
+
+
 @query("technique_text", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'sub' WHEN p_size % 3 = 1 THEN 'parent' END AS name FROM part")
 def technique_text(spark, d):
     rows = read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "T1059.001").when(F.col("p_size") % 3 == 1, "T1059.999").otherwise("T9999").alias("technique_id"))

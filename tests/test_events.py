@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden import schema
 from sparkwarden.functions import scoring, summary, text
-from sparkwarden.operators import admin, alerts, assets, normalize, queue, usage
+from sparkwarden.operators import admin, alerts, assets, normalize, queue, triage, usage
 from sparkwarden.sources import ingest
 
 T0 = datetime(2026, 7, 8, 10, 0, 0)
@@ -232,3 +232,17 @@ def test_buffer_and_simulator(spark, tmp_path):
     assert sorted(map(str, sim.collect())) == sorted(map(str, ingest.simulate(spark, 400, TENANT).collect())) and sim.filter("body like '%-enc%' or body like '%203.0.113.9%' or body like '%account_locked%'").count() == 10
     log = ingest.audit_rows(spark.range(1).withColumn("tenant_id", F.lit("t")), F.lit("me"), F.lit("x"), F.lit("y"), F.lit('{"token":"a"}'), F.lit("z" * 20_000), F.lit(None).cast("string"), F.lit(T0)).first()
     assert log.before == '{"token":"[REDACTED]"}' and log.after == '{"too_large":true}'
+
+
+def test_triage_tries_twice_and_keeps_to_the_budget(spark):
+    rows = [(f"t{k % 2}", f"a{k}", "r", "title", "high", 1, T0 + timedelta(minutes=k), "fin-laptop-07", "sam", "none") for k in range(4)]
+    df = spark.createDataFrame(rows, "tenant_id string, alert_id string, rule_id string, title string, severity string, occurrence_count int, last_seen timestamp, entity_hostname string, entity_user string, agent_status string")
+    links = spark.createDataFrame([("t0", "a0", "e1", T0)], "tenant_id string, alert_id string, event_id string, created_at timestamp")
+    bodies = spark.createDataFrame([("t0", "e1", "{}")], "tenant_id string, event_id string, body string")
+    bad = lambda context: F.lit("not json")
+    lower = lambda context: F.to_json(F.struct(F.lit(GOOD).alias("summary"), F.lit("low").alias("ai_severity")))
+    said = lambda **k: {r.alert_id: r.outcome for r in triage.triage(df, links, bodies, **k).collect()}
+    assert set(said().values()) == {"ok"} and set(said(scorer=bad).values()) == {"invalid"} and set(said(scorer=bad, again=lower).values()) == {"ok"}
+    assert said(daily_tokens=1) == {"a0": "ok", "a1": "ok", "a2": "over_budget", "a3": "over_budget"}
+    done = {r.alert_id: r for r in triage.apply_triage(df, triage.triage(df, links, bodies, scorer=lower)).collect()}
+    assert done["a0"].priority_score == 59 and done["a0"].summary == GOOD and done["a0"].priority_inputs.ai_effective == "medium"

@@ -19,6 +19,9 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+#: Rows of an Arrow batch: texts can be long, and Spark's default of 10,000 rows of them fills a worker's memory.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
 _SHIPPED: set[str] = set()
 
 
@@ -30,7 +33,10 @@ def build_session(app: str = "sparkwarden", **settings: str) -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever they run; once for each application."""
+    """Let Python workers import this package, wherever they run, once for each application; and bound their batches,
+    unless the session has set a size of its own."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

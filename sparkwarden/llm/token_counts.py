@@ -43,7 +43,7 @@ class Counter:
         try:
             return [known[p] for p in pieces]
         except KeyError:
-            new = set(pieces) - known.keys()
+            new = {p for p in pieces if p not in known}
             if len(known) + len(new) > KEPT:
                 known.clear()
                 new = set(pieces)

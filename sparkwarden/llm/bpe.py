@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.normalizers import NFC
 
+from sparkwarden.llm.common import release_memory
 from sparkwarden.session import ship_package
 
 #: White space as the vocabulary's normalizer sees it.
 SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Distinct words a worker remembers before it starts over.
-WORDS_KEPT = 250_000
-PAIRS_KEPT = 400_000
-CHUNK_WORDS = 200_000
+WORDS_KEPT = 100_000
+PAIRS_KEPT = 100_000
+CHUNK_WORDS = 50_000
 
 
 def byte_symbols() -> list[str]:
@@ -222,5 +223,7 @@ def encode(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", tex
             out["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
             out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
             yield pd.DataFrame(out)
+            del batch, texts, ids, decoded, out
+        release_memory()
 
     return docs.mapInPandas(run, f"doc_id {kind}, n_tokens long, {extra}ids_sha256 string, decoded_sha256 string")

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.llm.common import release_memory
 from sparkwarden.session import ship_package
 
 BLOCK = 576
@@ -105,6 +106,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
+        release_memory()
 
     return docs.mapInPandas(
         run,

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import materialize
+from sparkwarden.llm.common import materialize, release_memory
 from sparkwarden.llm.components import components
 from sparkwarden.session import ship_package
 
@@ -38,7 +38,7 @@ SHINGLE = 5
 PERCENT = 75
 HALF, WIDTH = 20, 3
 #: Bytes hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SMALL_GROUP = 24
 BLOCK_FEW, BLOCK_MANY = 128, 512
 #: Most ids that are broadcast; more are joined by shuffle.
@@ -161,6 +161,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets],
                 "tuples": [tuples(s) if len(s) else np.zeros(0, np.int64) for s in sets],
             })
+            del batch, sets
+        release_memory()
 
     return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key string, tuples array<long>")
 
@@ -173,6 +175,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = shingle_sets(["" if t is None else t for t in batch["text"]])
             yield pd.DataFrame({"node": batch["doc_id"], "n": [len(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+            del batch, sets
+        release_memory()
 
     return docs.mapInPandas(run, "node long, n long, shingles array<long>")
 

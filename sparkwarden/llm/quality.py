@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import held_out
+from sparkwarden.llm.common import held_out, release_memory
 from sparkwarden.session import ship_package
 
 SAMPLE_DOCS = 6_000
@@ -129,6 +129,7 @@ def score(docs: DataFrame, model: Ranker, *, text_col: str = "text") -> DataFram
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(model.score(np.stack([features("" if t is None else t) for t in batch])) if len(batch) else np.zeros(0))
+        release_memory()
 
     cols = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.select(*cols, scored(F.col(text_col).cast("string")).alias("score"))

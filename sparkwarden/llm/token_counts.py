@@ -22,11 +22,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.llm.common import release_memory
 from sparkwarden.session import ship_package
 
 LEAF = 64
 #: Pre-tokens whose counts a worker remembers before it starts over.
-KEPT = 400_000
+KEPT = 100_000
 
 
 class Counter:
@@ -170,5 +171,6 @@ def count_edits(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
             out = pd.DataFrame(rows, columns=["n_tokens", "n_tokens_edited", "n_counted", "n_recounted"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
+        release_memory()
 
     return docs.mapInPandas(run, f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_counted long, n_recounted long")

@@ -1,16 +1,17 @@
 """URL filtering: fixed host and path rules first, then association rules over URL tokens.
 
-FP-growth mines token combinations of labelled URLs that go with a label; rules below the least support or confidence
-are dropped, and so is a rule that a shorter one with at least its confidence implies. An inverted index holds each
-rule under the rarest of its tokens; a URL meets the rules of its tokens there and those are checked in full. The
-surest rule wins (confidence, support, length, then block before allow); without one the default verdict holds.
+FP-growth's conditional bases give the token combinations of labelled URLs that go with a label; rules below the least
+support or confidence are dropped, and so is a rule that a shorter one with at least its confidence implies. An inverted
+index holds each rule under the rarest of its tokens; a URL meets the rules of its tokens there and those are checked in
+full. The surest rule wins (confidence, support, length, then block before allow); without one the default verdict holds.
 
 A null URL, or one without ://, has empty host and path and gets the default. Equal URLs have equal verdicts.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
-MAX_TOKENS = 16
-#: More mined rules than this are joined by shuffle, not broadcast.
+#: More mined rules, or sets to grow, than this are joined by shuffle, not broadcast.
 MOST_BROADCAST = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,23 +64,52 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """labelled(tokens, label) -> rules(tokens, label, confidence, support). Only tokens frequent enough to be in a rule
-    are kept in a transaction, the MAX_TOKENS least frequent of them."""
+    """labelled(tokens, label) -> rules(tokens, label, confidence, support), counted over whole transactions.
+
+    Conditional bases of all sets of one length grow together. A set grows only where a longer rule can be surer than all
+    shorter ones: it has fewer transactions than each of its parts, and a label with the least support in some, not all,
+    of them. All that is left out is implied by a shorter rule, so tokens that go together do not multiply sets."""
     total = labelled.count()
     none = labelled.sparkSession.range(0).select(F.array().cast("array<string>").alias("tokens"), F.lit("").alias("label"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
     if not total:
         return none
-    single = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= min_support * total)
+    least = math.ceil(min_support * total)
+    single = labelled.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().filter(F.col("count") >= least)
     kept = {r["t"]: r["count"] for r in single.collect()}  # at most tokens-a-URL / min_support
     if not kept:
         return none
-    rank = {t: k for k, t in enumerate(sorted(kept, key=lambda t: (kept[t], t)))}
-    order = F.array(*[F.lit(t) for t in rank])
-    items = F.slice(F.filter(order, lambda t: F.array_contains("tokens", t)), 1, MAX_TOKENS)
-    rows = labelled.select(F.concat(items, F.array(F.concat(F.lit("label="), "label"))).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows).associationRules
-    found = found.filter(F.col("consequent")[0].startswith("label=") & ~F.exists("antecedent", lambda t: t.startswith("label=")))
-    found = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 1000).alias("label"), "confidence", "support")
+    order = F.array(*[F.lit(t) for t in sorted(kept, key=lambda t: (kept[t], t))])
+    items = F.filter(F.transform(order, lambda t, k: F.when(F.array_contains("tokens", t), k)), lambda k: k.isNotNull())
+    base = materialize(labelled.select(items.alias("items"), "label").groupBy("items", "label").agg(F.count("*").alias("w")), "url-sets")
+    base = base.select(F.explode("items").alias("t"), "items", "label", "w").withColumn("set", F.array("t"))
+    bound, found, length = None, none, 0
+    while True:
+        length += 1
+        base = base.select("set", F.filter("items", lambda k: k > F.col("t")).alias("items"), "label", "w")
+        base = materialize(base.groupBy("set", "items", "label").agg(F.sum("w").alias("w")), "url-bases")
+        level = base.groupBy("set", "label").agg(F.sum("w").alias("w")).groupBy("set").agg(F.sum("w").alias("n"), F.collect_list(F.struct("label", "w")).alias("by"))
+        if bound is not None:
+            level = level.join(bound, "set").filter(F.col("n") < F.col("of_part")).drop("of_part")
+        grows = F.exists("by", lambda x: x["label"].isNotNull() & (x["w"] >= least) & (x["w"] < F.col("n"))) & (F.col("n") < total)
+        level = materialize(level.withColumn("grows", grows), "url-level")
+        said = level.select("set", "n", F.explode("by").alias("x")).select("set", "x.label", (F.col("x.w") / F.col("n")).alias("confidence"), (F.col("x.w") / F.lit(total)).alias("support"), "x.w")
+        said = said.filter(F.col("label").isNotNull() & (F.col("w") >= least) & (F.col("confidence") >= min_confidence))
+        found = found.union(said.select(F.array_sort(F.transform("set", lambda k: F.get(order, k))), "label", "confidence", "support"))
+        alive = level.filter("grows").select("set", "n")
+        # A set grows by what its siblings end in, where all its parts grow too.
+        last, stem = F.element_at("set", -1), F.slice("set", 1, length - 1)
+        pairs = alive.select(stem.alias("stem"), "set").join(alive.select(stem.alias("stem"), last.alias("t")), "stem").filter(last < F.col("t"))
+        longer = pairs.select(F.concat("set", F.array("t")).alias("longer"))
+        part = longer.select("longer", F.explode("longer").alias("out")).select("longer", F.array_except("longer", F.array("out")).alias("set"))
+        whole = part.join(alive, "set").groupBy("longer").agg(F.count("*").alias("parts"), F.min("n").alias("of_part")).filter(F.col("parts") == length + 1)
+        bound = materialize(whole.select(F.col("longer").alias("set"), "of_part"), "url-longer")
+        if bound.isEmpty():
+            break
+        ends = bound.groupBy(F.slice("set", 1, length).alias("set")).agg(F.collect_list(last).alias("ends"))
+        if bound.count() <= MOST_BROADCAST:
+            ends = F.broadcast(ends)
+        base = base.join(ends, "set").withColumn("items", F.array_intersect("items", "ends"))
+        base = base.withColumn("t", F.explode("items")).withColumn("set", F.concat("set", F.array("t")))
     found = materialize(found, "url-rules")
     # A longer rule says nothing new where a shorter one is as sure: the index keeps the shorter.
     part = found.select(F.explode("tokens").alias("out"), "tokens", "label", "confidence").select(F.array_except("tokens", F.array("out")).alias("tokens"), F.col("tokens").alias("longer"), "label", F.col("confidence").alias("of_longer"))

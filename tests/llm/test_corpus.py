@@ -253,6 +253,32 @@ def test_mined_rules_against_brute_force(spark):
     assert got == kept and (("a", "d"), "block") in got
 
 
+def test_mined_rules_count_whole_transactions_of_many_tokens(spark):
+    """Long sets of tokens that go together, and deep chains of them: no token is left out of a count."""
+    rng = random.Random(6)
+    rows, fillers, depth = [], [f"f{k:02d}" for k in range(24)], [f"p{k:02d}" for k in range(30)]
+    for _ in range(600):
+        t = {rng.choice("ab"), rng.choice("cd")} | ({"wide"} if rng.random() < 0.8 else set())
+        long = rng.random() < 0.4
+        t |= set(fillers) if long else set(depth[: rng.randrange(30)])
+        rows.append((sorted(t), "block" if {"a", "wide"} <= t and (long or rng.random() < 0.6) or rng.random() < 0.1 else "allow"))
+    mined = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), min_support=0.02, min_confidence=0.7).collect()
+    got = {(tuple(r.tokens), r.label): (round(r.confidence, 9), round(r.support, 9)) for r in mined}
+    assert len(got) == len(mined)
+    from itertools import combinations
+    every, names = {}, ["a", "b", "c", "d", "f00", "f23", "wide", "p05", "p06", "p07"]  # by brute force over these
+    for k in (1, 2, 3, 4):
+        for tokens in combinations(sorted(names), k):
+            of = [label for t, label in rows if set(tokens) <= set(t)]
+            for label in ("block", "allow"):
+                if of.count(label) / 600 >= 0.02 and of.count(label) / len(of) >= 0.7:
+                    every[tokens, label] = (round(of.count(label) / len(of), 9), round(of.count(label) / 600, 9))
+    less = lambda t, out: tuple(x for x in t if x != out)
+    kept = {k: v for k, v in every.items() if not any(len(k[0]) > 1 and every.get((less(k[0], out), k[1]), (-1,))[0] >= v[0] for out in k[0])}
+    assert {k: v for k, v in got.items() if set(k[0]) <= set(names)} == {k: v for k, v in kept.items()}
+    assert (("a", "f00", "wide"), "block") in got and (("a", "f23", "wide"), "block") in got and not any({"f00", "f23"} <= set(t) for t, _ in got)
+
+
 def test_shared_folder_is_the_clusters(spark):
     df = materialize(spark.range(3), "probe")
     assert df.inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir")) and df.select(word_count(F.lit("a b"))).first()[0] == 2

@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
-A text becomes a row of small integers: letters in lower case by rank in an alphabet learned from the sample, all other
-letters as one, and each run of anything else as one boundary. A model holds, for each order, its n-grams' hashes sorted
+A text becomes a row of 16-bit integers: letters in lower case by rank among all letters of the sample, letters that are
+not in it as one, and each run of anything else as one boundary. A model holds, for each order, its n-grams' hashes sorted
 in an array, beside discounted weights and back-off factors; the highest order counts occurrences, lower orders count
 distinct left neighbours. The language of least cross-entropy per character wins; its score is the softmax of the
 entropies over a fitted temperature.
@@ -10,27 +10,32 @@ Rejection is calibrated on the sample: a text is `rejected` where it has no lett
 what texts of its length have in the winning language (mean and spread fitted against 1 / sqrt(length), REJECT_SPREADS
 of them). A text without letters, or null, is `und` with score 0.
 
-The sample is bounded: SAMPLE_DOCS documents for each language in expectation, chosen by hash of the id, whole texts.
+Every language is learned. The sample is bounded: SAMPLE_DOCS documents for each language in expectation, chosen by hash
+of the id, whole texts. Models are fitted in a task for each language; the driver holds their arrays. Only where a sample
+has more than MOST_LETTERS letters, about half of all that Unicode has, do the rarest of them share a symbol.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import free_name, held_out, release_memory
+from sparkwarden.llm.common import free_name, held_out, materialize, release_memory
 from sparkwarden.session import ship_package
 
 ORDER = 4
 SAMPLE_DOCS = 600
-MOST_LANGUAGES = 64
-ALPHABET = 120
+#: Bits of a symbol, so that an n-gram of ORDER fits 64; and the letters that have one of their own.
+BITS = 16
+MOST_LETTERS = (1 << BITS) - 2
+TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
 REJECT_SPREADS = 16.0
 #: Characters scored at once.
 CHUNK = 500_000
@@ -53,18 +58,18 @@ def points(text: str) -> np.ndarray:
 def symbols(text: str, rank: np.ndarray) -> np.ndarray:
     """0 for a boundary, at both ends too; 1 for a letter outside the alphabet; from 2 the letters of the alphabet."""
     cp = points(text)
-    got = np.where(letters()[cp], rank[cp], 0).astype(np.uint8)
-    got = np.concatenate([[0], got, [0]]).astype(np.uint8)
+    got = np.where(letters()[cp], rank[cp], 0).astype(np.uint16)
+    got = np.concatenate([[0], got, [0]]).astype(np.uint16)
     keep = np.ones(len(got), bool)
     keep[1:] = (got[1:] != 0) | (got[:-1] != 0)
     return got[keep]
 
 
-def grams(x: np.ndarray, n: int) -> np.ndarray:
-    """Codes of the n-grams of x: one byte a symbol, so an n-gram's hash is exact up to order 8."""
+def grams(x: np.ndarray, n: int, bits: int = 8) -> np.ndarray:
+    """Codes of the n-grams of x: so many bits a symbol, so an n-gram's hash is exact up to order 64 / bits."""
     out = np.zeros(max(0, len(x) - n + 1), np.uint64)
     for k in range(n):
-        out = (out << np.uint64(8)) | x[k : len(x) - n + 1 + k].astype(np.uint64)
+        out = (out << np.uint64(bits)) | x[k : len(x) - n + 1 + k].astype(np.uint64)
     return out
 
 
@@ -72,23 +77,43 @@ def counts(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(codes) if codes else np.zeros(0, np.uint64), return_counts=True)
 
 
+def text_counts(texts: Iterable[str], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the texts' n-grams of the highest order."""
+    pad, held, size, codes, seen = np.zeros(ORDER - 2, np.uint16), [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add() -> None:
+        nonlocal held, size, codes, seen
+        new, often = counts(held)
+        codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+        seen = np.bincount(at, np.concatenate([seen, often]), len(codes)).astype(np.int64)
+        held, size = [], 0
+
+    for text in texts:
+        held.append(grams(np.concatenate([pad, symbols(text, rank)]), ORDER, BITS))
+        size += len(held[-1])
+        if size >= CHUNK:
+            add()
+    add()
+    return codes, seen
+
+
 class KneserNey:
     """One language's model: by order, sorted hashes with discounted weight, and sorted histories with back-off factor."""
 
-    def __init__(self, top: np.ndarray, seen: np.ndarray, order: int, n_symbols: int):
-        self.order, self.floor = order, 1.0 / n_symbols
+    def __init__(self, top: np.ndarray, seen: np.ndarray, order: int, n_symbols: int, bits: int = 8):
+        self.order, self.floor, self.bits = order, 1.0 / n_symbols, bits
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         self.histories: list[tuple[np.ndarray, np.ndarray]] = []
         levels = {order: (top, seen.astype(np.float64))}
         for n in range(order - 1, 0, -1):  # how many distinct symbols stand to the left
-            mask = np.uint64((1 << (8 * n)) - 1)
+            mask = np.uint64((1 << (bits * n)) - 1)
             codes, left = np.unique(levels[n + 1][0] & mask, return_counts=True)
             levels[n] = (codes, left.astype(np.float64))
         for n in range(1, order + 1):
             codes, c = levels[n]
             once, twice = (c == 1).sum(), (c == 2).sum()
             discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.1
-            heads, at = np.unique(codes >> np.uint64(8), return_inverse=True)
+            heads, at = np.unique(codes >> np.uint64(bits), return_inverse=True)
             total, kinds = np.bincount(at, c, len(heads)), np.bincount(at, minlength=len(heads))
             self.grams.append((codes, np.maximum(c - discount, 0) / total[at]))
             self.histories.append((heads, discount * kinds / total))
@@ -105,8 +130,8 @@ class KneserNey:
         """Of the last symbol of each n-gram of the highest order, given the others."""
         p = np.full(len(codes), self.floor)
         for n in range(1, self.order + 1):
-            own = codes & np.uint64((1 << (8 * n)) - 1)
-            p = self._look(self.grams[n - 1], own, 0.0) + self._look(self.histories[n - 1], own >> np.uint64(8), 1.0) * p
+            own = codes & np.uint64((1 << (self.bits * n)) - 1)
+            p = self._look(self.grams[n - 1], own, 0.0) + self._look(self.histories[n - 1], own >> np.uint64(self.bits), 1.0) * p
         return np.log(p)
 
 
@@ -136,7 +161,7 @@ class Identifier:
                 x = symbols(text[start : start + CHUNK], self.rank)
                 if x.any():
                     length[i] += len(x) - 1
-                    code = grams(np.concatenate([np.zeros(ORDER - 2, np.uint8), x]), ORDER)
+                    code = grams(np.concatenate([np.zeros(ORDER - 2, np.uint16), x]), ORDER, BITS)
                     held.append(code)
                     owners.append(i)
                     size += len(code)
@@ -145,13 +170,20 @@ class Identifier:
         flush()
         return total / np.maximum(length, 1)[:, None], length
 
-    def calibrate(self, entropies: np.ndarray, length: np.ndarray, truth: np.ndarray) -> None:
-        rows = np.arange(len(truth))
-        best = min((0.01, 0.02, 0.05, 0.1, 0.2, 0.4), key=lambda t: -np.log(np.maximum(self.softmax(entropies, t)[rows, truth], 1e-12)).mean()) if len(truth) else 0.05
-        self.temperature = best
+    def measure(self, texts: list[str], truth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts with letters: their places, entropies in their own languages, lengths, and losses at each temperature."""
+        entropies, length = self.entropies(texts)
+        at = np.flatnonzero(length > 0)
+        entropies, length, truth, rows = entropies[at], length[at], truth[at], np.arange(len(at))
+        losses = [-np.log(np.maximum(self.softmax(entropies, t)[rows, truth], 1e-12)) for t in TEMPERATURES]
+        return at, entropies[rows, truth], length, np.array(losses).T
+
+    def calibrate(self, truth: np.ndarray, entropy: np.ndarray, length: np.ndarray, losses: np.ndarray) -> None:
+        if len(truth):
+            self.temperature = TEMPERATURES[int(losses.mean(axis=0).argmin())]
         for k in range(len(self.languages)):
             own = truth == k
-            h, root = entropies[own, k], 1 / np.sqrt(length[own])
+            h, root = entropy[own], 1 / np.sqrt(length[own])
             if len(h) > 2 and np.ptp(root) > 0:
                 slope, base = np.polyfit(root, h, 1)
                 spread = np.sqrt(np.mean(((h - base - slope * root) / (0.05 + root)) ** 2))
@@ -183,27 +215,48 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Identifier:
     """Learn from text and non-null lang of the documents that are not held out."""
     ship_package(docs.sparkSession)
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / n))) for lang, n in sizes.items()], F.lit(0.0))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
     at = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.filter(at < share).select("lang", "text").toPandas().sort_values(["lang", "text"])  # sample_docs for each language
-    texts, truth = list(sample["text"]), [*sample["lang"]]
-    languages = sorted(set(truth))
-    seen, often = counts([points(t) for t in texts]) if texts else (np.zeros(0, np.uint32), np.zeros(0))
-    own = letters()[seen.astype(np.int64)]
-    alphabet = seen[own][np.argsort(-often[own], kind="stable")][:ALPHABET].astype(np.int64)
-    rank = np.ones(0x110000, np.uint8)
-    rank[alphabet] = np.arange(2, 2 + len(alphabet))
-    pad = np.zeros(ORDER - 2, np.uint8)
-    models = []
-    for lang in languages:
-        codes = [grams(np.concatenate([pad, symbols(t, rank)]), ORDER) for t, w in zip(texts, truth) if w == lang]
-        models.append(KneserNey(*counts(codes), ORDER, len(alphabet) + 2))
-    found = Identifier(languages, rank, models)
-    if texts:
-        entropies, length = found.entropies(texts)
-        some = length > 0
-        found.calibrate(entropies[some], length[some], np.array([languages.index(w) for w in truth])[some])
+    share = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n"))
+    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang").filter(at < share).select("lang", "text")
+    sample = materialize(sample, "language-sample")  # sample_docs for each language
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cp, often = counts([points(t) for t in batch["text"]])
+            own = letters()[cp.astype(np.int64)]
+            yield pd.DataFrame({"letter": cp[own].astype(np.int32), "n": often[own].astype(np.int64)})
+        release_memory()
+
+    found = sample.select("text").mapInPandas(seen, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n")).collect()  # letters of Unicode at most
+    alphabet = [r["letter"] for r in sorted(found, key=lambda r: (-r["n"], r["letter"]))][:MOST_LETTERS]
+    rank = np.ones(0x110000, np.uint16)
+    rank[np.array(alphabet, np.int64)] = np.arange(2, 2 + len(alphabet))
+    n_symbols = len(alphabet) + 2
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        model = KneserNey(*text_counts(group["text"], rank), ORDER, n_symbols, BITS)
+        out = pd.DataFrame({"lang": group["lang"].iloc[:1], "model": [pickle.dumps(model)]})
+        del model
+        release_memory()
+        return out
+
+    learned = {r["lang"]: pickle.loads(r["model"]) for r in sample.groupBy("lang").applyInPandas(learn, "lang string, model binary").toLocalIterator()}
+    languages = sorted(learned)
+    found = Identifier(languages, rank, [learned[lang] for lang in languages])
+    if languages:
+        place = {lang: k for k, lang in enumerate(languages)}
+
+        def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                truth = batch["lang"].map(place).to_numpy()
+                at, entropy, length, losses = found.measure(list(batch["text"]), truth)
+                yield pd.DataFrame({"truth": truth[at], "entropy": entropy, "length": length, "losses": list(losses)})
+            release_memory()
+
+        got = sample.mapInPandas(measured, "truth int, entropy double, length double, losses array<double>").toPandas().sort_values(["truth", "length", "entropy"])
+        losses = np.array(list(got["losses"])).reshape(len(got), len(TEMPERATURES))
+        found.calibrate(got["truth"].to_numpy(), got["entropy"].to_numpy(), got["length"].to_numpy(), losses)
     return found
 
 

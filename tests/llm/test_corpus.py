@@ -174,6 +174,22 @@ def test_language_id_on_held_out_rows(spark):
     assert [r.lang_pred for r in language_id.identify(odd, empty).collect()] == ["und"] * 6
 
 
+def test_all_languages_and_letters_are_learned(spark):
+    """70 languages, more letters than a byte holds; pairs of languages differ in which of two rare letters they use."""
+    rng, rows = random.Random(8), []
+    for k in range(70):
+        common = [chr(0x4E00 + 40 * (k // 2) + c) for c in range(36)]
+        own = [chr(0x9000 + 2 * k), chr(0x9001 + 2 * k)]
+        words = ["".join(rng.choice(common if rng.random() < 0.9 else own) for _ in range(4)) for _ in range(40)] if k % 2 == 0 else [w.translate({ord(a): b for a, b in zip(last, own)}) for w in words]
+        last = own
+        rows += [(1000 * k + i, " ".join(rng.choice(words) for _ in range(60)), f"l{k:02d}") for i in range(20 - k // 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 70
+    out = language_id.identify(docs.filter(held_out(F.col("doc_id"))), model).toPandas()
+    assert len(out) > 100 and (out.lang == out.lang_pred).all() and not out.rejected.any()
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 6, 4000).astype(np.uint8)

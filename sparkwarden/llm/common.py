@@ -27,11 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it again: cuts lineage, survives lost executors.
+    `options` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -53,10 +53,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = utf8(F.col("text"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = sharding.shard(docs, 8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Sizes and checksums are read from the texts of the shards, which shard() has written."""
+    out, text = sharding.shard(read(spark, sf_dir, "documents"), 8), utf8(F.col("text"))
+    size = (F.octet_length(text) + 1).cast("long")
+    return out.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

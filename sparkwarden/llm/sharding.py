@@ -50,10 +50,10 @@ def shard(df: DataFrame, n_shards: int = 8, *, seed: int = 17) -> DataFrame:
         .withColumn(sub, F.pmod(second, F.lit(n_subs)).cast("int"))
         .drop(block, first, rank, bounds)
     )
-    sent = materialize(sent, "shards")
+    in_sub = Window.partitionBy("shard", sub).orderBy(second, *cols)
+    sent = materialize(sent.withColumn("slot", F.row_number().over(in_sub)).drop(second), "shards", compression="zstd")
     by_sub = Window.partitionBy("shard").orderBy(sub)
     offsets = sent.groupBy("shard", sub).agg(F.count("*").alias(before))  # n_shards * n_subs rows at most
     offsets = offsets.withColumn(before, F.sum(before).over(by_sub) - F.col(before))
-    in_sub = Window.partitionBy("shard", sub).orderBy(second, *cols)
-    out = sent.withColumn("slot", F.row_number().over(in_sub)).join(F.broadcast(offsets), ["shard", sub])
+    out = sent.join(F.broadcast(offsets), ["shard", sub])
     return out.withColumn("slot", (F.col("slot") - 1 + F.col(before)).cast("long")).select(*cols, "shard", "slot")

@@ -1,13 +1,14 @@
 """Operators on whole corpora, against brute force or held-out accuracy."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import language_id, minhash, mixing, quality, quotas, sharding, url_filter
+from sparkwarden.llm import language_id, minhash, mixing, quality, queries, quotas, sharding, url_filter
 from sparkwarden.llm.common import held_out, materialize, word_count
 from sparkwarden.llm.components import components
 
@@ -161,6 +162,18 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0), 8).count() == 0 and sharding.shard(df.limit(3), 8).count() == 3
 
 
+def test_whole_documents_are_sharded(spark, monkeypatch):
+    made, shard = [], sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda df, *more: made.append(shard(df, *more)) or made[-1])
+    rows = queries.op7_sharding(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    shards = {(r.shard, r.slot): r for r in made[0].collect()}
+    assert Counter(tuple(r)[:-2] for r in shards.values()) == Counter(map(tuple, docs.collect())) and len(shards) == len(rows)
+    for r in rows:
+        text = (shards[r.shard, r.slot].text or "").encode()
+        assert (r.doc_id, r.size, r.text_crc32) == (shards[r.shard, r.slot].doc_id, len(text) + 1, zlib.crc32(text))
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"score": F.lit("x"), "_judged": F.lit(1)})
     model = language_id.fit(docs)

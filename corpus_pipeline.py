@@ -51,9 +51,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, in the order of the output shards, each shuffled."""
     mixed = mixing.mix(_as_one(docs, "source", word_count(F.col("text")).alias("size")))
-    return mixing.expand(mixed).select("row.*")
+    return mixing.shuffle(mixing.expand(mixed)).select("row.*")
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,3 +128,9 @@ def expand(mixed: DataFrame, *, size_col: str = "size") -> DataFrame:
     cols = [F.col(f"`{c}`") for c in cols]
     flat = mixed.select(*cols, F.explode("copies").alias(one))
     return flat.filter(F.col(f"{one}.units") * 2 >= F.coalesce(F.col(f"`{size_col}`"), F.lit(0))).select(*cols, F.col(f"{one}.copy").alias("mix_copy"), F.col(f"{one}.shard").alias("mix_shard"), F.xxhash64(F.lit(29), *cols, f"{one}.copy").alias("mix_order"))
+
+
+def shuffle(expanded: DataFrame) -> DataFrame:
+    """expanded, dealt by shard and by runs of mix_order within it, and put in that order."""
+    dealt = expanded.repartition("mix_shard", F.shiftright("mix_order", 56))  # 256 runs of a shard, so none is one task
+    return dealt.sortWithinPartitions("mix_shard", "mix_order")

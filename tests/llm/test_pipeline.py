@@ -58,6 +58,14 @@ def test_mix_meets_targets(stages):
     assert max(Counter(r.doc_id for r in after).values()) <= 3 and {tuple(r) for r in after} <= {tuple(r) for r in before}
 
 
+def test_mixed_documents_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"word {i}", f"src{i % 3}") for i in range(1500)], "doc_id long, text string, source string")
+    rows = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    share = [n / len(rows) for n in Counter(r.source for r in rows).values()]
+    same = sum(a.source == b.source for a, b in zip(rows, rows[1:])) / len(rows)
+    assert abs(same - sum(p * p for p in share)) < 0.08
+
+
 def test_texts_are_encoded(stages):
     before, after = stages["bpe"]
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))

@@ -49,6 +49,28 @@ def test_bpe_on_random_words():
         assert (np.frombuffer(ids, "<u4").tolist() if ids else []) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_on_each_code_point():
+    coder = bpe.TrieBpe(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    same = lambda texts: all((np.frombuffer(x, "<u4").tolist() if x else []) == y.ids for x, y in zip(coder.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False)))
+    assert all(same([f"a{c}b" for c in points[k : k + 50_000]]) for k in range(0, len(points), 50_000))
+    rng = random.Random(1)
+    some = lambda: rng.choice([chr(rng.randrange(32, 127)), chr(rng.randrange(0x300)), chr(rng.randrange(0x300, 0x370)), rng.choice(points), " ", "'s", "<|endoftext|>"])
+    assert same(["".join(some() for _ in range(rng.randrange(60))) for _ in range(3000)])
+
+
+def test_bpe_keeps_few_words(monkeypatch):
+    coder = bpe.TrieBpe(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    texts = [" ".join(f"w{'abcdefgh'[k % 8]}{'qrstuv'[k * j % 6]}x" for j in range(9)) + f" {chr(97 + k % 26) * 3} the end" for k in range(300)]
+    whole = coder.encode_batch(texts)
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 20)
+    monkeypatch.setattr(bpe, "PAIRS_KEPT", 5)
+    monkeypatch.setattr(bpe, "STEPS_KEPT", 5)
+    monkeypatch.setattr(bpe, "CHUNK_WORDS", 30)
+    assert bpe.TrieBpe(open(P.path("word_bpe_49k.json"), encoding="utf-8").read()).encode_batch(texts) == whole
+
+
 def test_media_round_trip(spark, docs):
     rows = media.fingerprints(docs, keep_media=True).collect()
     assert len(rows) == len(TEXTS)

@@ -143,15 +143,47 @@ def test_token_counts_follow_edits(spark, docs):
         assert (count(t), count(after)) in got[i]
 
 
-def test_token_tree_on_random_edits():
+@pytest.mark.parametrize("leaf", [4, 64])
+def test_token_tree_on_random_edits(monkeypatch, leaf):
+    """Totals and pre-tokens as of the whole text; only the edit's region is counted and only its leaves' paths summed."""
+    monkeypatch.setattr(token_counts, "LEAF", leaf)
     counter = token_counts.Counter(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
     rng = random.Random(7)
     parts = ["a", "B ", "  ", "\n", "12", "'s", "!", "é", "word "]
-    tree = token_counts.Tree("".join(rng.choice(parts) for _ in range(3000)), counter)
-    for _ in range(150):
-        a = rng.randrange(len(tree.text) + 1)
-        tree.replace(a, a + rng.choice([0, 1, 5, 200]), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 30]))))
-        assert tree.total == len(counter.encoding.encode_ordinary(tree.text))
+    for size in (0, 1, 3000):
+        text = "".join(rng.choice(parts) for _ in range(size))
+        tree = token_counts.Tree(text, counter)
+        for _ in range(150):
+            a = rng.randrange(-2, len(text) + 3)
+            b, new = a + rng.choice([0, 1, 5, 200]), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 30])))
+            start = max(0, min(a, len(text)))
+            text = text[:start] + new + text[max(start, min(b, len(text))) :]
+            tree.replace(a, b, new)
+            assert tree.text() == text and tree.total == len(counter.encoding.encode_ordinary(text))
+            assert [n for x in tree.leaves() for n in x.lengths] == [len(x) for x in counter.split.findall(text)]
+            assert tree.counted <= len(counter.split.findall(new)) + 8
+            nodes = 2 * tree.n_leaves - 1
+            assert (tree.root.chars, sum(x.tokens for x in tree.leaves())) == (len(text), tree.total) and tree.summed <= nodes + 2 * tree.n_leaves
+
+
+def test_edits_of_long_texts_touch_few_sums():
+    counter = token_counts.Counter(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
+    tree, rng = token_counts.Tree(" ".join(f"word{k}" for k in range(60_000)), counter), random.Random(8)
+    for _ in range(300):
+        a = rng.randrange(tree.root.chars)
+        tree.replace(a, a + rng.choice([0, 3]), "x y")
+        assert tree.counted <= 10 and tree.summed <= 60
+    for _ in range(3000):  # all in one place
+        tree.replace(200_000, 200_000, "typing ")
+    assert tree.leaf_at(200_000)[2] <= 2 * tree.n_leaves.bit_length() + 4 and tree.total == len(counter.encoding.encode_ordinary(tree.text()))
+
+
+def test_null_edits(spark):
+    rows = [(1, "ab cd", [None, (2, None, " x"), (None, 1, None)]), (2, None, None), (3, "a", [None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,new:string>>")
+    got = {r.doc_id: r for r in token_counts.count_edits(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    counter = token_counts.Counter(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
+    assert got[1].n_tokens_edited == len(counter.encoding.encode_ordinary("b x cd")) and (got[2].n_tokens_edited, got[3].n_summed) == (0, 0)
 
 
 def test_word_count(spark, docs):

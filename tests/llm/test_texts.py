@@ -100,26 +100,49 @@ def merkle(text):
     return sha("2" + "".join(sha("1" + "".join(sha("0" + p) for p in s.split("\n"))) for s in text.split("\n\n")))
 
 
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    both = lambda x, y: zip(x.split("\n"), y.split("\n"))
+    cut = lambda x: [x[k : k + fingerprint.LEAF] for k in range(0, len(x), fingerprint.LEAF)]
+    same = 0
+    for s, t in zip(a.split("\n\n"), b.split("\n\n")):
+        same += len(s) if s == t else sum(len(p) if p == q else sum(len(x) for x, y in zip(cut(p), cut(q)) if x == y) for p, q in both(s, t))
+    return same / max(len(a), len(b))
+
+
+def brute_places(a, b):
+    out, x, y = set(), a.split("\n\n"), b.split("\n\n")
+    for k in range(max(len(x), len(y))):
+        s, t = (x[k].split("\n") if k < len(x) else []), (y[k].split("\n") if k < len(y) else [])
+        out |= {(k, j) for j in range(max(len(s), len(t))) if (s[j : j + 1] or None) != (t[j : j + 1] or None)}
+    return out
+
+
 def test_fingerprints_against_brute_force(spark, docs):
-    order = sorted(TEXTS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r.tie))
     got = {}
     for r in fingerprint.fingerprints(docs).collect():
         got.setdefault(r.doc_id, []).append(r)
     assert sum(map(len, got.values())) == len(TEXTS)
-    for k, (i, text) in enumerate(order):
-        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+    for k, (i, text, _) in enumerate(order):
+        after = order[(k + 1) % len(order)].text
         q = len(text) // 4
         edited = text[: len(text) - q] + after[:q]
         r = next(r for r in got[i] if r.fingerprint == merkle(text))
         assert r.n_chars == len(text) and r.edited_fingerprint == merkle(edited) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_edited == 1 or text != edited)
+        assert abs(r.near_edited - brute_likeness(text, edited)) < 1e-9 and abs(r.near_next - brute_likeness(text, after)) < 1e-9
+        assert {tuple(x) for x in r.edited_places} == brute_places(text, edited)
     assert fingerprint.fingerprints(docs.limit(0)).count() == 0
 
 
-def test_next_document_over_many_ranges(spark):
-    rows = spark.range(0, 5000).select((F.col("id") * F.col("id") % 99991).alias("doc_id"), F.col("id").cast("string").alias("text"))
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_document_over_many_ranges(spark, kind):
+    rows = spark.range(0, 5000).select(F.when(F.col("id") > 20, F.col("id") * F.col("id") % 99991).cast(kind).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    tie = {r.text: r.tie for r in rows.select("text", F.xxhash64("text").alias("tie")).collect()}
     got = {(r.doc_id, r.text): r.next_text for r in fingerprint.with_next(rows).collect()}
-    order = sorted(got)
+    order = sorted(got, key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], tie[x[1]]))
     assert len(got) == 5000 and all(got[a] == b[1] for a, b in zip(order, order[1:] + order[:1]))
 
 

@@ -1,9 +1,11 @@
 """Documents as media: WAV bytes, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 The UTF-8 bytes of a text, padded with bytes 255 to a positive multiple of BLOCK, are the 8-bit samples of a mono WAV.
-Features come from the samples read back from that WAV: the strongest local peak of each frame's spectrum is paired
-with the other peaks of its frame and of the next frames; a pair (f1, f2, distance in frames) is one integer, stored
-beside the time code of its first peak. Null and empty texts are one block of padding; equal texts have equal values.
+Features come from the samples read back from that WAV: each of the PEAKS strongest local peaks of a frame's spectrum is
+an anchor and is paired with the weaker of them in its own frame, and with the strongest peak of each of the next REACH
+frames; a pair (f1, f2, distance in frames) is one integer, stored beside the time code of its first peak. Null and empty
+texts are one block of padding; equal texts have equal values. Repeated rows are fingerprinted each; other columns of
+docs are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from sparkwarden.session import ship_package
 BLOCK = 576
 RATE = 8000
 FRAME, HOP = 192, 96
-PEAKS, REACH = 2, 2
+PEAKS, REACH = 3, 2
 #: Power below which a local maximum is rounding noise.
 FLOOR = 1.0
 #: Frames transformed at once, so that a long text takes no more memory than a short one.
@@ -72,16 +74,17 @@ def peaks(samples: bytes) -> np.ndarray:
 
 
 def pairs(tops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Time codes and codes of the pairs of each frame's strongest peak, by time, distance and strength."""
+    """Time codes and codes of the pairs of anchors, by time, distance, and strength of the anchor and its partner."""
     n = len(tops)
     times, codes, order = [], [], []
     for d in range(min(REACH, n - 1) + 1):
-        for b in range(0 if d else 1, PEAKS):
-            first, second = tops[: n - d, 0], tops[d:, b]
-            at = np.flatnonzero((first > 0) & (second > 0))
-            times.append(at)
-            codes.append((first[at] << 12) | (second[at] << 3) | d)
-            order.append(np.full(len(at), d * PEAKS + b))
+        for a in range(PEAKS):
+            for b in (range(a + 1, PEAKS) if d == 0 else (0,)):
+                first, second = tops[: n - d, a], tops[d:, b]
+                at = np.flatnonzero((first > 0) & (second > 0))
+                times.append(at)
+                codes.append((first[at] << 12) | (second[at] << 3) | d)
+                order.append(np.full(len(at), (d * PEAKS + a) * PEAKS + b))
     t, c = np.concatenate(times), np.concatenate(codes)
     by = np.lexsort((np.concatenate(order), t))
     return t[by].astype(np.int32), c[by].astype(np.int32)

@@ -67,7 +67,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.fingerprints(read(spark, sf_dir, "documents"))
     code = F.sha2(F.to_json(F.struct("time_codes", "pair_codes")), 256)
     feature = F.concat_ws(":", F.col("n_frames").cast("string"), F.size("pair_codes").cast("string"), code)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "time_codes", "pair_codes")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

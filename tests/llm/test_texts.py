@@ -93,6 +93,23 @@ def test_media_peaks_against_a_plain_transform():
         power = np.array([abs((frame * np.exp(-2j * np.pi * f * n / media.FRAME)).sum()) for f in range(media.FRAME // 2 + 1)])
         local = [f for f in range(1, media.FRAME // 2) if power[f] > power[f - 1] and power[f] >= power[f + 1] and power[f] > media.FLOOR]
         assert tops[0] == (max(local, key=lambda f: power[f]) if local else 0)
+        strong = sorted(local, key=lambda f: -power[f])[: media.PEAKS]
+        assert [power[f] for f in tops if f] == pytest.approx([power[f] for f in strong], rel=1e-4)
+
+
+def test_media_pairs_against_brute_force(spark):
+    tops = media.peaks(media.payload("Once upon a time, some words. " * 30))
+    expected = []
+    for t, row in enumerate(tops):
+        for d in range(media.REACH + 1):
+            for a, f in enumerate(row):
+                for g in row[a + 1 :] if d == 0 else tops[t + d, :1] if t + d < len(tops) else []:
+                    if f and g:
+                        expected.append((t, int(f) * 4096 + int(g) * 8 + d))
+    times, codes = media.pairs(tops)
+    assert list(zip(times.tolist(), codes.tolist())) == expected and len(expected) > 5 * len(tops)
+    row = media.fingerprints(spark.createDataFrame([(1, "Once upon a time, some words. " * 30)], "doc_id long, text string")).first()
+    assert list(zip(row.time_codes, row.pair_codes)) == expected
 
 
 def merkle(text):

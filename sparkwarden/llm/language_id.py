@@ -6,12 +6,15 @@ in an array, beside discounted weights and back-off factors; the highest order c
 distinct left neighbours. The language of least cross-entropy per character wins; its score is the softmax of the
 entropies over a fitted temperature.
 
-Rejection is calibrated on the sample: a text is `rejected` where it has no letter, or its entropy per character is above
-what texts of its length have in the winning language (mean and spread fitted against 1 / sqrt(length), REJECT_SPREADS
-of them). A text without letters, or null, is `und` with score 0.
+Temperature and rejection are calibrated on CALIBRATION of the sample, which the models have not seen. A text is `rejected`
+where it has no letter, or its entropy per character is above what FALSE_REJECTION of the winning language's own texts
+exceed: the excess over the language's line in 1 / sqrt(length), in units that grow with it, has an exponential tail
+fitted to its highest tenth over all languages. A language with under CALIBRATED texts to calibrate on rejects none. A text without letters, or null, is `und` with score 0. Texts are scored whole, a part at a time; what
+stands before a part is carried into it.
 
 Every language is learned. The sample is bounded: SAMPLE_DOCS documents for each language in expectation, chosen by hash
-of the id, whole texts. Models are fitted in a task for each language; the driver holds their arrays. Only where a sample
+of the id, whole texts; documents with a null id, lang or text are not learned from, rows that share an id are chosen or
+left out together. Further columns of docs are not read by fit() and kept by identify(). Models are fitted in a task for each language; the driver holds their arrays. Only where a sample
 has more than MOST_LETTERS letters, about half of all that Unicode has, do the rarest of them share a symbol.
 """
 
@@ -31,12 +34,14 @@ from sparkwarden.llm.common import free_name, held_out, materialize, release_mem
 from sparkwarden.session import ship_package
 
 ORDER = 4
-SAMPLE_DOCS = 600
+SAMPLE_DOCS, CALIBRATION = 800, 0.25
 #: Bits of a symbol, so that an n-gram of ORDER fits 64; and the letters that have one of their own.
 BITS = 16
 MOST_LETTERS = (1 << BITS) - 2
 TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
-REJECT_SPREADS = 16.0
+FALSE_REJECTION, TAIL, CALIBRATED = 1e-6, 0.1, 20
+#: The unit of an excess is this and 1 / sqrt(length); and the least scale of its tail, for samples of equal texts.
+FLAT, LEAST_TAIL = 0.05, 0.1
 #: Characters scored at once.
 CHUNK = 500_000
 
@@ -55,14 +60,27 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def symbols(text: str, rank: np.ndarray) -> np.ndarray:
-    """0 for a boundary, at both ends too; 1 for a letter outside the alphabet; from 2 the letters of the alphabet."""
-    cp = points(text)
-    got = np.where(letters()[cp], rank[cp], 0).astype(np.uint16)
-    got = np.concatenate([[0], got, [0]]).astype(np.uint16)
-    keep = np.ones(len(got), bool)
-    keep[1:] = (got[1:] != 0) | (got[:-1] != 0)
-    return got[keep]
+def symbols(text: str, rank: np.ndarray) -> Iterator[np.ndarray]:
+    """A text's symbols, CHUNK characters at a time: 0 for a boundary, at the end too (and one before the text, which is
+    left out); 1 for a letter outside the alphabet; from 2 the letters of the alphabet."""
+    text, last = text.lower(), 0
+    for at in range(0, len(text), CHUNK):
+        cp = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
+        got = np.where(letters()[cp], rank[cp], 0).astype(np.uint16)
+        if at + CHUNK >= len(text):
+            got = np.append(got, np.uint16(0))
+        before = np.concatenate([[last], got[:-1]])
+        last = got[-1]
+        yield got[(got != 0) | (before != 0)]
+
+
+def gram_parts(text: str, rank: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes of a text's n-grams of the highest order, one for each symbol, a part at a time."""
+    history = np.zeros(ORDER - 1, np.uint16)
+    for x in symbols(text, rank):
+        x = np.concatenate([history, x])
+        yield grams(x, ORDER, BITS)
+        history = x[len(x) - ORDER + 1 :]
 
 
 def grams(x: np.ndarray, n: int, bits: int = 8) -> np.ndarray:
@@ -79,7 +97,7 @@ def counts(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def text_counts(texts: Iterable[str], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the texts' n-grams of the highest order."""
-    pad, held, size, codes, seen = np.zeros(ORDER - 2, np.uint16), [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size, codes, seen = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def add() -> None:
         nonlocal held, size, codes, seen
@@ -89,10 +107,11 @@ def text_counts(texts: Iterable[str], rank: np.ndarray) -> tuple[np.ndarray, np.
         held, size = [], 0
 
     for text in texts:
-        held.append(grams(np.concatenate([pad, symbols(text, rank)]), ORDER, BITS))
-        size += len(held[-1])
-        if size >= CHUNK:
-            add()
+        for part in gram_parts(text, rank):
+            held.append(part)
+            size += len(part)
+            if size >= CHUNK:
+                add()
     add()
     return codes, seen
 
@@ -140,7 +159,7 @@ class Identifier:
 
     def __init__(self, languages: list[str], rank: np.ndarray, models: list[KneserNey]):
         self.languages, self.rank, self.models = languages, rank, models
-        self.temperature, self.levels = 0.05, np.zeros((len(languages), 3))
+        self.temperature, self.levels = 0.05, np.tile([0.0, 0.0, np.inf], (len(languages), 1))
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text in each language, and each text's number of characters with letters."""
@@ -157,16 +176,13 @@ class Identifier:
             held, owners, size = [], [], 0
 
         for i, text in enumerate(texts):
-            for start in range(0, max(1, len(text)), CHUNK):
-                x = symbols(text[start : start + CHUNK], self.rank)
-                if x.any():
-                    length[i] += len(x) - 1
-                    code = grams(np.concatenate([np.zeros(ORDER - 2, np.uint16), x]), ORDER, BITS)
-                    held.append(code)
-                    owners.append(i)
-                    size += len(code)
-                    if size >= CHUNK:
-                        flush()
+            for part in gram_parts(text, self.rank):
+                length[i] += len(part)  # a text without letters has no symbol
+                held.append(part)
+                owners.append(i)
+                size += len(part)
+                if size >= CHUNK:
+                    flush()
         flush()
         return total / np.maximum(length, 1)[:, None], length
 
@@ -181,15 +197,27 @@ class Identifier:
     def calibrate(self, truth: np.ndarray, entropy: np.ndarray, length: np.ndarray, losses: np.ndarray) -> None:
         if len(truth):
             self.temperature = TEMPERATURES[int(losses.mean(axis=0).argmin())]
+        excess = np.full(len(truth), np.nan)
         for k in range(len(self.languages)):
             own = truth == k
             h, root = entropy[own], 1 / np.sqrt(length[own])
-            if len(h) > 2 and np.ptp(root) > 0:
-                slope, base = np.polyfit(root, h, 1)
-                spread = np.sqrt(np.mean(((h - base - slope * root) / (0.05 + root)) ** 2))
-            else:
-                base, slope, spread = (h.mean() if len(h) else 0.0), 0.0, 1.0
-            self.levels[k] = base, slope, max(spread, 0.1)
+            if len(h) >= CALIBRATED:
+                slope, base = np.polyfit(root, h, 1) if np.ptp(root) > 0 else (0.0, h.mean())
+                slope = max(slope, 0.0)
+                excess[own] = (h - base - slope * root) / (FLAT + root)
+                self.levels[k, :2] = base, slope
+        excess = excess[~np.isnan(excess)]
+        if len(excess):
+            start = np.quantile(excess, 1 - TAIL)
+            beyond = max(LEAST_TAIL, (excess[excess > start] - start).mean() if (excess > start).any() else 0.0)
+            enough = np.bincount(truth, minlength=len(self.languages)) >= CALIBRATED
+            self.levels[enough, 2] = start + beyond * np.log(TAIL / FALSE_REJECTION)
+
+    def excess(self, best: np.ndarray, entropy: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How far entropies are above (positive) or below what the languages' own texts of that length have."""
+        base, slope, level = self.levels[best].T
+        root = 1 / np.sqrt(np.maximum(length, 1))
+        return (entropy - base - slope * root) / (FLAT + root) - level
 
     @staticmethod
     def softmax(entropies: np.ndarray, temperature: float) -> np.ndarray:
@@ -204,9 +232,7 @@ class Identifier:
         entropies, length = self.entropies(texts)
         best, some = entropies.argmin(axis=1), length > 0
         rows = np.arange(len(texts))
-        base, slope, spread = self.levels[best].T
-        root = 1 / np.sqrt(np.maximum(length, 1))
-        rejected = ~some | (entropies[rows, best] > base + np.maximum(slope, 0) * root + REJECT_SPREADS * spread * (0.05 + root))
+        rejected = ~some | (self.excess(best, entropies[rows, best], length) > 0)
         score = np.where(some, self.softmax(entropies, self.temperature)[rows, best], 0.0)
         return [self.languages[b] if s else "und" for b, s in zip(best, some)], score, rejected
 
@@ -214,11 +240,12 @@ class Identifier:
 def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Identifier:
     """Learn from text and non-null lang of the documents that are not held out."""
     ship_package(docs.sparkSession)
-    usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
     at = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     share = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n"))
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang").filter(at < share).select("lang", "text")
+    apart = (F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30) < CALIBRATION).alias("apart")
+    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang").filter(at < share).select("lang", "text", apart)
     sample = materialize(sample, "language-sample")  # sample_docs for each language
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +268,7 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Identifier:
         release_memory()
         return out
 
-    learned = {r["lang"]: pickle.loads(r["model"]) for r in sample.groupBy("lang").applyInPandas(learn, "lang string, model binary").toLocalIterator()}
+    learned = {r["lang"]: pickle.loads(r["model"]) for r in sample.filter(~F.col("apart")).groupBy("lang").applyInPandas(learn, "lang string, model binary").toLocalIterator()}
     languages = sorted(learned)
     found = Identifier(languages, rank, [learned[lang] for lang in languages])
     if languages:
@@ -254,7 +281,8 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Identifier:
                 yield pd.DataFrame({"truth": truth[at], "entropy": entropy, "length": length, "losses": list(losses)})
             release_memory()
 
-        got = sample.mapInPandas(measured, "truth int, entropy double, length double, losses array<double>").toPandas().sort_values(["truth", "length", "entropy"])
+        known = sample.filter(F.col("apart") & F.col("lang").isin(languages)).select("lang", "text")
+        got = known.mapInPandas(measured, "truth int, entropy double, length double, losses array<double>").toPandas().sort_values(["truth", "length", "entropy"])
         losses = np.array(list(got["losses"])).reshape(len(got), len(TEMPERATURES))
         found.calibrate(got["truth"].to_numpy(), got["entropy"].to_numpy(), got["length"].to_numpy(), losses)
     return found

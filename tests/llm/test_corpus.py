@@ -269,12 +269,37 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_hashed_ngrams_of_parts_are_the_wholes(monkeypatch):
+    """Counts of words, pairs of words and trigrams in bins, by a plain count of distinct n-grams."""
+    text = "Once upon a time, once  upon\na hill: " * 40 + "日本 é"
+    whole = quality.hashed(text)
+    words = text.lower().split()
+    assert len(whole) == 512 and whole[:256] @ whole[:256] == pytest.approx(1) and whole[256:] @ whole[256:] == pytest.approx(1)
+    n = 2 * len(words) - 1
+    counts = Counter(words) + Counter(zip(words, words[1:]))
+    assert sorted(round(v * v * n) for v in whole[:256] if v) == sorted(counts.values()) or len([v for v in whole[:256] if v]) < len(counts)
+    assert sum(round(v * v * n) for v in whole[:256]) == n and max(round(v * v * n) for v in whole[:256]) >= max(counts.values())
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    assert quality.hashed(text) == pytest.approx(whole)
+    assert quality.hashed("") == pytest.approx(0) and quality.hashed(" \n") == pytest.approx(0)
+
+
+def test_quality_is_learned_from_words(spark):
+    """Texts whose surface is alike; only which words they use tells the labels."""
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+    rows = [(i, " ".join(rng.choice(names[:70] if i % 3 else names[50:]) for _ in range(80)), int(i % 3 > 0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    out = quality.score(df, quality.fit(df.drop("quality"), df.drop("text"))).filter(held_out(F.col("doc_id"))).toPandas()
+    assert (out.predicted == out.quality).mean() > 0.97
+
+
 def test_bradley_terry_finds_the_order():
     rng = np.random.default_rng(3)
     truth, x = np.array([2.0, -1.0, 0.0]), rng.normal(size=(400, 3))
     a, b = rng.integers(0, 400, (2, 4000))
     first = rng.random(4000) < 1 / (1 + np.exp(-(x[a] - x[b]) @ truth))
-    w = quality.bradley_terry(np.where(first[:, None], x[a] - x[b], x[b] - x[a]))
+    w = quality.bradley_terry(x, np.where(first, a, b), np.where(first, b, a), ridge=1e-3)
     assert np.abs(w - truth).max() < 0.25
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,7 @@ def clamp_payload(payload: Column, most: int = 65_536) -> Column:
 # Key names whose values are secret, and runs that look like encoded data.
 SECRET_KEY = r"(?i)(token|secret|password|passwd|credential|cert_key|private_key|api_key|(^|[_\-.])key(s)?([_\-.]|$))"
 BLOB, BLOB_MARK = r"[A-Za-z0-9+/=]{64,}|\b[0-9a-fA-F]{40,}\b", "[blob-removed]"
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 REDACTED, CUT = "[REDACTED]", "...[truncated]"
 
 
@@ -66,12 +69,41 @@ def redact_map(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(k.rlike(SECRET_KEY), F.lit(REDACTED)).otherwise(v))
 
 
+MAX_DEPTH = 20
+
+
 def redact_json(document: Column) -> Column:
-    """JSON text with the scalar values of secret keys hidden, at any depth."""
-    plain = r'[^"\\]*'
-    name = rf'{plain}(?:token|secret|password|passwd|credential|cert_key|private_key|api_key){plain}|(?:{plain}[_\-.])?keys?(?:[_\-.]{plain})?'
-    value = r'"(?:[^"\\]|\\.)*"|-?[0-9][^,}\]\s]*|true|false|null'
-    return F.regexp_replace(document, rf'(?i)("(?:{name})"\s*:\s*)(?:{value})', f'$1"{REDACTED}"')
+    """JSON text with whatever stands under a secret key hidden, at any depth, in compact form; null where the text is no
+    JSON object. Below MAX_DEPTH levels all is hidden. Built-in functions cannot walk a value of unknown depth, so this is
+    a vectorised UDF; it is meant for audit entries, which are few beside events."""
+    secret, hidden, deepest = re.compile(SECRET_KEY), REDACTED, MAX_DEPTH
+
+    def clean(value, depth):
+        if depth > deepest:
+            return hidden
+        if isinstance(value, dict):
+            return {k: hidden if secret.search(k) else clean(v, depth + 1) for k, v in value.items()}
+        return [clean(v, depth + 1) for v in value] if isinstance(value, list) else value
+
+    def one(text):
+        try:
+            value = json.loads(text)
+        except (TypeError, ValueError, RecursionError):
+            return None
+        return json.dumps(clean(value, 0), separators=(",", ":")) if isinstance(value, dict) else None
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return F.pandas_udf(run, "string")(document)
+
+
+def ulid(at: Column, seed: Column) -> Column:
+    """26 characters that sort by time: 48 bits of milliseconds and 80 bits of a hash of the seed, in Crockford's base 32."""
+    millis, digest = F.unix_millis(at.cast("timestamp")), F.sha2(seed.cast("string"), 256)
+    digit = lambda n, k: F.substring(F.lit(CROCKFORD), F.shiftrightunsigned(n, 5 * k).bitwiseAND(31).cast("int") + 1, F.lit(1))
+    half = lambda start: F.conv(F.substring(digest, start, 10), 16, 10).cast("bigint")
+    return F.concat(*[digit(millis, k) for k in range(9, -1, -1)], *[digit(half(start), k) for start in (1, 11) for k in range(7, -1, -1)])
 
 
 def scrub(text: Column, most: int = 512) -> Column:

@@ -65,6 +65,13 @@ def change_plan(tenants: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     return after.drop("_plan", "actor", "at"), audit
 
 
+def provision(tenants: DataFrame, known: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """Settings rows (tenant_id, key, value) that new tenants still lack; a second call finds nothing to add."""
+    pairs = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in sorted(settings.items())]
+    rows = tenants.select("tenant_id").distinct().select("tenant_id", F.explode(F.array(*pairs)).alias("_s")).select("tenant_id", "_s.*")
+    return rows.join(known.select("tenant_id", "key"), ["tenant_id", "key"], "left_anti")
+
+
 def tenant_gate(status: Column, abuse_frozen: Column) -> Column:
     """Why a tenant's data is refused, or null."""
     return F.when(abuse_frozen, "TENANT_ABUSE_FROZEN").when(status == "frozen", "TENANT_FROZEN").when(status == "purged", "TENANT_PURGED").when(status != "active", "TENANT_NOT_ACTIVE")
@@ -102,7 +109,7 @@ def purge_tenant(table: DataFrame, tenant_id: str, retain: Column | None = None)
 
 
 def latest_toggle(toggles: DataFrame) -> DataFrame:
-    return toggles.groupBy("tenant_id", "rule_id").agg(F.max_by("enabled", "updated_at").alias("enabled"))
+    return toggles.groupBy("tenant_id", "rule_id").agg(F.max_by("enabled", F.struct("updated_at", "enabled")).alias("enabled"))
 
 
 def rule_catalog(rules: DataFrame, disabled: DataFrame, toggles: DataFrame, tenant_id: str) -> DataFrame:

@@ -238,6 +238,24 @@ def with_latest_device(assets: DataFrame, devices: DataFrame) -> DataFrame:
     return assets.join(last, ["tenant_id", "asset_id"], "left")
 
 
+def _picked(names: list[str]):
+    return lambda x: F.struct(*[x[c].alias(c) for c in names])
+
+
+def asset_view(assets: DataFrame, devices: DataFrame, identities: DataFrame | None = None, merges: DataFrame | None = None) -> DataFrame:
+    """Nested form of assets: summary with the latest agent; with identities and merges, the detail of each."""
+    rows = with_latest_device(assets, devices)
+    out = ["asset_id", "state"]
+    for table, name, fields, at in ((identities, "identities", ("source", "kind", "value", "first_seen", "last_seen"), "first_seen"), (merges, "merge_audit", ("at", "rule", "actor", "details"), "at")):
+        if table is not None:
+            own = [c for c in fields if c in table.columns]
+            of = table.groupBy("tenant_id", "asset_id").agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("_at"), *[F.col(c) for c in own]))).alias(name))
+            rows = rows.join(of, ["tenant_id", "asset_id"], "left").withColumn(name, F.transform(F.coalesce(name, F.array().cast(of.schema[name].dataType)), _picked(own)))
+            out.append(name)
+    summary = [c for c in ("hostname", "os_family", "os_name", "os_version", "sources", "agent_status", "agent", "billable", "first_seen", "last_seen", "created_via", "merged_into") if c in rows.columns]
+    return rows.select("tenant_id", *out, *summary)
+
+
 def billable(assets: DataFrame, as_of, days: int = 30) -> DataFrame:
     """Number of active, not revoked assets seen within the window, by tenant."""
     seen = F.col("last_seen") >= F.lit(as_of) - F.expr(f"interval {days} days")

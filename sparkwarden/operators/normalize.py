@@ -86,7 +86,7 @@ def normalize(raw: DataFrame) -> DataFrame:
         F.struct(number("process", "pid"), *[inner("process", k) for k in ("name", "exe_path", "cmd_line")], F.lower(inner("process", "sha256")).alias("sha256"), inner("process", "created_time")).alias("process"),
         F.struct(number("parent", "pid"), inner("parent", "name"), inner("parent", "exe_path")).alias("parent"), F.struct(*[inner("user", k) for k in OBJECTS["user"]]).alias("user"),
         *[F.struct(inner(o, "ip"), number(o, "port").cast("int").alias("port"), *([inner(o, "hostname")] if o == "dst" else [])).alias(o) for o in ("src", "dst")],
-        F.from_json("_json", "map<string,string>").alias("_map"),
+        F.try_variant_get("payload", "$", "map<string,variant>").alias("_map"),
     )
     c = F.col
     known = F.coalesce(c("t_event_class").isin(*CLASS_KEYS), F.lit(False))
@@ -94,7 +94,11 @@ def normalize(raw: DataFrame) -> DataFrame:
     when = parse_time(c("t_event_time"))
     first_text = F.coalesce(*[F.when(F.length(f"t_{k}") > 0, c(f"t_{k}")) for k in ("message", "msg", "log")], "_json")
     own = F.coalesce(*[F.when(c("event_class") == k, F.array(*map(F.lit, sorted(keys | COMMON_KEYS)))) for k, keys in CLASS_KEYS.items()], F.array(*map(F.lit, sorted(COMMON_KEYS))))
-    extra = F.map_filter("_map", lambda k, v: ~F.array_contains(own, k) & v.isNotNull())
+    # Unknown keys keep their values as they are, beside what the payload already had as unmapped.
+    extra = F.map_filter("_map", lambda k, v: ~F.array_contains(own, k) & v.isNotNull() & ~F.is_variant_null(v))
+    before = F.coalesce(F.try_variant_get(F.element_at("_map", "unmapped"), "$", "map<string,variant>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
+    rows = rows.withColumn("_extra", extra)
+    extra = F.map_concat(F.map_filter(before, lambda k, v: ~F.map_contains_key("_extra", k)), "_extra")
     raw_text = F.when(c("_loose"), c("_json")).otherwise(c("_raw"))
     cut = F.octet_length(raw_text) > MAX_RAW
     raw_kept = F.when(cut, F.to_json(F.struct(byte_prefix(raw_text, MAX_RAW - 64).alias("truncated_json")))).otherwise(raw_text)
@@ -196,6 +200,14 @@ def observations(events: DataFrame) -> DataFrame:
     )
 
 
+def enrolment_observations(enrolments: DataFrame) -> DataFrame:
+    """What agents tell about their computers as they enrol, in the form of observations()."""
+    return enrolments.select(
+        "tenant_id", F.col("enrolled_at").alias("observed_at"), F.lit("agent").alias("source"), "host.hostname", "host.os_family", "host.os_name", "host.os_version", "host.ip", "host.mac",
+        "device_id", "agent_version",
+    )
+
+
 def trim_event(event: Column, schema, most: int = 512, most_items: int = 16) -> Column:
     """A struct without raw, unmapped, batch_id, tenant_id and source at any depth, with arrays and strings cut short."""
     if isinstance(schema, T.StructType):

@@ -92,6 +92,14 @@ def list_alerts(alerts: DataFrame, *, sort: str = "-priority", limit: int = DEFA
     return keyset_page(rows, ALERT_SORTS[sort], limit=limit, cursor=cursor), rows.agg(F.count("*").alias("total"))
 
 
+def false_positives(alerts: DataFrame, start, end, *, rule_id: str | None = None, tenant_id: str | None = None) -> DataFrame:
+    """Alerts closed as false positives from start to end, both included, for those who write rules."""
+    tests = [F.col("close_reason") == "false_positive", F.col("closed_at").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))]
+    tests += [F.col(c) == v for c, v in (("rule_id", rule_id), ("tenant_id", tenant_id)) if v is not None]
+    names = ("tenant_id", "alert_id", "rule_id", "entity_hostname", "entity_user", "close_reason", "close_comment", "closed_at", "priority_inputs")
+    return alerts.filter(reduce(and_, tests)).select(*[c for c in names if c in alerts.columns]).orderBy("tenant_id", "closed_at", "alert_id")
+
+
 def with_event_refs(alerts: DataFrame, links: DataFrame) -> DataFrame:
     """Each alert with its sorted event ids."""
     refs = links.groupBy("tenant_id", "alert_id").agg(F.sort_array(F.collect_list("event_id")).alias("event_refs"))

@@ -29,21 +29,34 @@ def deterministic(context: Column) -> Column:
 
 def triage(alerts: DataFrame, links: DataFrame, events: DataFrame, scorer: Scorer = deterministic, again: Scorer | None = None, *, daily_tokens: int = DAILY_TOKENS) -> DataFrame:
     """alerts with summary, ai_severity, tokens_in, tokens_out and outcome: ok, invalid (both tries failed the checks) or
-    over_budget (the tenant's day had no tokens left). `again` is asked where the first answer fails; by default the same."""
-    rows = alerts.join(context_document(alerts, links, events), ["tenant_id", "alert_id"])
-    rows = running_budget(rows.withColumn("tokens_in", tokens_estimate(F.col("context"))), ["tenant_id"], "last_seen", "alert_id", F.col("tokens_in"), daily_tokens)
+    over_budget (the tenant's day had spent its tokens before). `again` is asked where the first answer fails; by default
+    the same. A scorer gets a null context where it is not to answer, and costs nothing there.
 
-    def attempt(df: DataFrame, ask: Scorer, name: str) -> DataFrame:
-        read = df.withColumn(f"_text_{name}", F.when(F.col("allowed"), ask(F.col("context")))).withColumn(f"_answer_{name}", read_answer(F.col(f"_text_{name}")))
+    Each try costs the tokens that go in and come out; skipped alerts cost nothing. Spending only grows, so the alerts
+    that are let through are the first ones of a day, up to the one that used the budget up. Alerts whose predecessors'
+    contexts alone are over it are not asked at all."""
+    rows = alerts.join(context_document(alerts, links, events), ["tenant_id", "alert_id"]).withColumn("_in", tokens_estimate(F.col("context")))
+    rows = running_budget(rows, ["tenant_id"], "last_seen", "alert_id", F.col("_in"), daily_tokens).withColumnRenamed("allowed", "_asked").drop("spent_before")
+
+    def attempt(df: DataFrame, ask: Scorer, name: str, asked: Column) -> DataFrame:
+        read = df.withColumn("_given", F.col("context")).withColumn("context", F.when(asked, F.col("context"))).withColumn(f"_text_{name}", ask(F.col("context")))
+        read = read.withColumn(f"_text_{name}", F.when(F.col("context").isNotNull(), F.col(f"_text_{name}"))).withColumn(f"_tried_{name}", F.col("context").isNotNull())
+        read = read.withColumn("context", F.col("_given")).drop("_given").withColumn(f"_answer_{name}", read_answer(F.col(f"_text_{name}")))
         errors = summary_errors(F.col(f"_answer_{name}.summary"), F.col("entity_hostname"), F.col("entity_user"))
         return read.withColumn(f"_good_{name}", F.coalesce(F.size(errors) == 0, F.lit(False)) & F.col(f"_answer_{name}").isNotNull())
 
-    rows = attempt(attempt(rows, scorer, "first"), again or scorer, "second")
-    answer = F.when(F.col("_good_first"), F.col("_answer_first")).when(F.col("_good_second"), F.col("_answer_second"))
-    spent = tokens_estimate(F.col("_text_first")) + F.when(F.col("_good_first"), 0).otherwise(tokens_estimate(F.col("_text_second")))
-    rows = rows.withColumn("_answer", answer).withColumn("tokens_out", F.coalesce(spent, F.lit(0)))
-    outcome = F.when(~F.col("allowed"), "over_budget").when(F.col("_answer").isNull(), "invalid").otherwise("ok")
-    return rows.select(*[c for c in alerts.columns if c not in ("summary", "ai_severity")], "_answer.summary", "_answer.ai_severity", "tokens_in", "tokens_out", outcome.alias("outcome"))
+    rows = attempt(rows, scorer, "first", F.col("_asked"))
+    rows = attempt(rows, again or scorer, "second", F.col("_asked") & ~F.col("_good_first"))
+    tries = F.col("_tried_first").cast("int") + F.col("_tried_second").cast("int")
+    out = F.coalesce(tokens_estimate(F.col("_text_first")), F.lit(0)) + F.coalesce(tokens_estimate(F.col("_text_second")), F.lit(0))
+    rows = rows.withColumn("tokens_in", tries * F.col("_in")).withColumn("tokens_out", out)
+    rows = running_budget(rows, ["tenant_id"], "last_seen", "alert_id", F.col("tokens_in") + F.col("tokens_out"), daily_tokens)
+    allowed = F.col("allowed") & F.col("_asked")
+    answer = F.when(allowed, F.when(F.col("_good_first"), F.col("_answer_first")).when(F.col("_good_second"), F.col("_answer_second")))
+    outcome = F.when(~allowed, "over_budget").when(answer.isNull(), "invalid").otherwise("ok")
+    spent = [F.when(allowed, F.col(c)).otherwise(0).cast("bigint").alias(c) for c in ("tokens_in", "tokens_out")]
+    rows = rows.withColumns({"_answer": answer, "outcome": outcome})
+    return rows.select(*[c for c in alerts.columns if c not in ("summary", "ai_severity")], "_answer.summary", "_answer.ai_severity", *spent, "outcome")
 
 
 def apply_triage(alerts: DataFrame, triaged: DataFrame) -> DataFrame:

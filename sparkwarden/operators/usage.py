@@ -54,13 +54,27 @@ def running_budget(calls: DataFrame, keys: list[str], at: str, order: str, token
     return calls.withColumn("spent_before", spent).withColumn("allowed", spent < cap)
 
 
-def failing_rules(evaluations: DataFrame, at: str = "at", fraction: float = 0.05, tenants: int = 3, least: int = 200, width: str = "5 minutes") -> DataFrame:
-    """Rules to switch off: in a window with `least` evaluations or more, over `fraction` failed, for `tenants` tenants or more."""
-    out = evaluations.groupBy("rule_id", F.window(at, width).alias("w")).agg(
-        F.count("*").alias("evaluations"), F.sum(F.col("error").cast("int")).alias("errors"), F.count_distinct(F.when(F.col("error"), F.col("tenant_id"))).alias("failing_tenants"),
-    )
-    out = out.withColumn("fraction", F.round(F.col("errors") / F.col("evaluations"), 6))
-    return out.filter((F.col("evaluations") >= least) & (F.col("fraction") > fraction) & (F.col("failing_tenants") >= tenants))
+def failing_rules(evaluations: DataFrame, at: str = "at", order: str = "id", *, fraction: float = 0.05, tenants: int = 3, least: int = 200, seconds: int = 300, buckets: int = 10) -> DataFrame:
+    """Rules to switch off: each once, at the first failure (rule_id, tenant_id, error, at, id) at which the last `seconds`
+    had `least` evaluations or more, `fraction` of them or more failed, and for `tenants` tenants or more.
+
+    The window slides by buckets: those that started within it count, the current one up to the failure. Sums of whole
+    buckets come from one row for each, so only rows of one bucket are ordered by time."""
+    width = seconds // buckets
+    rows = evaluations.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_bucket", F.floor(F.col("_t") / (width * 1_000_000)))
+    failing = F.when(F.col("error"), F.col("tenant_id"))
+    whole = rows.groupBy("rule_id", "_bucket").agg(F.count("*").alias("_n"), F.sum(F.col("error").cast("int")).alias("_e"), F.collect_set(failing).alias("_f"))
+    back = lambda k: Window.partitionBy("rule_id").orderBy("_bucket").rangeBetween(-k, -1)
+    for k in (buckets - 1, buckets):  # at the start of a bucket, the one that started `seconds` before still counts
+        whole = whole.withColumns({f"n{k}": F.coalesce(F.sum("_n").over(back(k)), F.lit(0)), f"e{k}": F.coalesce(F.sum("_e").over(back(k)), F.lit(0)), f"f{k}": F.flatten(F.collect_list("_f").over(back(k)))})
+    within = Window.partitionBy("rule_id", "_bucket").orderBy("_t", order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_own": F.count("*").over(within), "_own_e": F.sum(F.col("error").cast("int")).over(within), "_own_f": F.collect_set(failing).over(within)}).filter("error")
+    rows = rows.join(whole.drop("_n", "_e", "_f"), ["rule_id", "_bucket"])
+    pick = lambda c: F.when(F.col("_t") % (width * 1_000_000) == 0, F.col(f"{c}{buckets}")).otherwise(F.col(f"{c}{buckets - 1}"))
+    rows = rows.withColumns({"samples": F.col("_own") + pick("n"), "_errors": F.col("_own_e") + pick("e"), "tenants_affected": F.size(F.array_union("_own_f", pick("f")))})
+    over = (F.col("samples") >= least) & (F.col("_errors") >= fraction * F.col("samples")) & (F.col("tenants_affected") >= tenants)
+    first = F.min_by(F.struct(F.col(at).alias("at"), "samples", F.round(F.col("_errors") / F.col("samples"), 6).alias("error_fraction"), "tenants_affected"), F.struct("_t", order))
+    return rows.filter(over).groupBy("rule_id").agg(first.alias("_d")).select("rule_id", "_d.*")
 
 
 def pipeline_counts(rows: DataFrame) -> DataFrame:
@@ -69,7 +83,7 @@ def pipeline_counts(rows: DataFrame) -> DataFrame:
 
 def drop_deltas(reports: DataFrame) -> DataFrame:
     """Drops since the device's last report; a counter that fell was started anew."""
-    before = F.lag("dropped").over(Window.partitionBy("device_id", "class").orderBy("at"))
+    before = F.lag("dropped").over(Window.partitionBy("device_id", "class").orderBy("at", "dropped"))
     return reports.withColumn("delta", F.when(before.isNull() | (F.col("dropped") < before), F.col("dropped")).otherwise(F.col("dropped") - before))
 
 
@@ -78,10 +92,13 @@ SHED_FIRST = ("network", "process", "auth")
 
 
 def shed(buffered: DataFrame, keys: list[str], cap_bytes: int) -> DataFrame:
-    """What stays of a full buffer: rows that are shed last, newest first, as far as they fit."""
+    """What stays of a full buffer of (class, segment, seq, bytes): whole segments go, the oldest of the class that is shed
+    first, until the rest fits. Segments, not rows, are ordered."""
     rank = F.coalesce(*[F.when(F.col("class") == c, F.lit(k)) for k, c in enumerate(SHED_FIRST)], F.lit(len(SHED_FIRST)))
-    by = Window.partitionBy(*keys).orderBy(rank.desc(), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    return buffered.withColumn("_upto", F.sum("bytes").over(by)).filter(F.col("_upto") <= cap_bytes).drop("_upto")
+    segments = buffered.groupBy(*keys, "class", "segment").agg(F.sum("bytes").alias("_bytes"), F.max("seq").alias("_last"))
+    by = Window.partitionBy(*keys).orderBy(rank.desc(), F.desc("_last"), "class", "segment").rowsBetween(Window.unboundedPreceding, 0)
+    kept = segments.withColumn("_upto", F.sum("_bytes").over(by)).filter(F.col("_upto") <= cap_bytes).select(*keys, "class", "segment")
+    return buffered.join(kept, [*keys, "class", "segment"], "left_semi")
 
 
 def merged_in_order(*queues: DataFrame) -> DataFrame:
@@ -100,6 +117,11 @@ def metering_daily(calls: DataFrame) -> DataFrame:
     )
 
 
+def metering_range(calls: DataFrame, tenant_id: str, start, end) -> DataFrame:
+    """metering_daily() of a tenant's calls from start to end, both included."""
+    return metering_daily(calls.filter((F.col("tenant_id") == tenant_id) & F.col("created_at").between(F.lit(start), F.lit(end)))).orderBy("day", "model_id")
+
+
 def with_cost(calls: DataFrame, prices: DataFrame, fallback: tuple[str, str] = ("3.00", "15.00")) -> DataFrame:
     """calls with cost_usd by the longest prefix of prices(prefix, rate_in, rate_out: dollars a million tokens) that fits.
 

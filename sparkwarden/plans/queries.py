@@ -6,11 +6,15 @@ Events stand for security events: tenant = user_id % 5, rule = event_type, entit
 
 from __future__ import annotations
 
+import datetime
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import scoring, summary, text
-from sparkwarden.operators import admin, alerts, assets, normalize, queue, triage, usage
+from sparkwarden.operators import admin, alerts, assets, normalize, queue, relations, triage, usage
 from sparkwarden.rules.compile import TypedResolver, condition
 from sparkwarden.rules.content import RULES, leaf
 from sparkwarden.rules.detect import detect
@@ -168,7 +172,7 @@ def raw_rows(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     body = F.when(F.col("event_id") % 13 == 0, F.lit('"text"')).when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.lit("nonsense").alias("event_class"), F.concat(F.lit("value "), F.col("event_id").cast("string")).alias("msg"), F.col("user_id").alias("extra")))).otherwise(F.to_json(F.struct(
         F.lit("authentication").alias("event_class"), F.when(F.col("event_id") % 5 == 0, "logon_failed").otherwise("logon").alias("activity"), F.lit("success").alias("status"), F.lit("network").alias("logon_type"),
-        F.when(F.col("event_id") % 4 != 0, F.struct(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("name"))).alias("user"), F.struct(F.lit("SRV-A").alias("hostname")).alias("host"), F.col("value").alias("odd_key"), F.lit("2024-01-05T10:00:00+02:00").alias("event_time"), F.concat(F.lit("src-"), F.col("event_id").cast("string")).alias("source_event_id"))))
+        F.when(F.col("event_id") % 4 != 0, F.struct(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("name"))).alias("user"), F.struct(F.lit("SRV-A").alias("hostname")).alias("host"), F.struct(F.col("user_id").alias("n"), F.array(F.lit(True)).alias("l")).alias("odd_key"), F.struct(F.lit("p").alias("prior")).alias("unmapped"), F.lit("2024-01-05T10:00:00+02:00").alias("event_time"), F.concat(F.lit("src-"), F.col("event_id").cast("string")).alias("source_event_id"))))
     source = F.struct(F.lit(None).cast("string").alias("device_id"), F.lit(None).cast("string").alias("agent_version"), F.lit("key-1").alias("ingest_key_id"), F.lit(None).cast("string").alias("vendor"), F.lit(None).cast("string").alias("product"))
     return e.select(F.lit("00000000-0000-4000-8000-000000000001").alias("tenant_id"), F.concat(F.lit("b"), F.col("event_id").cast("string")).alias("batch_id"), F.lit("generic").alias("source_type"), F.col("ts").cast("timestamp").alias("ingest_time"), source.alias("source"), F.lit(0).alias("ordinal"), F.parse_json(body).alias("payload"))
 
@@ -178,10 +182,10 @@ _NORM = """n AS (SELECT 'b' || event_id AS batch_id, event_id, CASE WHEN event_i
 
 @query("normalize_envelope", f"""WITH {_NORM} SELECT batch_id, CASE kind WHEN 'auth' THEN 'authentication' ELSE 'generic' END AS event_class, CASE WHEN kind = 'auth' THEN CASE WHEN failed THEN 'logon_failed' ELSE 'logon' END ELSE 'log' END AS activity,
  CASE kind WHEN 'auth' THEN TIMESTAMP '2024-01-05 08:00:00' ELSE ts END AS event_time, kind <> 'auth' AS time_inferred, CASE kind WHEN 'loose' THEN 'value ' || event_id END AS message,
- CASE WHEN kind = 'auth' THEN 'srv-a' END AS hostname, kind = 'auth' AS has_unmapped FROM n WHERE kind = 'loose' OR (kind = 'auth' AND named AND NOT failed)""")
+ CASE WHEN kind = 'auth' THEN 'srv-a' END AS hostname, CASE WHEN kind = 'auth' THEN '{{"odd_key":{{"l":[true],"n":' || user_id || '}},"prior":"p"}}' END AS unmapped FROM n WHERE kind = 'loose' OR (kind = 'auth' AND named AND NOT failed)""")
 def normalize_envelope(spark, d):
     good, _ = normalize.split_valid(normalize.normalize(raw_rows(spark, d)))
-    return good.select("batch_id", "event_class", "activity", ntz("event_time"), "time_inferred", "message", F.col("host.hostname").alias("hostname"), F.col("unmapped").isNotNull().alias("has_unmapped"))
+    return good.select("batch_id", "event_class", "activity", ntz("event_time"), "time_inferred", "message", F.col("host.hostname").alias("hostname"), F.to_json(F.parse_json("unmapped")).alias("unmapped"))
 
 
 @query("dead_letter", f"""WITH {_NORM} SELECT event_id, CASE kind WHEN 'text' THEN 'EVENT_NOT_AN_OBJECT' ELSE 'SCHEMA_VALIDATION_FAILED' END AS code,
@@ -205,12 +209,15 @@ def dedup_create(spark, d):
     return normalize.first_deliveries(rows).select(F.col("ordinal").alias("doc_id"), F.col("tenant_id").alias("source"), "lang")
 
 
-@query("truncate_bytes", "SELECT page_id, CASE WHEN strlen(url) <= 24 THEN url ELSE url[1:24] END AS cut FROM pages WHERE regexp_full_match(url, '[ -~]*')")
+CUT_SQL = "CASE WHEN {0} IS NULL THEN NULL WHEN strlen({0}) <= {1} THEN {0} ELSE {0}[1:list_max(list_filter(range(0, {1} + 1), lambda k: strlen({0}[1:k]) <= {1}))] END"
+
+
+@query("truncate_bytes", f"SELECT page_id, {CUT_SQL.format('url', 24)} AS cut FROM pages")
 def truncate_bytes(spark, d):
-    return read(spark, d, "pages").filter(F.col("url").rlike("^[ -~]*$")).select("page_id", text.byte_prefix(F.col("url"), 24).alias("cut"))
+    return read(spark, d, "pages").select("page_id", text.byte_prefix(F.col("url"), 24).alias("cut"))
 
 
-@query("truncate_utf8", None)
+@query("truncate_utf8", f"SELECT doc_id, {CUT_SQL.format('text', 101)} AS cut FROM documents")
 def truncate_utf8(spark, d):
     return read(spark, d, "documents").select("doc_id", text.byte_prefix(F.col("text"), 101).alias("cut"))
 
@@ -220,9 +227,10 @@ def trim_scrub(spark, d):
     return read(spark, d, "documents").select("doc_id", text.scrub(F.col("text"), 80).alias("scrubbed"))
 
 
-@query("redact_keys", """SELECT event_id, '{"api_key":"[REDACTED]","user":' || user_id || ',"nested":{"Password":"[REDACTED]","note":"k"}}' AS safe FROM events""")
+@query("redact_keys", """SELECT event_id, '{"api_key":"[REDACTED]","user":' || user_id || ',"nested":{"Password":"[REDACTED]","note":"k"},"tokens":"[REDACTED]","items":[{"secret":"[REDACTED]","id":' || event_id || '},[{"my-key":"[REDACTED]","monkey":1.5}]]}' AS safe FROM events""")
 def redact_keys(spark, d):
-    doc = F.to_json(F.struct(F.col("props").alias("api_key"), F.col("user_id").alias("user"), F.struct(F.col("event_type").alias("Password"), F.lit("k").alias("note")).alias("nested")))
+    """Secrets under plain, escaped and nested names, as text, lists and objects."""
+    doc = F.format_string('{"api\\u005fkey": %s, "user": %d, "nested": {"Password": {"value": "%s"}, "note": "k"}, "tokens": ["a", "b"], "items": [{"secret": null, "id": %d}, [{"my-key": [1], "monkey": 1.5}]]}', "props", "user_id", "event_type", "event_id")
     return read(spark, d, "events").select("event_id", text.redact_json(doc).alias("safe"))
 
 
@@ -259,22 +267,22 @@ def priority_score(spark, d):
     return read(spark, d, "orders").select("o_orderkey", scoring.effective_severity(s, ai).alias("effective"), scoring.priority(s, ai, n, st).cast("int").alias("score"))
 
 
-@query("correlate_interval", f"WITH {SESSIONS} SELECT a.tenant_id, a.entity_hostname, a.rule_id, a.entity_key, a.session, b.rule_id AS other_rule, b.entity_key AS other_key, b.session AS other_session FROM al a JOIN al b ON a.tenant_id = b.tenant_id AND a.entity_hostname = b.entity_hostname AND a.rule_id <> b.rule_id AND b.last_seen BETWEEN a.first_seen - INTERVAL 30 MINUTE AND a.first_seen AND b.first_seen <= a.first_seen")
+@query("correlate_interval", f"WITH {SESSIONS} SELECT a.tenant_id, a.entity_hostname, a.rule_id, a.entity_key, a.session, b.rule_id AS other_rule, b.entity_key AS other_key, b.session AS other_session FROM al a JOIN al b ON a.tenant_id = b.tenant_id AND a.entity_hostname = b.entity_hostname AND a.rule_id <> b.rule_id AND b.last_seen >= a.first_seen - INTERVAL 30 MINUTE AND b.first_seen <= a.first_seen")
 def correlate_interval(spark, d):
-    a = alerts.alerts(hits(spark, d))
-    ids = a.select("alert_id", "rule_id", "entity_key", "session")
-    other = ids.select(*[F.col(c).alias(f"o_{c}") for c in ids.columns])
-    pairs = alerts.candidates(a).join(ids, "alert_id").join(other, F.col("other_id") == F.col("o_alert_id"))
-    return pairs.select("tenant_id", "entity_hostname", "rule_id", "entity_key", "session", F.col("o_rule_id").alias("other_rule"), F.col("o_entity_key").alias("other_key"), F.col("o_session").alias("other_session"))
+    pairs = alerts.candidates(alerts.alerts(hits(spark, d)), carry=("entity_key", "session"))
+    return pairs.select("tenant_id", "entity_hostname", "rule_id", "entity_key", "session", "other_rule", F.col("other_entity_key").alias("other_key"), "other_session")
 
 
-@query("correlation_groups", f"""WITH {SESSIONS}, g AS (SELECT *, CASE WHEN first_seen <= lag(first_seen) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM al WINDOW w AS (PARTITION BY tenant_id, entity_hostname ORDER BY first_seen, rule_id, entity_key, session)),
- c AS (SELECT *, sum(opens) OVER (PARTITION BY tenant_id, entity_hostname ORDER BY first_seen, rule_id, entity_key, session ROWS UNBOUNDED PRECEDING) AS chain FROM g)
- SELECT tenant_id, entity_hostname, count(*) AS alert_count, min(first_seen) AS first_seen FROM c GROUP BY tenant_id, entity_hostname, chain HAVING count(DISTINCT rule_id) > 1""")
+@query("correlation_groups", f"""WITH {SESSIONS}, a AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, entity_hostname ORDER BY first_seen, rule_id, entity_key, session) AS n FROM al),
+ p AS (SELECT a.tenant_id, a.entity_hostname, a.n, b.n AS other FROM a JOIN a b ON a.tenant_id = b.tenant_id AND a.entity_hostname = b.entity_hostname AND a.rule_id <> b.rule_id AND b.n < a.n AND b.last_seen >= a.first_seen - INTERVAL 30 MINUTE),
+ since AS (SELECT tenant_id, entity_hostname, x AS n, min(n) AS since FROM (SELECT *, n AS x FROM p UNION ALL SELECT *, other FROM p) GROUP BY ALL),
+ o AS (SELECT p.tenant_id, p.entity_hostname, p.n, max(CASE WHEN s.since < p.n THEN 1 ELSE 0 END) = 0 AS opens FROM p JOIN since s ON s.tenant_id = p.tenant_id AND s.entity_hostname = p.entity_hostname AND s.n = p.other GROUP BY ALL)
+ SELECT a.tenant_id, a.entity_hostname, a.rule_id, a.entity_key, a.session, COALESCE(o.opens, FALSE) AS opens FROM a JOIN since USING (tenant_id, entity_hostname, n) LEFT JOIN o USING (tenant_id, entity_hostname, n)""")
 def correlation_groups(spark, d):
+    """Which alerts are in a group, and which opened one: an alert has one since it met another, or another met it."""
     a = alerts.alerts(hits(spark, d))
     rows = alerts.correlation_groups(a).join(a, ["tenant_id", "alert_id"])
-    return rows.groupBy("tenant_id", "entity_hostname", "group_id").agg(F.count("*").alias("alert_count"), F.min("first_seen").cast("timestamp_ntz").alias("first_seen")).drop("group_id")
+    return rows.select("tenant_id", "entity_hostname", "rule_id", "entity_key", "session", "opens")
 
 
 @query("alert_actions", """WITH s AS (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders) SELECT o_orderkey, CASE k WHEN 0 THEN 'new' WHEN 1 THEN 'acknowledged' WHEN 2 THEN 'closed' ELSE 'new' END AS state, CASE k WHEN 2 THEN 'false_positive' END AS close_reason,
@@ -314,7 +322,7 @@ def keyset_page(spark, d):
 
 @query("offset_page", f"WITH {QUEUE} SELECT * FROM q ORDER BY last_seen DESC, alert_id LIMIT 20 OFFSET 40")
 def offset_page(spark, d):
-    return order_alerts(spark, d).orderBy(F.desc("last_seen"), "alert_id").offset(40).limit(20)
+    return relations.offset_page(order_alerts(spark, d), queue.ALERT_SORTS["-last_seen"], limit=19, offset=40)
 
 
 @query("queue_filters", f"WITH {QUEUE} SELECT * FROM q WHERE state IN ('o', 'p') AND severity IN ('1-URGENT', '2-HIGH') AND last_seen BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1999-06-30'")
@@ -325,34 +333,32 @@ def queue_filters(spark, d):
 
 @query("total_count", f"WITH {QUEUE} SELECT state, count(*) AS total FROM q GROUP BY state")
 def total_count(spark, d):
-    return order_alerts(spark, d).groupBy("state").agg(F.count("*").alias("total"))
+    return relations.totals(order_alerts(spark, d), "state")
 
 
 @query("latest_per_key", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 def latest_per_key(spark, d):
-    last = F.max_by(F.struct("o_orderkey", "o_orderdate"), F.struct("o_orderdate", "o_orderkey")).alias("l")
-    return read(spark, d, "orders").groupBy("o_custkey").agg(last).select("o_custkey", "l.o_orderkey", "l.o_orderdate")
+    return relations.latest(read(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderdate"])
 
 
 @query("bounded_context", "SELECT o_custkey, o_orderkey, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n <= 5")
 def bounded_context(spark, d):
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return read(spark, d, "orders").select("o_custkey", "o_orderkey", n.cast("int").alias("n")).filter("n <= 5")
+    return relations.first_rows(read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 5).select("o_custkey", "o_orderkey", F.col("n").cast("int").alias("n"))
 
 
 @query("as_of_lookup", "SELECT e.event_id, CAST(COALESCE(max(o.event_id), -1) AS BIGINT) AS signup_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') e LEFT JOIN (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events WHERE event_type = 'signup') o ON e.user_id = o.user_id AND o.ts <= e.ts AND (o.until IS NULL OR o.until > e.ts) GROUP BY e.event_id")
 def as_of_lookup(spark, d):
-    """Each error with the user's signup event before it: one pass over both, ordered in time within the user."""
-    e = read(spark, d, "events").filter(F.col("event_type").isin("error", "signup"))
-    before = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "signup", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = e.withColumn("signup_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(before))
-    return seen.filter("event_type = 'error'").select("event_id", F.coalesce("signup_id", F.lit(-1).cast("bigint")).alias("signup_id"))
+    """Each error with the user's signup event before it."""
+    e = read(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    of = lambda kind: e.filter(F.col("event_type") == kind)
+    rows = relations.as_of(of("error"), of("signup"), ["user_id"], "ts", "event_id", "event_id", "signup_id")
+    return rows.select("event_id", F.coalesce("signup_id", F.lit(-1).cast("bigint")).alias("signup_id"))
 
 
 @query("overlay_left", "SELECT p.p_partkey, p.p_brand, s.s_suppkey IS NOT NULL AS overridden, COALESCE(s.s_acctbal, p.p_retailprice) AS value FROM part p LEFT JOIN supplier s ON p.p_partkey = s.s_suppkey")
 def overlay_left(spark, d):
-    p, s = read(spark, d, "part"), read(spark, d, "supplier")
-    return p.join(s, p["p_partkey"] == s["s_suppkey"], "left").select("p_partkey", "p_brand", F.col("s_suppkey").isNotNull().alias("overridden"), F.coalesce("s_acctbal", "p_retailprice").alias("value"))
+    base = read(spark, d, "part").select("p_partkey", "p_brand", F.col("p_retailprice").alias("value"))
+    return relations.overlay(base, read(spark, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.col("s_acctbal").alias("value")), ["p_partkey"], "value")
 
 
 @query("entitlements", """WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS tenant_id, c_mktsegment AS plan_id FROM customer), p AS (SELECT DISTINCT c_mktsegment AS plan_id, 'cap' AS key, CAST(length(c_mktsegment) AS VARCHAR) AS value FROM customer UNION ALL SELECT DISTINCT c_mktsegment, 'mode', 'basic' FROM customer UNION ALL SELECT DISTINCT c_mktsegment, 'trial_duration_days', '14' FROM customer),
@@ -379,25 +385,33 @@ def retention_days(spark, d):
 @query("semi_linked", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
 def semi_linked(spark, d):
     o = read(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
-    return read(spark, d, "customer").join(o, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    return relations.linked(read(spark, d, "customer").select("c_custkey", "c_name"), o, ["c_custkey"])
 
 
 @query("anti_missing", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_missing(spark, d):
     o = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return read(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return relations.unlinked(read(spark, d, "customer").select("c_custkey", "c_name"), o, ["c_custkey"])
 
 
-@query("event_refs", "SELECT c_custkey, COALESCE((SELECT list(o_orderkey ORDER BY o_orderkey) FROM orders WHERE o_custkey = c_custkey), []) AS refs FROM customer")
+@query("event_refs", "SELECT c_custkey, COALESCE((SELECT list(CAST(o_orderkey AS VARCHAR) ORDER BY CAST(o_orderkey AS VARCHAR)) FROM orders WHERE o_custkey = c_custkey), []) AS refs FROM customer")
 def event_refs(spark, d):
-    refs = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("refs"))
-    return read(spark, d, "customer").select("c_custkey").join(refs, "c_custkey", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<bigint>")))
+    links = read(spark, d, "orders").select(F.lit("t").alias("tenant_id"), F.col("o_custkey").alias("alert_id"), F.col("o_orderkey").cast("string").alias("event_id"))
+    rows = read(spark, d, "customer").select(F.lit("t").alias("tenant_id"), F.col("c_custkey").alias("alert_id"))
+    return queue.with_event_refs(rows, links).select(F.col("alert_id").alias("c_custkey"), F.col("event_refs").alias("refs"))
 
 
-@query("siblings", "SELECT a.o_orderkey, b.o_orderkey AS sibling FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND a.o_orderpriority = '1-URGENT' AND b.o_orderpriority = '1-URGENT'")
+@query("siblings", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) - 1 AS siblings FROM orders")
 def siblings(spark, d):
-    o = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey")
-    return o.join(o.withColumnRenamed("o_orderkey", "sibling"), "o_custkey").filter("o_orderkey <> sibling").select("o_orderkey", "sibling")
+    """How many alerts share each alert's group."""
+    return relations.in_group(read(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"]).select("o_orderkey", "siblings")
+
+
+@query("sibling_rows", "SELECT o_orderkey FROM orders WHERE o_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)) AND o_orderkey <> (SELECT min(o_orderkey) FROM orders)")
+def sibling_rows(spark, d):
+    """The other alerts of one alert's group."""
+    o = read(spark, d, "orders").select(F.lit("t").alias("tenant_id"), F.col("o_orderkey").alias("alert_id"), F.col("o_custkey").alias("group_id"))
+    return queue.siblings(o, o.agg(F.min("alert_id")).first()[0]).select(F.col("alert_id").alias("o_orderkey"))
 
 
 @query("longest_prefix", "WITH p(prefix, rate_in, rate_out) AS (VALUES ('E', '1.00', '5.00'), ('ECO', '2.50', '7.00'), ('S', '0.10', '0.20'), ('STANDARD', '4.00', '8.00')), m AS (SELECT p_partkey, p_type AS model_id, p_size FROM part), r AS (SELECT m.p_partkey, m.p_size, p.rate_in, p.rate_out, row_number() OVER (PARTITION BY m.p_partkey ORDER BY length(p.prefix) DESC) AS n FROM m LEFT JOIN p ON starts_with(m.model_id, p.prefix)) SELECT p_partkey, CAST(CAST(round_even((p_size * 1000 * CAST(COALESCE(rate_in, '3.00') AS DOUBLE) + p_size * 10 * CAST(COALESCE(rate_out, '15.00') AS DOUBLE)) / 1000000, 6) AS DECIMAL(12,6)) AS DOUBLE) AS cost FROM r WHERE n = 1")
@@ -426,10 +440,14 @@ def rate_60s(spark, d):
     return usage.sliding_sum(read(spark, d, "events"), ["event_type"], "ts", F.lit(1)).select("event_id", F.col("rate").cast("bigint").alias("rate"))
 
 
-@query("failure_tracker", "WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, 'r' || (event_id % 3) AS rule_id, user_id % 20 AS tenant, event_type = 'error' AS error FROM events), g AS (SELECT rule_id, w, count(*) AS evaluations, CAST(sum(CAST(error AS INTEGER)) AS BIGINT) AS errors, count(DISTINCT CASE WHEN error THEN tenant END) AS failing_tenants FROM e GROUP BY ALL) SELECT rule_id, w AS start, evaluations, errors, failing_tenants, round(errors / evaluations, 6) AS fraction FROM g WHERE evaluations >= 100 AND round(errors / evaluations, 6) > 0.05 AND failing_tenants >= 3")
+@query("failure_tracker", """WITH e AS (SELECT event_id AS id, epoch_us(ts) AS t, 'r' || (event_id % 3) AS rule_id, user_id % 20 AS tenant, event_type = 'error' AS error FROM events),
+ m AS (SELECT f.rule_id, f.id, f.t, count(*) AS samples, count(*) FILTER (r.error) AS errors, count(DISTINCT CASE WHEN r.error THEN r.tenant END) AS tenants_affected FROM e f JOIN e r ON r.rule_id = f.rule_id AND (r.t // 8640000000) * 8640000000 >= f.t - 86400000000 AND (r.t < f.t OR (r.t = f.t AND r.id <= f.id)) WHERE f.error GROUP BY ALL),
+ d AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY t, id) AS n FROM m WHERE samples >= 100 AND errors >= 0.05 * samples AND tenants_affected >= 3)
+ SELECT rule_id, samples, round(errors / samples, 6) AS error_fraction, tenants_affected FROM d WHERE n = 1""")
 def failure_tracker(spark, d):
-    e = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("rule_id"), (F.col("user_id") % 20).alias("tenant_id"), (F.col("event_type") == "error").alias("error"))
-    return usage.failing_rules(e, least=100, width="1 day").select("rule_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "evaluations", "errors", "failing_tenants", "fraction")
+    """Days in place of minutes, as the events are few."""
+    e = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("rule_id"), (F.col("user_id") % 20).alias("tenant_id"), (F.col("event_type") == "error").alias("error"))
+    return usage.failing_rules(e, least=100, seconds=86_400).select("rule_id", "samples", "error_fraction", F.col("tenants_affected").cast("bigint").alias("tenants_affected"))
 
 
 @query("usage_daily", "SELECT user_id % 5 AS tenant, strftime(ts, '%Y-%m-%d') AS day, event_type AS metric, CAST(sum(user_id + 1) AS BIGINT) AS value FROM events GROUP BY ALL")
@@ -456,23 +474,23 @@ def quota_admit(spark, d):
     return usage.admit_by_quota(read(spark, d, "events"), ["user_id"], "ts", "event_id", limit).select("event_id", "admitted")
 
 
-@query("drop_deltas", "SELECT event_id, CASE WHEN b IS NULL OR d < b THEN d ELSE d - b END AS delta FROM (SELECT event_id, CAST(value AS BIGINT) AS d, lag(CAST(value AS BIGINT)) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS b FROM (SELECT event_id, user_id, event_type, ts, floor(value) AS value FROM events))")
+@query("drop_deltas", "SELECT event_id, CASE WHEN b IS NULL OR d < b THEN d ELSE d - b END AS delta FROM (SELECT event_id, CAST(value AS BIGINT) AS d, lag(CAST(value AS BIGINT)) OVER (PARTITION BY user_id, event_type ORDER BY ts, value) AS b FROM (SELECT event_id, user_id, event_type, ts, floor(value) AS value FROM events))")
 def drop_deltas(spark, d):
     e = read(spark, d, "events").select("event_id", F.col("user_id").alias("device_id"), F.col("event_type").alias("class"), F.col("ts").alias("at"), F.floor("value").alias("dropped"))
     return usage.drop_deltas(e).select("event_id", "delta")
 
 
-@query("shed_tail", "SELECT event_id FROM (SELECT event_id, sum(length(props) + 100) OVER (PARTITION BY user_id ORDER BY r DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS u FROM (SELECT *, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE 3 END AS r FROM events)) WHERE u <= 4000")
+@query("shed_tail", "WITH e AS (SELECT event_id, user_id, event_id // 500 AS segment, length(props) + 100 AS bytes, CASE event_type WHEN 'click' THEN 'network' WHEN 'view' THEN 'process' WHEN 'error' THEN 'auth' ELSE 'other' END AS class FROM events), s AS (SELECT user_id, class, segment, CASE class WHEN 'network' THEN 0 WHEN 'process' THEN 1 WHEN 'auth' THEN 2 ELSE 3 END AS r, sum(bytes) AS bytes, max(event_id) AS last FROM e GROUP BY ALL), k AS (SELECT *, sum(bytes) OVER (PARTITION BY user_id ORDER BY r DESC, last DESC ROWS UNBOUNDED PRECEDING) AS u FROM s) SELECT e.event_id FROM e JOIN k USING (user_id, class, segment) WHERE u <= 4000")
 def shed_tail(spark, d):
     kind = F.when(F.col("event_type") == "click", "network").when(F.col("event_type") == "view", "process").when(F.col("event_type") == "error", "auth").otherwise("other")
-    e = read(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), kind.alias("class"), (F.length("props") + 100).alias("bytes"))
+    e = read(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 500).alias("segment"), kind.alias("class"), (F.length("props") + 100).alias("bytes"))
     return usage.shed(e, ["user_id"], 4000).select(F.col("seq").alias("event_id"))
 
 
-@query("kway_merge", "SELECT event_id AS seq, event_type AS class FROM events WHERE event_type IN ('click', 'view', 'error') ORDER BY seq")
+@query("kway_merge", "SELECT event_id AS seq, event_type AS class FROM events ORDER BY seq")
 def kway_merge(spark, d):
     e = read(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("class"))
-    return usage.merged_in_order(*[e.filter(F.col("class") == k) for k in ("click", "view", "error")])
+    return usage.merged_in_order(*[e.filter(F.col("class") == k) for k in ("click", "view", "error", "purchase", "signup")])
 
 
 @query("pipeline_counts", "SELECT user_id % 5 AS tenant_id, event_type AS stage, CASE WHEN value > 50 THEN 'slow' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY ALL")
@@ -485,14 +503,13 @@ def pipeline_counts(spark, d):
 
 @query("merge_sources", "SELECT l_partkey, list_sort(list_distinct(list(l_returnflag))) AS sources, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY l_partkey")
 def merge_sources(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_partkey").agg(F.sort_array(F.collect_set("l_returnflag")).alias("sources"), F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"))
+    return relations.merged(read(spark, d, "lineitem"), ["l_partkey"], "l_returnflag", "l_shipdate", "l_shipdate")
 
 
 @query("last_known", "SELECT user_id, arg_max(value, (ts, event_id)) FILTER (event_type = 'purchase') AS purchase, arg_max(value, (ts, event_id)) FILTER (event_type = 'view') AS viewed FROM events GROUP BY user_id")
 def last_known(spark, d):
-    order = F.struct("ts", "event_id")
-    last = lambda kind: F.max_by("value", F.when(F.col("event_type") == kind, order))
-    return read(spark, d, "events").groupBy("user_id").agg(last("purchase").alias("purchase"), last("view").alias("viewed"))
+    of = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    return relations.last_known(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], {"purchase": of("purchase"), "viewed": of("view")})
 
 
 @query("latest_device", "SELECT c_custkey, o_orderkey AS device_id FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) ON o_custkey = c_custkey AND n = 1")
@@ -557,7 +574,7 @@ def signup_velocity(spark, d):
     return admin.classify_signups(s, spark.sql("select 'trash.example' as domain"), 2).select("event_id", "verdict")
 
 
-@query("latest_toggle", "SELECT user_id % 5 AS tenant_id, event_type AS rule_id, arg_max(value > 50, ts) AS enabled FROM events GROUP BY ALL")
+@query("latest_toggle", "SELECT user_id % 5 AS tenant_id, event_type AS rule_id, arg_max(value > 50, (ts, value > 50)) AS enabled FROM events GROUP BY ALL")
 def latest_toggle(spark, d):
     return admin.latest_toggle(read(spark, d, "events").select((F.col("user_id") % 5).alias("tenant_id"), F.col("event_type").alias("rule_id"), (F.col("value") > 50).alias("enabled"), F.col("ts").alias("updated_at")))
 
@@ -586,21 +603,131 @@ def envelope_roundtrip(spark, d):
     return rows.groupBy("tenant_id", "malformed").agg(F.count("*").alias("n"))
 
 
-@query("audit_redacted", """SELECT CAST(event_id AS VARCHAR) AS target, '{"token":"[REDACTED]","n":' || user_id || '}' AS before, CASE WHEN event_id % 10 = 0 THEN '{"too_large":true}' ELSE '{"v":"' || event_type || '"}' END AS after FROM events""")
+@query("audit_redacted", """SELECT CAST(event_id AS VARCHAR) AS target, '{"token":"[REDACTED]","n":' || user_id || '}' AS before, CASE WHEN event_id % 10 = 0 THEN '{"too_large":true}' WHEN event_id % 10 = 1 THEN '{"not_an_object":true}' ELSE '{"v":"' || event_type || '","tokens":"[REDACTED]"}' END AS after FROM events""")
 def audit_redacted(spark, d):
     e = read(spark, d, "events").withColumn("tenant_id", F.lit("t"))
     before = F.to_json(F.struct(F.col("event_type").alias("token"), F.col("user_id").alias("n")))
-    after = F.when(F.col("event_id") % 10 == 0, F.repeat(F.lit("x"), F.lit(20_000))).otherwise(F.to_json(F.struct(F.col("event_type").alias("v"))))
+    after = F.when(F.col("event_id") % 10 == 0, F.to_json(F.struct(F.repeat(F.lit("x"), F.lit(20_000)).alias("v")))).when(F.col("event_id") % 10 == 1, F.lit("[1]")).otherwise(F.to_json(F.struct(F.col("event_type").alias("v"), F.array(F.lit("a")).alias("tokens"))))
     return ingest.audit_rows(e, F.lit("me"), F.lit("seen"), F.col("event_id").cast("string"), before, after, F.lit(None).cast("string"), F.col("ts")).select("target", "before", "after")
 
 
-@query("simulated_detections", None)
-def simulated_detections(spark, d):
-    batches = ingest.batches_of(ingest.simulate(spark, 400, "00000000-0000-4000-8000-000000000001"), 100)
+@query("raw_chain", """SELECT 'proc-powershell-encoded-command' AS rule_id, count(*) AS n FROM events WHERE event_type = 'error'""")
+def raw_chain(spark, d):
+    """All events as raw batches of agents through normalising, validation and the built-in rules: errors are launches of
+    an encoded shell command, the rest plain ones."""
+    bad = F.col("event_type") == "error"
+    body = F.struct(
+        F.lit("process_activity").alias("event_class"), F.lit("process_launched").alias("activity"), F.concat(F.lit("e-"), F.col("event_id").cast("string")).alias("source_event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("event_time"),
+        F.struct(F.concat(F.lit("ws-"), (F.col("user_id") % 50).cast("string")).alias("hostname"), F.lit("windows").alias("os_family")).alias("host"), F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name")).alias("user"),
+        F.struct((F.col("event_id") % 9000 + 100).alias("pid"), F.when(bad, "powershell.exe").otherwise("notepad.exe").alias("name"), F.lit("C:\\Windows").alias("exe_path"), F.when(bad, "powershell.exe -enc SQBFAFgA").otherwise("notepad.exe a.txt").alias("cmd_line")).alias("process"),
+        F.struct(F.lit(4).alias("pid"), F.lit("explorer.exe").alias("name")).alias("parent"))
+    e = read(spark, d, "events").select(F.lit("00000000-0000-4000-8000-000000000001").alias("tenant_id"), F.floor(F.col("event_id") / 100).alias("_b"), F.col("ts").cast("timestamp").alias("ingest_time"), F.parse_json(F.to_json(body)).alias("payload"), "event_id")
+    batches = e.groupBy("tenant_id", "_b").agg(F.max("ingest_time").alias("ingest_time"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.to_json("payload").alias("text"))), lambda a, b: (a["event_id"] - b["event_id"]).cast("int")), lambda x: F.parse_json(x["text"])).alias("events"))
+    source = F.struct(F.lit("dev-1").alias("device_id"), F.lit("1.0.0").alias("agent_version"), *[F.lit(None).cast("string").alias(k) for k in ("ingest_key_id", "vendor", "product")])
+    batches = batches.select("tenant_id", F.concat(F.lit("batch-"), F.col("_b").cast("string")).alias("batch_id"), F.lit("agent").alias("source_type"), "ingest_time", source.alias("source"), "events")
     good, _ = normalize.split_valid(normalize.normalize(normalize.explode_batches(batches)))
     return detect(good, build_pack("1.0.0", RULES)).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+@query("store_once", """SELECT strftime(ts, '%Y.%m') AS month, count(*) AS n FROM (SELECT DISTINCT ON (event_id) event_id, ts + INTERVAL 280 DAY AS ts FROM events) GROUP BY 1""")
+def store_once(spark, d):
+    """The store after two deliveries of the same events, the second under another epoch: nothing twice, October included."""
+    e = read(spark, d, "events").select(F.lit("t1").alias("tenant_id"), F.col("event_id").cast("string").alias("doc_id"), (F.col("ts").cast("timestamp") + F.expr("interval 280 days")).alias("event_time"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store-", dir="/tmp")
+    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    ingest.store_events(e, path)
+    again = ingest.store_events(e.repartition(3), path)
+    stored = spark.read.schema(again.schema).parquet(path)
+    return stored.groupBy("month").agg(F.count("*").alias("n"))
+
+
+@query("ulid_time", "SELECT event_id, epoch_us(ts) // 1000 AS millis, 26 AS length, CAST(rank() OVER (ORDER BY epoch_us(ts) // 1000) AS BIGINT) AS place FROM events")
+def ulid_time(spark, d):
+    """Ids hold their time and sort by it."""
+    e = read(spark, d, "events").select("event_id", text.ulid(F.col("ts"), F.col("event_id")).alias("id"))
+    digits = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.instr(F.lit(text.CROCKFORD), F.substring(F.col("id"), k, F.lit(1))) - 1)
+    e = e.withColumn("millis", F.aggregate(digits, F.lit(0).cast("bigint"), lambda a, x: a * 32 + x))
+    ranks = e.groupBy(F.substring("id", 1, 10).alias("head")).agg(F.count("*").alias("k"))
+    ranks = ranks.withColumn("place", F.coalesce(F.sum("k").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
+    return e.join(ranks, F.substring("id", 1, 10) == F.col("head")).select("event_id", "millis", F.length("id").alias("length"), "place")
+
+
+@query("false_positive_export", "SELECT o_orderkey AS alert_id, o_orderdate AS closed_at FROM orders WHERE o_orderkey % 4 = 2 AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' ORDER BY 2, 1")
+def false_positive_export(spark, d):
+    o = read(spark, d, "orders").withColumns({"tenant_id": F.lit("t"), "alert_id": F.col("o_orderkey"), "closed_at": F.col("o_orderdate").cast("timestamp"), "close_reason": F.when(F.col("o_orderkey") % 4 == 2, "false_positive").otherwise("resolved")})
+    return queue.false_positives(o, "1996-01-01", "1998-12-31", tenant_id="t").select("alert_id", ntz("closed_at"))
+
+
+@query("metering_range", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS model_id, count(*) AS calls, CAST(sum(event_id % 100) AS BIGINT) AS tokens_out FROM events WHERE user_id % 5 = 1 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY ALL ORDER BY 1, 2")
+def metering_range(spark, d):
+    calls = read(spark, d, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("tenant_id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("model_id"), F.lit(0).alias("tokens_in"), (F.col("event_id") % 100).alias("tokens_out"), F.lit(0).cast("decimal(12,2)").alias("cost_usd"), F.col("value").alias("latency_ms"))
+    rows = usage.metering_range(calls, "t1", datetime.datetime(2024, 1, 5), datetime.datetime(2024, 1, 20))
+    return rows.select(F.col("day").cast("string").alias("day"), "model_id", "calls", "tokens_out")
+
+
+@query("enrolment_observations", "SELECT 'agent' AS source, 'host-' || (user_id % 40) AS hostname, count(*) AS n FROM events WHERE event_type IN ('signup', 'click') GROUP BY ALL")
+def enrolment_observations(spark, d):
+    """Observations of events and of enrolments in one stream."""
+    e = read(spark, d, "events")
+    host = F.struct(F.concat(F.lit("host-"), (F.col("user_id") % 40).cast("string")).alias("hostname"), *[F.lit(None).cast("string").alias(k) for k in ("os_family", "os_name", "os_version", "ip", "mac")])
+    at, device = F.col("ts").cast("timestamp"), F.concat(F.lit("d"), F.col("user_id").cast("string"))
+    seen = e.filter("event_type = 'click'").select(F.lit("t").alias("tenant_id"), at.alias("event_time"), F.lit("agent").alias("source_type"), host.alias("host"), F.struct(device.alias("device_id"), F.lit("1").alias("agent_version")).alias("source"))
+    enrolled = e.filter("event_type = 'signup'").select(F.lit("t").alias("tenant_id"), at.alias("enrolled_at"), host.alias("host"), device.alias("device_id"), F.lit("1").alias("agent_version"))
+    rows = normalize.observations(seen).unionByName(normalize.enrolment_observations(enrolled))
+    return rows.groupBy("source", "hostname").agg(F.count("*").alias("n"))
+
+
+@query("provision_tenants", "SELECT c_custkey AS tenant_id, k AS key FROM customer, (VALUES ('index', 0), ('plan', 1)) v(k, r) WHERE NOT (c_custkey % 3 = 0 AND r = 1)")
+def provision_tenants(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("tenant_id"))
+    known = c.filter("tenant_id % 3 = 0").withColumn("key", F.lit("plan"))
+    return admin.provision(c, known, {"plan": "trial", "index": "events-v1"}).select("tenant_id", "key")
+
+
+@query("asset_view", "SELECT c_custkey AS asset_id, (SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey = c_custkey) AS device_id, COALESCE((SELECT list(o_orderpriority ORDER BY o_orderdate, o_orderpriority) FROM orders WHERE o_custkey = c_custkey), []) AS identities FROM customer")
+def asset_view(spark, d):
+    t = F.lit("t").alias("tenant_id")
+    o = read(spark, d, "orders")
+    devices = o.select(t, F.col("o_custkey").alias("asset_id"), F.col("o_orderkey").alias("device_id"), F.lit("1").alias("agent_version"), F.col("o_orderdate").alias("last_heartbeat"), F.col("o_orderdate").alias("created_at"))
+    known = o.select(t, F.col("o_custkey").alias("asset_id"), F.col("o_orderpriority").alias("value"), F.col("o_orderdate").alias("first_seen"))
+    rows = read(spark, d, "customer").select(t, F.col("c_custkey").alias("asset_id"), F.lit("active").alias("state"), F.col("c_name").alias("hostname"))
+    return assets.asset_view(rows, devices, known).select("asset_id", F.col("agent.device_id").alias("device_id"), F.transform("identities", lambda x: x["value"]).alias("identities"))
+
+
+@query("bulk_outcome", "WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS place FROM orders ORDER BY o_orderkey DESC LIMIT 40) SELECT CAST(place AS INTEGER) AS place, CAST(o_orderkey AS VARCHAR) AS alert_id, CASE WHEN o_orderkey % 2 = 0 THEN 'ok' ELSE 'conflict' END AS outcome FROM i UNION ALL SELECT 40, 'none', 'not_found'")
+def bulk_outcome(spark, d):
+    """One action on the last 40 orders as alerts, and on an id that is none; ids given twice count once."""
+    o = read(spark, d, "orders").select(F.lit("t").alias("tenant_id"), F.col("o_orderkey").cast("string").alias("alert_id"), F.when(F.col("o_orderkey") % 2 == 0, "new").otherwise("closed").alias("state"), F.lit(None).cast("string").alias("close_reason"))
+    ids = [r.alert_id for r in o.orderBy(F.col("alert_id").cast("bigint").desc()).limit(40).collect()]
+    return alerts.bulk_action(o, "t", [*ids, "none", ids[0]], "acknowledge", "me", AS_OF)[1]
+
+
+@query("degraded_context", "SELECT c_custkey AS alert_id, 0 AS bodies FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def degraded_context(spark, d):
+    """Alerts whose event store is out of reach keep their links, without bodies."""
+    links = read(spark, d, "orders").select(F.lit("t").alias("tenant_id"), F.col("o_custkey").alias("alert_id"), F.col("o_orderkey").alias("event_id"))
+    return ingest.bodies_or_none(links, None).groupBy("alert_id").agg(F.count("body").cast("int").alias("bodies"))
+
+
+@query("login_rows", "SELECT o_orderkey AS user_id, c_mktsegment AS plan_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'F'")
+def login_rows(spark, d):
+    users = read(spark, d, "orders").select(F.col("o_orderkey").alias("user_id"), F.col("o_custkey").alias("tenant_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at"))
+    tenants = read(spark, d, "customer").select(F.col("c_custkey").alias("tenant_id"), F.lit("active").alias("status"), F.col("c_mktsegment").alias("plan_id"), F.lit(False).alias("abuse_frozen"))
+    return relations.users_with_tenants(users, tenants).select("user_id", "plan_id")
+
+
+@query("open_conflicts", "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY ALL HAVING count(*) > 1")
+def open_conflicts(spark, d):
+    """Keys of which more than one row is open."""
+    return relations.conflicts(read(spark, d, "orders"), ["o_custkey", "o_orderpriority"], F.col("o_orderstatus").isin("O", "P"))
+
+
+@query("audit_search", "SELECT event_id FROM events WHERE event_type = 'click' AND user_id = 7 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'")
+def audit_search(spark, d):
+    rows = read(spark, d, "events").select("event_id", F.col("event_type").alias("action_type"), F.col("user_id").alias("actor"), F.col("ts").cast("timestamp").alias("created_at"))
+    return rows.filter(queue.audit_filter(actor=7, action_type="click", since=datetime.datetime(2024, 1, 5), until=datetime.datetime(2024, 1, 25))).select("event_id")
+
+
 @query("context_document", """WITH f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders), g AS (SELECT o_custkey, list('"' || o_orderstatus || o_orderkey || '"' ORDER BY n) AS b FROM f WHERE n <= 5 AND o_orderkey % 3 <> 0 GROUP BY 1)
  SELECT CAST(c_custkey AS VARCHAR) AS alert_id, '{"alert_id":"' || c_custkey || '","rule_id":"r","title":"' || c_mktsegment || '","severity":"low","occurrence_count":1,"events":[' || COALESCE(array_to_string(b, ','), '') || ']}' AS context FROM customer LEFT JOIN g ON o_custkey = c_custkey""")
 def context_document(spark, d):
@@ -667,7 +794,10 @@ def rate_admission(spark, d):
     return usage.admit_by_rate(e, "event_type", "ts", "event_id", F.col("n"), 9).select("event_id", "admitted")
 
 
-@query("fixed_window_admission", None)
+@query("fixed_window_admission", """WITH RECURSIVE e AS (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s, ts FROM events),
+ nxt AS (SELECT a.event_type, a.s, min(b.s) AS n FROM (SELECT DISTINCT event_type, s FROM e) a JOIN (SELECT DISTINCT event_type, s FROM e) b ON a.event_type = b.event_type AND b.s >= a.s + 600 GROUP BY ALL),
+ w AS (SELECT event_type, min(s) AS s FROM e GROUP BY 1 UNION ALL SELECT nxt.event_type, nxt.n FROM w JOIN nxt ON nxt.event_type = w.event_type AND nxt.s = w.s)
+ SELECT event_id, row_number() OVER (PARTITION BY e.event_type, w.s ORDER BY ts, event_id) <= 3 AS admitted FROM e ASOF JOIN w ON w.event_type = e.event_type AND w.s <= e.s""")
 def fixed_window_admission(spark, d):
     e = read(spark, d, "events").select("event_type", "ts", "event_id")
     return usage.admit_by_fixed_window(e, "event_type", "ts", "event_id", 3, 600).select("event_id", "admitted")
@@ -701,25 +831,27 @@ def ilike_escape(spark, d):
     return read(spark, d, "customer").filter(c.ilike(f"%{text.like_literal('R#00000000_')}%") | c.ilike(f"%{text.like_literal('r#0000001')}%")).select("c_custkey")
 
 
-@query("array_filter", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING list_contains(list(l_returnflag), 'R') AND NOT list_contains(list(l_linestatus), 'O')")
+@query("array_filter", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING list_contains(list(l_returnflag), 'R') AND min(l_linestatus) <> 'O' AND max(l_shipdate) >= TIMESTAMP '1997-01-01'")
 def array_filter(spark, d):
-    o = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("f"), F.collect_set("l_linestatus").alias("s"))
-    return o.filter(F.array_contains("f", "R") & ~F.array_contains("s", "O")).select("l_orderkey")
+    """Assets with a source, in a state, seen since."""
+    o = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("sources"), F.min("l_linestatus").alias("agent_status"), F.max("l_shipdate").alias("last_seen"))
+    o = o.withColumn("state", F.when(F.col("agent_status") != "O", "active").otherwise("merged"))
+    return o.filter(queue.asset_filter(source="R") & (F.col("last_seen") >= F.lit("1997-01-01").cast("timestamp_ntz"))).select("l_orderkey")
 
 
 @query("set_union", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
 def set_union(spark, d):
-    return read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).union(read(spark, d, "supplier").select("s_nationkey")).distinct()
+    return relations.either(read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")))
 
 
 @query("set_except", "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_except(spark, d):
-    return read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).subtract(read(spark, d, "supplier").filter("s_acctbal > 5000").select("s_nationkey"))
+    return relations.missing(read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")), read(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation")))
 
 
 @query("set_intersect", "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersect(spark, d):
-    return read(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_nationkey").alias("nation")).intersect(read(spark, d, "supplier").select("s_nationkey"))
+    return relations.common(read(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_nationkey").alias("nation")), read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")))
 
 
 @query("tpch_pricing", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY ALL")

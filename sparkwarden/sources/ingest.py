@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,22 +49,25 @@ def from_envelope(messages: DataFrame, payload_schema: str) -> tuple[DataFrame,
     return typed.filter(good).select("tenant_id", "trace_id", "_p.*").drop("_corrupt"), bad
 
 
-def store_events(events: DataFrame, path: str) -> DataFrame:
-    """Append events that the store does not have, by tenant and month; returns what was new. Only the keys of the months
-    that the batch writes to are read."""
-    spark = events.sparkSession
-    keyed = events.withColumn("month", month_of(F.col("event_time"))).dropDuplicates(["tenant_id", "month", "doc_id"])
+def store_events(events: DataFrame, path: str, epoch: str | None = None) -> DataFrame:
+    """Append events that the store does not have, by tenant and month; returns the stored events of this epoch.
+
+    Each row names the epoch that stored it (by default a new one). A delivery that is made again under its epoch, after a
+    crash for one, stores nothing twice and returns the same rows. Only the months that the batch writes to are read."""
+    spark, epoch = events.sparkSession, epoch or uuid.uuid4().hex
+    keyed = events.withColumn("month", month_of(F.col("event_time"))).dropDuplicates(["tenant_id", "month", "doc_id"]).withColumn("epoch", F.lit(epoch))
+    months = [r.month for r in keyed.select("month").distinct().collect()]  # a batch spans a few
+    # With a schema of its own the month stays text: inferred, 2024.10 would be the number 2024.1.
+    store = lambda: spark.read.schema(keyed.schema).parquet(path).filter(F.col("month").isin(months))
     try:
-        months = [r.month for r in keyed.select("month").distinct().collect()]  # a batch spans a few
-        stored = spark.read.parquet(path).filter(F.col("month").cast("string").isin(months)).select("tenant_id", F.col("month").cast("string").alias("month"), "doc_id")
-    except Exception as missing:  # the first batch of all
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+        stored = store().select("tenant_id", "month", "doc_id")
+    except AnalysisException as missing:  # the first batch of all
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
         keyed = keyed.join(stored, ["tenant_id", "month", "doc_id"], "left_anti")
-    keyed = keyed.persist()
     keyed.write.mode("append").partitionBy("tenant_id", "month").parquet(path)
-    return keyed
+    return store().filter(F.col("epoch") == epoch)
 
 
 def by_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
@@ -69,56 +75,35 @@ def by_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
     return events.join(ids, ["tenant_id", "event_id"], "left_semi")
 
 
+def bodies_or_none(links: DataFrame, events: DataFrame | None) -> DataFrame:
+    """Linked events with their body; where the event store is out of reach (None), the links with null bodies."""
+    if events is None:
+        return links.withColumn("body", F.lit(None).cast("string"))
+    return links.join(events.select("tenant_id", "event_id", "body"), ["tenant_id", "event_id"], "left")
+
+
 def append_dead_letters(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
 def audit_rows(rows: DataFrame, actor: Column, action_type: Column, target: Column, before: Column, after: Column, reason: Column, at: Column) -> DataFrame:
-    """Audit entries, with secrets hidden; a value over 16 KB is not logged but named as too large."""
-    value = lambda c: F.when(F.octet_length(c) > MAX_AUDIT_BYTES, F.lit('{"too_large":true}')).otherwise(redact_json(c))
-    return rows.select("tenant_id", actor.alias("actor"), action_type.alias("action_type"), target.alias("target"), value(before).alias("before"), value(after).alias("after"), reason.alias("reason_code"), at.alias("created_at"))
+    """Audit entries, with secrets hidden; what is then over 16 KB, or no JSON object, is not logged but named as that."""
+    rows = rows.select("tenant_id", actor.alias("actor"), action_type.alias("action_type"), target.alias("target"), before.alias("before"), after.alias("after"), reason.alias("reason_code"), at.alias("created_at"))
+    for name in ("before", "after"):
+        rows = rows.withColumn(f"_{name}", redact_json(F.col(name)))
+    value = lambda c: F.when(F.octet_length(f"_{c}") > MAX_AUDIT_BYTES, F.lit('{"too_large":true}')).when(F.col(c).isNotNull() & F.col(f"_{c}").isNull(), F.lit('{"not_an_object":true}')).otherwise(F.col(f"_{c}"))
+    return rows.withColumns({"before": value("before"), "after": value("after")}).drop("_before", "_after")
 
 
 def read_buffer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Lines `<20 digits> <json>` of a buffer's segments -> (events by class folder with seq, corrupt lines)."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1).alias("class"))
+    """Lines `<20 digits> <json>` of a buffer's segments -> (events by class folder and segment with seq, corrupt lines)."""
+    lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1).alias("class"), F.regexp_extract(F.input_file_name(), r"/([^/]+)$", 1).alias("segment"))
     body = F.substring("value", 22, 1 << 30)
     good = F.col("value").rlike(r"^[0-9]{20} \{") & F.try_parse_json(body).isNotNull()
-    rows = lines.filter(good).select(F.substring("value", 1, 20).cast("bigint").alias("seq"), "class", body.alias("body"), F.octet_length("value").alias("bytes"))
+    rows = lines.filter(good).select(F.substring("value", 1, 20).cast("bigint").alias("seq"), "class", "segment", body.alias("body"), F.octet_length("value").alias("bytes"))
     return rows, lines.filter(~good)
 
 
-def simulate(spark: SparkSession, n: int, tenant_id: str, seed: int = 1, start: str = "2026-01-01 00:00:00") -> DataFrame:
-    """n raw events as JSON, the same for the same seed: 55 % process, 35 % network, 10 % logon; each 40th is an attack."""
-    roll = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(100))
-    attack = F.col("id") % 40 == 39
-    host = F.concat(F.lit("ws-"), F.lpad(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(50)).cast("string"), 2, "0"))
-    user = F.concat(F.lit("user"), F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(80)).cast("string"))
-    at = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(start)) + F.col("id") * 5), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    base = [F.concat(F.lit("sim-"), F.col("id").cast("string")).alias("source_event_id"), at.alias("event_time"), F.struct(host.alias("hostname"), F.lit("windows").alias("os_family")).alias("host"), F.struct(user.alias("name")).alias("user")]
-    parent = F.struct(F.lit(4).alias("pid"), F.lit("explorer.exe").alias("name"))
-    process = F.struct(
-        F.lit("process_activity").alias("event_class"), F.lit("process_launched").alias("activity"), *base,
-        F.struct((F.col("id") % 9000 + 100).alias("pid"), F.when(attack, "powershell.exe").otherwise("notepad.exe").alias("name"), F.lit("C:\\Windows").alias("exe_path"), F.when(attack, "powershell.exe -enc SQBFAFgA").otherwise("notepad.exe a.txt").alias("cmd_line")).alias("process"), parent.alias("parent"))
-    network = F.struct(
-        F.lit("network_activity").alias("event_class"), F.lit("connection_opened").alias("activity"), *base, F.lit("outbound").alias("direction"), F.lit("tcp").alias("protocol"),
-        F.struct(F.lit("10.0.0.5").alias("ip"), F.lit(50000).alias("port")).alias("src"), F.struct(F.when(attack, "203.0.113.9").otherwise("10.0.0.9").alias("ip"), F.when(attack, 4444).otherwise(443).alias("port")).alias("dst"))
-    logon = F.struct(
-        F.lit("authentication").alias("event_class"), F.when(attack, "logon_failed").otherwise("logon").alias("activity"), *base, F.when(attack, "failure").otherwise("success").alias("status"),
-        F.lit("interactive").alias("logon_type"), F.when(attack, "account_locked").alias("failure_reason"))
-    body = F.when(roll < 55, F.to_json(process)).when(roll < 90, F.to_json(network)).otherwise(F.to_json(logon))
-    return spark.range(n).select(F.lit(tenant_id).alias("tenant_id"), "id", body.alias("body"))
-
-
-def batches_of(simulated: DataFrame, size: int = 100, device: str = "dev-1") -> DataFrame:
-    """Simulated events as raw batches of an agent."""
-    grouped = simulated.withColumn("_b", F.floor(F.col("id") / size)).groupBy("tenant_id", "_b").agg(F.array_sort(F.collect_list(F.struct("id", "body"))).alias("rows"), F.max("id").alias("_last"))
-    source = F.struct(F.lit(device).alias("device_id"), F.lit("1.0.0").alias("agent_version"), *[F.lit(None).cast("string").alias(k) for k in ("ingest_key_id", "vendor", "product")])
-    return grouped.select(
-        "tenant_id", F.concat(F.lit("trace-"), F.col("_b").cast("string")).alias("trace_id"), F.concat(F.lit("batch-"), F.col("_b").cast("string")).alias("batch_id"), F.lit("agent").alias("source_type"),
-        F.timestamp_seconds(F.lit(1_767_225_600) + F.col("_last") * 5).alias("ingest_time"), source.alias("source"), F.transform("rows", lambda r: F.parse_json(r["body"])).alias("events"))
-
-
 def plan_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(schema.PLAN_CONFIG, "plan_id string, key string, value string")
 

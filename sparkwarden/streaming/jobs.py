@@ -1,6 +1,8 @@
 """Streams between durable tables: raw batches to events and detections, and windowed counters.
 
-Each micro-batch writes with keys that a repeated batch has too, so a restart from the checkpoint stores nothing twice.
+Each micro-batch stores under its number: events that the store has not, dead letters and detections in a folder of
+their own, which a repeated batch writes anew. Detections are made from the events stored under that number, so that a
+batch that died after it stored them still makes its detections. One output folder belongs to one checkpoint.
 """
 
 from __future__ import annotations
@@ -25,13 +27,11 @@ def run_events(spark: SparkSession, raw: str, base: str, pack_of: Callable[[], P
         good, bad = check_batches(batch)
         normalized = normalize(explode_batches(good).filter("payload is not null")).persist()
         events, rejected = split_valid(normalized)
-        stored = store_events(events, f"{base}/events")
-        for rows, name in ((bad, "dead_letters"), (rejected, "dead_letters")):
-            rows.withColumn("epoch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/{name}")
+        stored = store_events(events, f"{base}/events", str(batch_id))
+        bad.unionByName(rejected).write.mode("overwrite").parquet(f"{base}/dead_letters/epoch={batch_id}")
         disabled, toggles = overlays()
         hits = detect(stored, pack_of(), disabled=disabled, toggles=toggles)
-        hits.withColumn("epoch", F.lit(batch_id)).write.mode("append").parquet(f"{base}/detections")
-        stored.unpersist()
+        hits.write.mode("overwrite").parquet(f"{base}/detections/epoch={batch_id}")
         normalized.unpersist()
 
     return stream_batches(spark, raw).writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
@@ -50,7 +50,13 @@ def rate_windows(events: DataFrame, delay: str = "1 minute") -> DataFrame:
 def failure_windows(evaluations: DataFrame, delay: str = "5 minutes") -> DataFrame:
     """Failures of rules in sliding windows of 5 minutes, each 30 seconds."""
     grouped = evaluations.withWatermark("at", delay).groupBy("rule_id", F.window("at", "5 minutes", "30 seconds"))
-    return grouped.agg(F.count("*").alias("evaluations"), F.sum(F.col("error").cast("int")).alias("errors"), F.approx_count_distinct(F.when(F.col("error"), F.col("tenant_id"))).alias("failing_tenants"))
+    return grouped.agg(F.count("*").alias("evaluations"), F.sum(F.col("error").cast("int")).alias("errors"), F.size(F.collect_set(F.when(F.col("error"), F.col("tenant_id")))).alias("failing_tenants"))
+
+
+def failing_windows(evaluations: DataFrame, delay: str = "5 minutes", *, fraction: float = 0.05, tenants: int = 3, least: int = 200) -> DataFrame:
+    """Each rule once, when a window first puts it over all thresholds."""
+    over = (F.col("evaluations") >= least) & (F.col("errors") >= fraction * F.col("evaluations")) & (F.col("failing_tenants") >= tenants)
+    return failure_windows(evaluations, delay).filter(over).dropDuplicates(["rule_id"])
 
 
 def session_alerts(hits: DataFrame, delay: str = "2 hours") -> DataFrame:

@@ -1,7 +1,9 @@
 """Normalising, alerts, assets, scoring, text checks and the query surface."""
 
+import hashlib
 import json
-from datetime import datetime, timedelta
+import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,7 +57,7 @@ def test_generic_mapping_and_identity(spark):
     good, bad = normalize.split_valid(normalize.normalize(raw(spark, payloads, "generic", KEY)))
     rows = {r.ordinal: r for r in good.collect()}
     assert rows[0].message == "hello" and rows[1].message == '{"level":3}' and rows[0].event_class == "generic" and rows[0].time_inferred
-    assert rows[3].raw_truncated and len(rows[3].raw.encode()) <= 32 * 1024 and json.loads(rows[3].raw)["truncated_json"] and json.loads(rows[3].unmapped) == {"strange": "[1]"}
+    assert rows[3].raw_truncated and len(rows[3].raw.encode()) <= 32 * 1024 and json.loads(rows[3].raw)["truncated_json"] and json.loads(rows[3].unmapped) == {"strange": [1]}
     assert [r.code for r in bad.collect()] == ["EVENT_NOT_AN_OBJECT"]
     assert rows[0].doc_id == rows[4].doc_id
     stored = good.filter("ordinal = 1").withColumn("month", F.lit("2026.07"))
@@ -222,16 +224,15 @@ def test_jobs(spark):
     assert [g[0] for g in gates] == [None, "TENANT_ABUSE_FROZEN", "TENANT_FROZEN", "TENANT_PURGED", "TENANT_NOT_ACTIVE"]
 
 
-def test_buffer_and_simulator(spark, tmp_path):
+def test_buffer_and_audit(spark, tmp_path):
     for name, lines in (("network", ["%020d {\"a\":1}" % 3, "%020d {\"a\":" % 4]), ("auth", ["%020d {\"b\":2}" % 1, "torn"])):
         (tmp_path / name).mkdir()
         (tmp_path / name / "000.log").write_text("\n".join(lines) + "\n")
     rows, bad = ingest.read_buffer(spark, str(tmp_path / "*"))
     assert [(r.seq, r["class"]) for r in usage.merged_in_order(rows).collect()] == [(1, "auth"), (3, "network")] and bad.count() == 2
-    sim = ingest.simulate(spark, 400, TENANT)
-    assert sorted(map(str, sim.collect())) == sorted(map(str, ingest.simulate(spark, 400, TENANT).collect())) and sim.filter("body like '%-enc%' or body like '%203.0.113.9%' or body like '%account_locked%'").count() == 10
-    log = ingest.audit_rows(spark.range(1).withColumn("tenant_id", F.lit("t")), F.lit("me"), F.lit("x"), F.lit("y"), F.lit('{"token":"a"}'), F.lit("z" * 20_000), F.lit(None).cast("string"), F.lit(T0)).first()
+    log = ingest.audit_rows(spark.range(1).withColumn("tenant_id", F.lit("t")), F.lit("me"), F.lit("x"), F.lit("y"), F.lit('{"token":"a"}'), F.lit('{"v":"' + "z" * 20_000 + '"}'), F.lit(None).cast("string"), F.lit(T0)).first()
     assert log.before == '{"token":"[REDACTED]"}' and log.after == '{"too_large":true}'
+    assert {r.segment for r in rows.collect()} == {"000.log"}
 
 
 def test_triage_tries_twice_and_keeps_to_the_budget(spark):
@@ -246,3 +247,74 @@ def test_triage_tries_twice_and_keeps_to_the_budget(spark):
     assert said(daily_tokens=1) == {"a0": "ok", "a1": "ok", "a2": "over_budget", "a3": "over_budget"}
     done = {r.alert_id: r for r in triage.apply_triage(df, triage.triage(df, links, bodies, scorer=lower)).collect()}
     assert done["a0"].priority_score == 59 and done["a0"].summary == GOOD and done["a0"].priority_inputs.ai_effective == "medium"
+
+
+def test_triage_charges_what_tries_cost(spark):
+    """In and out of every try; a second try only where the first failed; nothing for what is skipped."""
+    rows = [("t", f"a{k}", "r", "title", "high", 1, T0 + timedelta(minutes=k), "fin-laptop-07", "sam", "none") for k in range(5)]
+    df = spark.createDataFrame(rows, "tenant_id string, alert_id string, rule_id string, title string, severity string, occurrence_count int, last_seen timestamp, entity_hostname string, entity_user string, agent_status string")
+    links = spark.createDataFrame([], "tenant_id string, alert_id string, event_id string, created_at timestamp")
+    bodies = spark.createDataFrame([], "tenant_id string, event_id string, body string")
+    good = F.to_json(F.struct(F.lit(GOOD).alias("summary"), F.lit("low").alias("ai_severity")))
+    first = lambda context: F.when(context.contains("a1"), F.lit("not json")).otherwise(good)
+    asked = lambda context: F.when(context.isNotNull(), good)
+    got = {r.alert_id: r for r in triage.triage(df, links, bodies, scorer=first, again=asked).collect()}
+    assert all(r.outcome == "ok" for r in got.values()) and got["a1"].tokens_in == 2 * got["a0"].tokens_in and got["a1"].tokens_out > got["a0"].tokens_out
+    cost = {k: r.tokens_in + r.tokens_out for k, r in got.items()}
+    for cap, n in ((cost["a0"], 1), (cost["a0"] + 1, 2), (cost["a0"] + cost["a1"], 2), (cost["a0"] + cost["a1"] + 1, 3)):
+        said = {r.alert_id: r for r in triage.triage(df, links, bodies, scorer=first, again=asked, daily_tokens=cap).collect()}
+        assert [said[f"a{k}"].outcome for k in range(5)] == ["ok"] * n + ["over_budget"] * (5 - n) and all(said[f"a{k}"].tokens_in == 0 for k in range(n, 5))
+
+
+def test_correlation_joins_what_another_rule_showed_lately(spark):
+    def one(rule, alert, first, last, host="h"):
+        return ("t", host, "al_" + alert, rule, alert, 1, T0 + timedelta(minutes=first), T0 + timedelta(minutes=last))
+    schema = "tenant_id string, entity_hostname string, alert_id string, rule_id string, entity_key string, session int, first_seen timestamp, last_seen timestamp"
+    groups = lambda rows: {r.alert_id[3:]: (r.group_id, r.opens) for r in alerts.correlation_groups(spark.createDataFrame(rows, schema)).collect()}
+    got = groups([one("r1", "A", 0, 0), one("r1", "B", 20, 20), one("r2", "C", 45, 45)])
+    assert set(got) == {"B", "C"} and got["B"][0] == got["C"][0] and got["C"][1] and not got["B"][1]
+    got = groups([one("r1", "A", 0, 0), one("r2", "B", 30, 30), one("r2", "C", 61, 61), one("r1", "D", 200, 200), one("r2", "E", 200, 200, "g")])
+    assert set(got) == {"A", "B"}
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        first = rng.randrange(9000)
+        rows.append(one(f"r{rng.randrange(4)}", f"{k:03d}", first, first + rng.choice([0, 0, 5, 70, 130]), f"h{rng.randrange(3)}"))
+    expected, window = {}, timedelta(minutes=30)
+    for host in ("h0", "h1", "h2"):
+        seen = []
+        for r in sorted((r for r in rows if r[1] == host), key=lambda r: (r[6], r[3], r[4])):
+            others = sorted((o for o in seen if o[3] != r[3] and o[7] >= r[6] - window), key=lambda o: (o[7], o[2]), reverse=True)
+            if others:
+                group = next((expected[o[4]][0] for o in others if o[4] in expected), None)
+                expected |= {o[4]: (group or "cg_" + r[4], False) for o in others if o[4] not in expected} | {r[4]: (group or "cg_" + r[4], group is None)}
+            seen.append(r)
+    assert groups(rows) == expected and len({g for g, _ in expected.values()}) > 20
+
+
+def test_redaction_walks_all_shapes(spark):
+    deep = "1"
+    for _ in range(23):
+        deep = '{"a":' + deep + "}"
+    docs = ['{"pass\\u0077ord":{"value":"x"},"tokens":["a"],"api_keys":[1],"keyboard":{"x":"é"}}', '[{"token":1}]', "nothing", None, deep]
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in docs], "d string").select(text.redact_json(F.col("d"))).collect()]
+    assert json.loads(got[0]) == {"password": "[REDACTED]", "tokens": "[REDACTED]", "api_keys": "[REDACTED]", "keyboard": {"x": "é"}}
+    assert got[1:4] == [None] * 3 and got[4].count("{") == 21 and "[REDACTED]" in got[4]
+
+
+def test_unmapped_is_merged(spark):
+    payload = '{"event_class":"authentication","activity":"logon","status":"success","user":{"name":"u"},"event_time":"2024-01-05T10:00:00Z","unmapped":{"prior":true,"extra":0},"extra":{"n":1},"void":null}'
+    source = "named_struct('device_id', cast(null as string), 'agent_version', cast(null as string), 'ingest_key_id', 'k', 'vendor', cast(null as string), 'product', cast(null as string))"
+    raw = spark.sql(f"select '{TENANT}' as tenant_id, 'b' as batch_id, 'generic' as source_type, timestamp'2024-01-05' as ingest_time, {source} as source, 0 as ordinal, parse_json('{payload}') as payload")
+    assert json.loads(normalize.normalize(raw).first().unmapped) == {"prior": True, "extra": {"n": 1}}
+
+
+def test_ulids_sort_by_time(spark):
+    rows = [(T0 + timedelta(milliseconds=k * 37), f"s{k}") for k in range(200)]
+    ids = [r[0] for r in spark.createDataFrame(rows, "at timestamp, s string").select(text.ulid(F.col("at"), F.col("s"))).collect()]
+    assert ids == sorted(ids) and len(set(ids)) == 200 and {len(i) for i in ids} == {26} and set("".join(ids)) <= set(text.CROCKFORD)
+    alphabet = text.CROCKFORD
+    value = 0
+    for c in ids[3]:
+        value = value * 32 + alphabet.index(c)
+    assert value >> 80 == int(rows[3][0].replace(tzinfo=rows[3][0].tzinfo or timezone.utc).timestamp() * 1000) and value & ((1 << 80) - 1) == int(hashlib.sha256(b"s3").hexdigest()[:20], 16)

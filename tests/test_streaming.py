@@ -4,12 +4,13 @@ import json
 import os
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.rules.content import RULES
 from sparkwarden.rules.pack import build_pack
-from sparkwarden.sources import ingest
 from sparkwarden.streaming import jobs, processors
+from tests import simulator
 from tests.test_events import LOG, TENANT, observed
 
 T0 = datetime(2026, 7, 8, 10, 0, 0)
@@ -61,7 +62,7 @@ def test_assets_keep_state_between_batches(spark, tmp_path):
 
 def test_event_job_from_files_to_detections(spark, tmp_path):
     raw, base = str(tmp_path / "raw"), str(tmp_path / "out")
-    batches = ingest.batches_of(ingest.simulate(spark, 200, TENANT), 50)
+    batches = simulator.batches_of(simulator.simulate(spark, 200, TENANT), 50)
     batches.coalesce(1).write.json(raw)
     pack = build_pack("1.0.0", RULES)
     for _ in range(2):  # the second run starts from the checkpoint and finds nothing new
@@ -75,15 +76,32 @@ def test_event_job_from_files_to_detections(spark, tmp_path):
     assert hits.count() == 5 and hits.select("event_id").distinct().count() == 5
 
 
+def test_a_batch_that_died_after_its_events_makes_its_detections(spark, tmp_path, monkeypatch):
+    raw, base = str(tmp_path / "raw"), str(tmp_path / "out")
+    simulator.batches_of(simulator.simulate(spark, 200, TENANT, start="2026-10-01 00:00:00"), 50).coalesce(1).write.json(raw)
+    pack = build_pack("1.0.0", RULES)
+
+    def dies(*_, **__):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "detect", dies)
+        with pytest.raises(Exception, match="lost"):
+            jobs.run_events(spark, raw, base, lambda: pack).awaitTermination(300)
+    assert spark.read.parquet(f"{base}/events").count() == 200
+    q = jobs.run_events(spark, raw, base, lambda: pack)
+    assert q.awaitTermination(300) and q.exception() is None
+    assert spark.read.parquet(f"{base}/events").count() == 200 and spark.read.parquet(f"{base}/detections").count() == 5
+
+
 def test_windowed_streams(spark, tmp_path):
     rows = [{"tenant_id": "t", "rule_id": "r", "entity_key": "e", "event_time": T0 + timedelta(minutes=m), "at": T0 + timedelta(minutes=m), "doc_id": str(m // 2), "error": m % 2 == 0} for m in (0, 1, 2, 30, 400, 401)]
     write_batches(tmp_path, [rows, [rows[0] | {"event_time": T0 + timedelta(days=5), "at": T0 + timedelta(days=5), "doc_id": "z"}]])
     schema = "tenant_id string, rule_id string, entity_key string, event_time timestamp, at timestamp, doc_id string, error boolean"
     source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     out = {}
-    for name, build in (("rates", jobs.rate_windows), ("sessions_w", jobs.session_alerts), ("usage_w", jobs.usage_windows), ("failures_w", jobs.failure_windows), ("firsts", jobs.first_of_each)):
+    for name, build in (("rates", jobs.rate_windows), ("sessions_w", jobs.session_alerts), ("usage_w", jobs.usage_windows), ("failures_w", jobs.failure_windows), ("failing_w", lambda e: jobs.failing_windows(e, fraction=0.5, tenants=1, least=1)), ("firsts", jobs.first_of_each)):
         q = build(source()).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
         out[name] = spark.table(name)
     assert sorted(r.occurrence_count for r in out["sessions_w"].collect()) == [2, 4] and out["usage_w"].agg(F.sum("events")).first()[0] == 6
-    assert out["firsts"].count() == 5 and out["rates"].count() > 0 and out["failures_w"].filter("errors > 0").count() > 0
+    assert out["firsts"].count() == 5 and out["rates"].count() > 0 and out["failures_w"].filter("errors > 0").count() > 0 and [r.rule_id for r in out["failing_w"].collect()] == ["r"]

@@ -55,5 +55,24 @@ def test_costs_quotas_and_shedding(spark):
     q = spark.createDataFrame([("t", T0 + timedelta(hours=h), h) for h in range(4)], "tenant string, at timestamp, id long")
     assert [r.admitted for r in usage.admit_by_quota(q, ["tenant"], "at", "id", F.lit(2)).orderBy("id").collect()] == [True, True, False, False]
     assert all(r.admitted for r in usage.admit_by_quota(q, ["tenant"], "at", "id", F.lit(-1)).collect())
-    kept = usage.shed(spark.createDataFrame([("d", c, k, 10) for k, c in enumerate(["network", "process", "auth", "network", "auth"])], "d string, class string, seq long, bytes long"), ["d"], 30)
-    assert sorted(r.seq for r in kept.collect()) == [1, 2, 4]
+    kept = usage.shed(spark.createDataFrame([("d", c, str(k // 4), k, 10) for k, c in enumerate(["network", "process", "auth", "network", "auth", "process", "process"])], "d string, class string, segment string, seq long, bytes long"), ["d"], 45)
+    assert sorted(r.seq for r in kept.collect()) == [2, 4, 5, 6]  # the older process segment goes with both network rows
+
+
+def test_failing_rules_slide_and_are_told_once(spark):
+    rng = random.Random(9)
+    rows = [(f"r{rng.randrange(3)}", f"t{rng.randrange(6)}", rng.random() < 0.06, T0 + timedelta(seconds=rng.randrange(2000)), k) for k in range(3000)]
+    rows += [("exact", f"t{k % 7}", k % 20 == 19, T0 + timedelta(seconds=k), 10_000 + k) for k in range(240)]
+    df = spark.createDataFrame(rows, "rule_id string, tenant_id string, error boolean, at timestamp, id long")
+    got = {r.rule_id: (r.samples, round(r.error_fraction, 6), r.tenants_affected) for r in usage.failing_rules(df, tenants=2, least=100).collect()}
+    expected = {}
+    for rule in ("r0", "r1", "r2", "exact"):
+        seen = []
+        for r in sorted((r for r in rows if r[0] == rule), key=lambda r: (r[3], r[4])):
+            now = (r[3] - T0).total_seconds()  # T0 starts a bucket
+            seen.append((now // 30 * 30, r[2], r[1]))
+            live = [s for s in seen if s[0] >= now - 300]
+            bad = [s for s in live if s[1]]
+            if r[2] and rule not in expected and len(live) >= 100 and len(bad) >= 0.05 * len(live) and len({s[2] for s in bad}) >= 2:
+                expected[rule] = (len(live), round(len(bad) / len(live), 6), len({s[2] for s in bad}))
+    assert got == expected and len(expected) >= 3 and expected["exact"][:2] == (100, 0.05)

@@ -14,8 +14,10 @@ Work on candidates, none of which emits all pairs of a group:
 - where a tuple's sets still are of several components, those outside its largest one are compared with all others:
   pair by pair in small groups, else in blocks of bounded size; only links that join components leave a block.
 
-Null and empty texts have n_shingles 0 and stay alone. Rows that share a doc_id are one document. An empty table gives
-no rows. Columns other than id and text are not read.
+Null and empty texts have n_shingles 0 and stay alone. Ids are whole numbers or else text, of which the least by code
+point is the component's. Rows that share a doc_id are one document: if their texts differ, it links both texts' groups
+only where it is the least id of each, and each row tells the group of its own text. Rows with a null id are in no group.
+An empty table gives no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -148,8 +150,12 @@ def tuples(shingles: np.ndarray) -> np.ndarray:
     return ((joined & ~np.uint64(1)) | side).view(np.int64)
 
 
+def kind_of(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs(doc_id long, text) -> doc_id, n_shingles, set_key (null for none), tuples."""
+    """docs(doc_id, text) -> doc_id, n_shingles, set_key (null for none), tuples."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +170,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             del batch, sets
         release_memory()
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_key string, tuples array<long>")
+    return docs.mapInPandas(run, f"doc_id {kind_of(docs)}, n_shingles long, set_key string, tuples array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -178,7 +184,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             del batch, sets
         release_memory()
 
-    return docs.mapInPandas(run, "node long, n long, shingles array<long>")
+    return docs.mapInPandas(run, f"node {kind_of(docs)}, n long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,7 +208,7 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
     sets = list(rows["shingles"])
     few = np.flatnonzero(rows["few"].to_numpy())
     if not len(few):
-        return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        return pd.DataFrame({"u": rows["node"].iloc[:0], "v": rows["node"].iloc[:0]})
     node, part, n = rows["node"].to_numpy(), rows["component"].to_numpy(), np.array([len(s) for s in sets])
     vocabulary, at = np.unique(np.concatenate([sets[k] for k in few]), return_inverse=True)
     has = np.zeros((len(few), len(vocabulary)), np.bool_)
@@ -224,7 +230,7 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
             if a != b:
                 leader[max(a, b)] = min(a, b)
                 out.append((node[f], node[k]))
-    return pd.DataFrame(out, columns=["u", "v"]).astype(np.int64)
+    return pd.DataFrame(out, columns=["u", "v"]).astype(rows["node"].dtype)
 
 
 def remaining_links(keys: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -249,12 +255,13 @@ def remaining_links(keys: DataFrame, parts: DataFrame, sets: DataFrame) -> DataF
     of_few = large.filter("few").select("key", "node", "component", "few", F.pmod(F.xxhash64(F.lit(1), "node"), n_few).cast("int").alias("row"), all_of(n_many).alias("col"))
     of_many = large.select("key", "node", "component", F.lit(False).alias("few"), all_of(n_few).alias("row"), F.pmod(F.xxhash64(F.lit(2), "node"), n_many).cast("int").alias("col"))
     blocks = of_few.unionByName(of_many).join(sets.select("node", "shingles"), "node")
-    return links.unionByName(blocks.groupBy("key", "row", "col").applyInPandas(block_links, "u long, v long"))
+    return links.unionByName(blocks.groupBy("key", "row", "col").applyInPandas(block_links, "u {0}, v {0}".format(sets.schema["node"].dataType.simpleString())))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (whether it is its own)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    docs = docs.select(F.col(id_col).cast("long" if whole else "string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = materialize(signatures(docs), "signatures")
     own = known.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     nodes = own.groupBy("set_key").agg(F.min("doc_id").alias("node"))

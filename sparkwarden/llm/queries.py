@@ -71,6 +71,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that rules are mined from are the fixed rules' own verdicts: no table labels pages."""
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 

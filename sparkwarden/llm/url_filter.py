@@ -5,7 +5,9 @@ support or confidence are dropped, and so is a rule that a shorter one with at l
 index holds each rule under the rarest of its tokens; a URL meets the rules of its tokens there and those are checked in
 full. The surest rule wins (confidence, support, length, then block before allow); without one the default verdict holds.
 
-A null URL, or one without ://, has empty host and path and gets the default. Equal URLs have equal verdicts.
+A null URL, or one without ://, has empty host and path and gets the default. Equal URLs have equal verdicts; repeated
+rows are judged each. Labelled URLs without a label are not mined. An empty table gives no rows; columns other than id
+and url are not read.
 """
 
 from __future__ import annotations
@@ -128,7 +130,8 @@ def index(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, labelled: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and the mined rule behind a verdict (mined, confidence).
 
-    labelled(url, label): what the rules are mined from; by default the URLs that a fixed rule judges, with its verdict.
+    labelled(url, label): what the rules are mined from; by default the URLs that a fixed rule judges, with its verdict:
+    mining then carries the fixed rules over to URLs that share tokens with what they judge.
     """
     url = F.col(url_col).cast("string")
     name, said = rule(F.col("host"), F.col("path"), rules)
@@ -137,7 +140,7 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
     if labelled is None:
         labelled = pages.filter(F.col("rule").isNotNull()).select("url", "host", "path", F.col("said").alias("label"))
     else:
-        labelled = labelled.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+        labelled = labelled.filter(F.col("label").isNotNull()).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     labelled = labelled.select(tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "label")
     mined = mine(labelled)
     by_token = materialize(index(mined), "url-index")

@@ -66,6 +66,13 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small):
     assert got == {i: (n, c, c == i) for i, (n, c) in expected.items()}
 
 
+def test_near_duplicates_of_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_GROUP", 4)
+    rows = [(f"d{i}" if i % 3 else f"é{i}", t) for i, t in near_corpus()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_near_duplicates_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).count() == 0
@@ -333,6 +340,33 @@ def test_url_rules_against_brute_force(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_mined_verdicts_against_brute_force(spark):
+    """URLs that no fixed rule fits get the surest of all pruned rules whose tokens they have; null labels are not counted."""
+    from itertools import combinations
+    rng = random.Random(15)
+    made = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice('abc')}.org/{rng.choice(['x', 'y'])}/{rng.choice(['p', 'q', 'r'])}"
+    tokens = lambda u: frozenset([f"scheme:{u.split('://')[0]}", "tld:org", "host:org", f"host:{u.split('://')[1][0]}", *(f"path:{p}" for p in u.split("/")[3:])])
+    labelled = [(u, "block" if "/x/p" in u or (".org/y" in u and rng.random() < 0.4) or "b.org/y/r" in u else "allow") for u in (made() for _ in range(500))]
+    asked = sorted({made() for _ in range(80)}) + ["https://new.org/z", "ftp://c.org/y/q", "http://zz/"]
+    every = {}
+    for s in {frozenset(c) for u in {u for u, _ in labelled} for n in range(1, 7) for c in combinations(sorted(tokens(u)), n)}:
+        of = [label for u, label in labelled if s <= tokens(u)]
+        for label in ("allow", "block"):
+            n = of.count(label)
+            if n >= 0.002 * 500 and n / len(of) >= 0.6:
+                every[s, label] = (n / len(of), n / 500)
+    kept = {k: v for k, v in every.items() if not any(len(k[0]) > 1 and every.get((k[0] - {out}, k[1]), (-1,))[0] >= v[0] for out in k[0])}
+    expected = {}
+    for k, u in enumerate(asked):
+        own = frozenset(["scheme:" + u.split("://")[0], *("host:" + h for h in u.split("/")[2].split(".")), "tld:" + u.split("/")[2].split(".")[-1], *("path:" + p for p in u.split("/")[3:] if p)])
+        fits = [(*v, len(s), label == "block", label) for (s, label), v in kept.items() if s <= own]
+        expected[k] = max(fits)[4] if fits else "allow"
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    noise = [(u, None) for u, _ in labelled[:200]]
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labelled=spark.createDataFrame(labelled + noise, "url string, label string")).collect()}
+    assert got == expected and set(got.values()) == {"allow", "block"}
+
+
 def test_mined_rules_against_brute_force(spark):
     rng = random.Random(5)
     rows = []

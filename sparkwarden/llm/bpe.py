@@ -15,7 +15,6 @@ Null and empty texts give no ids and an empty decoded text. The strings of speci
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -41,8 +40,8 @@ HIGH = regex.compile(r"[̀-\U0010FFFF]")
 #: Distinct words that a worker remembers of each of two generations: words of the older one that come again are taken
 #: over into the younger, the others go with it. Pairs and steps it remembers before it starts over.
 WORDS_KEPT = 60_000
-PAIRS_KEPT = STEPS_KEPT = 200_000
-CHUNK_WORDS = 50_000
+PAIRS_KEPT = STEPS_KEPT = 100_000
+CHUNK_WORDS, PART_CHARS = 20_000, 100_000
 #: Units are bytes; the last unit of a word is its byte plus 256. Tokens and units fit these bits of a pair's key.
 END, TOKEN_BITS, UNIT_BITS = 256, 24, 9
 
@@ -76,7 +75,8 @@ class TrieBpe:
         self._plant_suffixes()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = re.compile(regex.sub(r"\\p\{(\w)\}", lambda m: low_class(m[1]), pattern).replace(r"\s", SPACE))
-        self.library_normal = Tokenizer.from_str(vocabulary).normalizer.normalize_str
+        bare = spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}
+        self.library_normal = Tokenizer.from_str(json.dumps(bare)).normalizer.normalize_str
         self.library_split = Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.little = [i.to_bytes(4, "little") for i in range(1 + max(self.ids.values()))]
@@ -251,28 +251,56 @@ class TrieBpe:
         self.learn(new - again)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        start, n = 0, len(texts)
-        while start < n:
-            held, count, stop = [], 0, start
-            while stop < n and (count < CHUNK_WORDS or stop == start):
-                held.append(self.pieces(texts[stop]))
-                count += len(held[-1])
-                stop += 1
-            self.know({w for w in set(chain.from_iterable(held)) if isinstance(w, str)})
+        """Ids of each text as little-endian unsigned 32-bit integers. Pre-tokens never span a space, so long texts are
+        cut there, and only about CHUNK_WORDS pre-tokens are held."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str | int]]] = []
+        count = 0
+
+        def flush() -> None:
+            self.know({w for w in set(chain.from_iterable(p for _, p in held)) if isinstance(w, str)})
             get = self.known.__getitem__
-            for p in held:
+            for k, p in held:
                 try:
-                    out.append(b"".join(map(get, p)))
+                    out[k].append(b"".join(map(get, p)))
                 except KeyError:
-                    out.append(b"".join(get(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in p))
-            start = stop
-        return out
+                    out[k].append(b"".join(get(w) if isinstance(w, str) else w.to_bytes(4, "little") for w in p))
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for part in parts(text):
+                held.append((k, self.pieces(part)))
+                count += len(held[-1][1])
+                if count >= CHUNK_WORDS:
+                    flush()
+                    count = 0
+        flush()
+        return [b"".join(x) for x in out]
+
+    def decoded(self, ids: bytes) -> Iterator[str]:
+        """The decoded text in parts: the file names no decoder, so the tokens are joined by spaces."""
+        view = memoryview(ids).cast("I") if ids else ()
+        for at in range(0, len(view), CHUNK_WORDS):
+            yield (" " if at else "") + " ".join(map(self.strings.__getitem__, view[at : at + CHUNK_WORDS].tolist()))
 
     def decode(self, ids: bytes) -> str:
-        """The file names no decoder, so the tokens are joined by spaces."""
-        return " ".join(map(self.strings.__getitem__, memoryview(ids).cast("I").tolist())) if ids else ""
+        return "".join(self.decoded(ids))
+
+    def decoded_sha256(self, ids: bytes) -> str:
+        digest = hashlib.sha256()
+        for part in self.decoded(ids):
+            digest.update(part.encode())
+        return digest.hexdigest()
+
+
+def parts(text: str) -> Iterator[str]:
+    """A text cut before spaces into parts of about PART_CHARS characters."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + PART_CHARS)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
 
 
 _CODERS: dict[int, TrieBpe] = {}
@@ -286,8 +314,8 @@ def coder(vocabulary: str) -> TrieBpe:
     return _CODERS[key]
 
 
-def encode(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """One row per document: id, n_tokens, ids (binary, if keep_ids), ids_sha256, decoded (if keep_ids), decoded_sha256.
+def encode(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
+    """One row per document: id, n_tokens, ids (binary, if keep_ids), ids_sha256, decoded (if keep_decoded), decoded_sha256.
 
     Repeated rows are encoded each; other columns of docs are not read.
     """
@@ -295,25 +323,21 @@ def encode(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", tex
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    extra = "ids binary, decoded string, " if keep_ids else ""
+    extra = "ids binary, " * keep_ids + "decoded string, " * keep_decoded
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = coder(vocabulary)
-        gc.disable()  # batches hold no cycles; the end of the task collects
         for batch in batches:
-            texts = [t or "" for t in batch["text"].where(batch["text"].notna(), "")]
-            ids = bpe.encode_batch(texts)
+            ids = bpe.encode_batch([t or "" for t in batch.pop("text")])
             out = {"doc_id": batch["doc_id"], "n_tokens": [len(x) // 4 for x in ids]}
             if keep_ids:
-                out |= {"ids": ids, "decoded": [bpe.decode(x) for x in ids]}
-                decoded = out["decoded"]
-            else:
-                decoded = (bpe.decode(x) for x in ids)
+                out["ids"] = ids
+            if keep_decoded:
+                out["decoded"] = [bpe.decode(x) for x in ids]
             out["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
-            out["decoded_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
+            out["decoded_sha256"] = [bpe.decoded_sha256(x) for x in ids]
             yield pd.DataFrame(out)
-            del batch, texts, ids, decoded, out
-        gc.enable()
+            del batch, ids, out
         release_memory()
 
     return docs.mapInPandas(run, f"doc_id {kind}, n_tokens long, {extra}ids_sha256 string, decoded_sha256 string")

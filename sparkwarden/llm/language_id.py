@@ -43,7 +43,7 @@ FALSE_REJECTION, TAIL, CALIBRATED = 1e-6, 0.1, 20
 #: The unit of an excess is this and 1 / sqrt(length); and the least scale of its tail, for samples of equal texts.
 FLAT, LEAST_TAIL = 0.05, 0.1
 #: Characters scored at once.
-CHUNK = 500_000
+CHUNK = 250_000
 
 _LETTERS: np.ndarray | None = None
 

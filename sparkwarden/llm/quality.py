@@ -36,7 +36,7 @@ HASHED_SCALES = (1.0, 0.3, 0.1, 0.03)
 WORD_BITS, CHAR_BITS = 8, 8
 ROWS_AT_ONCE = 4_096
 #: Characters hashed at once; parts end at white space.
-CHUNK = 500_000
+CHUNK = 100_000
 SURFACE = ("lower", "upper", "digit", "space", "line", "stop", "odd", "bar", "word_length", "distinct", "repeated", "caps", "tails", "ends", "size", "short_words")
 _CLASSES: np.ndarray | None = None
 

@@ -49,7 +49,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(read(spark, sf_dir, "documents"), BPE_VOCABULARY, keep_ids=False)
+    return bpe.encode(read(spark, sf_dir, "documents"), BPE_VOCABULARY, keep_ids=False, keep_decoded=False)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,7 @@ def test_bpe_keeps_few_words(monkeypatch):
     monkeypatch.setattr(bpe, "PAIRS_KEPT", 5)
     monkeypatch.setattr(bpe, "STEPS_KEPT", 5)
     monkeypatch.setattr(bpe, "CHUNK_WORDS", 30)
+    monkeypatch.setattr(bpe, "PART_CHARS", 5)
     assert bpe.TrieBpe(open(P.path("word_bpe_49k.json"), encoding="utf-8").read()).encode_batch(texts) == whole
 
 

@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and hashes of ids and of the text decoded from them."""
-    return bpe.encode(docs, BPE_VOCABULARY).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, BPE_VOCABULARY, keep_decoded=False).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

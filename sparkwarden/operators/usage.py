@@ -145,33 +145,45 @@ def admit_by_capacity(enrolments: DataFrame, seats: DataFrame) -> DataFrame:
     return rows.withColumn("admitted", F.coalesce(F.col("_n") + F.col("used") <= F.col("cap"), F.lit(False))).drop("_n", "cap", "used")
 
 
-def _ordered(rows: DataFrame, key: str, order: list[str], make) -> DataFrame:
-    """rows with `admitted`, told by a fresh make() for each key that is asked in order; batches of a key follow each other."""
+def _in_order(rows: DataFrame, keys: list[str], order: list[str], make, taken: list[str], out: str, kind: str) -> DataFrame:
+    """rows with `out`, told by a fresh make() for each group of keys from its columns `taken`, asked in order. Batches of
+    a group follow each other, so only one state is held."""
     ship_package(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
         for batch in batches:
             said = []
-            for k, stamp, amount in zip(batch[key], batch["_second"], batch["_amount"]):
-                if state is None or k != now:
-                    now, state = k, make()
-                said.append(state(stamp, amount))
-            yield batch.drop(columns=["_second", "_amount"]).assign(admitted=said)
+            groups = zip(*[batch[k].astype(object).where(batch[k].notna(), None) for k in keys])
+            for group, args in zip(groups, zip(*[batch[c] for c in taken])):
+                if state is None or group != now:
+                    now, state = group, make()
+                said.append(state(*args))
+            yield batch.assign(**{out: said})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_second", "_amount"))
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{fields}, admitted boolean")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{fields}, `{out}` {kind}")
+
+
+def _meet(rows: DataFrame, known: DataFrame, key: str, at: str) -> DataFrame:
+    """rows with what known(key, at, ...) tells of their key and time; null keys meet, null times do not."""
+    other = known.withColumnsRenamed({key: "_key", at: "_at"})
+    return rows.join(other, F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) == F.col("_at")), "left").drop("_key", "_at")
 
 
 def admit_by_rate(batches: DataFrame, key: str, at: str, order: str, amount: Column, limit: int) -> DataFrame:
     """batches with `admitted`: a whole batch is refused if it would bring its key over the limit of the last BUCKETS
-    buckets; refused batches take nothing, so each answer depends on those before it."""
+    buckets; refused batches take nothing, so each answer depends on those before it. Amounts are not negative, null is 0;
+    a batch without time is refused.
+
+    Where all that was offered in a bucket and the BUCKETS - 1 before it fits the limit, everything is admitted whatever
+    came before. So only contested buckets are answered in order, each stretch of them apart, after the buckets that
+    still count at its start; sums of buckets, not batches, tell which these are."""
     class Sliding:
         def __init__(self):
             self.held, self.total = deque(), 0
 
-        def __call__(self, second: int, n: int) -> bool:
-            b = second // BUCKET_SECONDS
+        def __call__(self, b: int, n: int) -> bool:
             while self.held and self.held[0][0] <= b - BUCKETS:
                 self.total -= self.held.popleft()[1]
             if self.total + n > limit:
@@ -180,22 +192,47 @@ def admit_by_rate(batches: DataFrame, key: str, at: str, order: str, amount: Col
             self.total += n
             return True
 
-    return _ordered(batches.withColumns({"_second": F.unix_timestamp(F.col(at).cast("timestamp")), "_amount": amount}), key, [at, order], Sliding)
+    rows = batches.withColumns({"_bucket": bucket(F.col(at)), "_amount": F.coalesce(amount, F.lit(0))})
+    by = Window.partitionBy(key).orderBy("_bucket")
+    sums = rows.filter("_bucket is not null").groupBy(key, "_bucket").agg(F.sum("_amount").alias("_units"))
+    sums = sums.withColumn("_contested", F.sum("_units").over(by.rangeBetween(-(BUCKETS - 1), 0)) > limit)
+    sums = sums.withColumn("_next", F.min(F.when(F.col("_contested"), F.col("_bucket"))).over(by.rangeBetween(0, BUCKETS - 1)))
+    before = F.last(F.when(F.col("_next").isNotNull(), F.col("_bucket")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.col("_next").isNotNull() & F.coalesce(F.col("_next") - (BUCKETS - 1) > before, F.lit(True))
+    sums = sums.withColumn("_starts", starts)
+    stretch = F.last(F.when(F.col("_starts"), F.col("_bucket")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    known = sums.select(key, "_bucket", F.when(F.col("_next").isNotNull(), stretch).alias("_stretch"))
+    met = _meet(rows, known, key, "_bucket")
+    free = met.filter("_stretch is null").withColumn("admitted", F.col("_bucket").isNotNull())
+    told = _in_order(met.filter("_stretch is not null"), [key, "_stretch"], [at, order], Sliding, ["_bucket", "_amount"], "admitted", "boolean")
+    return free.unionByName(told).drop("_bucket", "_amount", "_stretch")
 
 
 def admit_by_fixed_window(requests: DataFrame, key: str, at: str, order: str, limit: int, seconds: int = 60) -> DataFrame:
-    """requests with `admitted`: at most `limit` in a window that starts with the first request after the last window."""
+    """requests with `admitted`: at most `limit` in a window that starts with the first request after the last window;
+    a request without time is refused.
+
+    Windows start at whole seconds, so they are found from a key's distinct seconds, in stretches without a pause that
+    ends any window; the requests of each window are then counted apart from those of others."""
     class Fixed:
         def __init__(self):
-            self.start, self.n = None, 0
+            self.start = None
 
-        def __call__(self, second: int, _: int) -> bool:
+        def __call__(self, second: int) -> int:
             if self.start is None or second >= self.start + seconds:
-                self.start, self.n = second, 0
-            self.n += 1
-            return self.n <= limit
-
-    return _ordered(requests.withColumns({"_second": F.unix_timestamp(F.col(at).cast("timestamp")), "_amount": F.lit(1)}), key, [at, order], Fixed)
+                self.start = second
+            return self.start
+
+    rows = requests.withColumn("_second", F.unix_timestamp(F.col(at).cast("timestamp")))
+    by = Window.partitionBy(key).orderBy("_second")
+    asked = rows.filter("_second is not null").select(key, "_second").distinct()
+    pause = F.coalesce(F.col("_second") - F.lag("_second").over(by) >= seconds, F.lit(True))
+    asked = asked.withColumn("_pause", pause)
+    asked = asked.withColumn("_stretch", F.last(F.when(F.col("_pause"), F.col("_second")), ignorenulls=True).over(by)).drop("_pause")
+    starts = _in_order(asked, [key, "_stretch"], ["_second"], Fixed, ["_second"], "_start", "bigint").drop("_stretch")
+    met = _meet(rows, starts, key, "_second").withColumn("_spread", F.when(F.col("_start").isNull(), F.xxhash64(order)))
+    n = F.row_number().over(Window.partitionBy(key, "_start", "_spread").orderBy(at, order))
+    return met.withColumn("admitted", n <= limit).withColumn("admitted", F.col("admitted") & F.col("_start").isNotNull()).drop("_second", "_start", "_spread")
 
 
 def backoff_seconds(attempt: Column, jitter: Column, base: float = 1.0, most: float = 300.0) -> Column:

@@ -788,7 +788,11 @@ def capacity_admission(spark, d):
     return usage.admit_by_capacity(o, seats).select(F.col("id").alias("o_orderkey"), "admitted")
 
 
-@query("rate_admission", None)
+@query("rate_admission", """WITH RECURSIVE e AS (SELECT event_id, event_type, CAST(floor(epoch(ts) / 6) AS BIGINT) AS b, CAST(user_id % 7 AS BIGINT) AS n, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+ w AS (SELECT event_type, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, FALSE AS admitted, CAST([] AS STRUCT(b BIGINT, n BIGINT)[]) AS held FROM (SELECT DISTINCT event_type FROM e)
+  UNION ALL SELECT event_type, k, event_id, n + COALESCE(list_sum([x.n for x in h]), 0) <= 9, CASE WHEN n + COALESCE(list_sum([x.n for x in h]), 0) <= 9 THEN list_append(h, {'b': b, 'n': n}) ELSE h END
+  FROM (SELECT e.*, [x for x in w.held if x.b > e.b - 10] AS h FROM w JOIN e ON e.event_type = w.event_type AND e.k = w.k + 1))
+ SELECT event_id, admitted FROM w WHERE k > 0""")
 def rate_admission(spark, d):
     e = read(spark, d, "events").select("event_type", "ts", "event_id", (F.col("user_id") % 7).alias("n"))
     return usage.admit_by_rate(e, "event_type", "ts", "event_id", F.col("n"), 9).select("event_id", "admitted")

@@ -48,6 +48,38 @@ def test_fixed_window(spark):
     assert got == want
 
 
+def test_admission_over_busy_and_idle_times(spark):
+    """Calm and contested times in turn, with null keys and times, at several limits: as plain loops tell."""
+    rng, at, rows = random.Random(4), T0, []
+    for k in range(1500):
+        at += timedelta(seconds=rng.choice([0, 1, 2]) if (k // 100) % 2 else rng.choice([2, 9, 25, 58, 60, 61, 130]))
+        rows.append((rng.choice(["a", "a", "b", None]), at if k % 50 else None, k, rng.randrange(0, 6) if k % 7 else None))
+    df = spark.createDataFrame(rows, "tenant string, at timestamp, id long, n long")
+    for limit in (4, 12, 40):
+        by_rate = {r.id: r.admitted for r in usage.admit_by_rate(df, "tenant", "at", "id", F.col("n"), limit).collect()}
+        by_window = {r.id: r.admitted for r in usage.admit_by_fixed_window(df, "tenant", "at", "id", limit).collect()}
+        want_rate, want_window = {}, {}
+        for tenant in ("a", "b", None):
+            taken, start, asked = [], None, 0
+            for t, when, k, n in rows:
+                if t != tenant:
+                    continue
+                if when is None:
+                    want_rate[k] = want_window[k] = False
+                    continue
+                second = int((when - datetime(1970, 1, 1)).total_seconds())
+                b = second // 6
+                want_rate[k] = sum(m for c, m in taken if c > b - 10) + (n or 0) <= limit
+                if want_rate[k]:
+                    taken.append((b, n or 0))
+                if start is None or second >= start + 60:
+                    start, asked = second, 0
+                asked += 1
+                want_window[k] = asked <= limit
+        assert by_rate == want_rate and len(set(by_rate.values())) == 2
+        assert by_window == want_window
+
+
 def test_costs_quotas_and_shedding(spark):
     calls = spark.createDataFrame([("big-model-2", 1_000_000, 0), ("big", 1, 1), ("other", 1_000_000, 1_000_000), ("big-x", 3, 0)], "model_id string, tokens_in long, tokens_out long")
     prices = spark.createDataFrame([("big", "1.00", "2.00"), ("big-model", "4.00", "8.00")], "prefix string, rate_in string, rate_out string")

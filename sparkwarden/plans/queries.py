@@ -798,8 +798,8 @@ def rate_admission(spark, d):
     return usage.admit_by_rate(e, "event_type", "ts", "event_id", F.col("n"), 9).select("event_id", "admitted")
 
 
-@query("fixed_window_admission", """WITH RECURSIVE e AS (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s, ts FROM events),
- nxt AS (SELECT a.event_type, a.s, min(b.s) AS n FROM (SELECT DISTINCT event_type, s FROM e) a JOIN (SELECT DISTINCT event_type, s FROM e) b ON a.event_type = b.event_type AND b.s >= a.s + 600 GROUP BY ALL),
+@query("fixed_window_admission", """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s, ts FROM events),
+ nxt AS MATERIALIZED (SELECT a.event_type, a.s, b.s AS n FROM (SELECT DISTINCT event_type, s FROM e) a ASOF JOIN (SELECT DISTINCT event_type, s FROM e) b ON a.event_type = b.event_type AND a.s + 600 <= b.s),
  w AS (SELECT event_type, min(s) AS s FROM e GROUP BY 1 UNION ALL SELECT nxt.event_type, nxt.n FROM w JOIN nxt ON nxt.event_type = w.event_type AND nxt.s = w.s)
  SELECT event_id, row_number() OVER (PARTITION BY e.event_type, w.s ORDER BY ts, event_id) <= 3 AS admitted FROM e ASOF JOIN w ON w.event_type = e.event_type AND w.s <= e.s""")
 def fixed_window_admission(spark, d):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, fingerprint, language_id, media, minhash, mixing, quality, sharding, token_counts, url_filter
+from sparkwarden.llm import bpe, fingerprint, language_id, media, minhash, mixing, packing, quality, sharding, spelling, token_counts, url_filter, vector_codes
 from sparkwarden.llm.common import held_out, read, utf8, word_count
 
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +75,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), BPE_VOCABULARY)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, codebooks = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(vector_codes.PARTS)), lambda i: F.lower(F.hex(F.substring("code", i, 1)))))
+    return coded.select("vec_id", text.alias("code"), "error", "label_error", F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
@@ -86,7 +100,10 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_media": op9_media,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling": op11_spelling,
+    "op12_packing": op12_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_spelling": spelling.oracle_sql(), "op13_vector_codes": vector_codes.oracle_sql(64)}

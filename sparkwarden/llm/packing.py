@@ -19,6 +19,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkwarden.llm.bpe import TrieBpe
+from sparkwarden.llm.bpe import TrieBpe, parts
 from sparkwarden.llm.common import materialize, release_memory
 from sparkwarden.session import ship_package
 
@@ -36,13 +37,14 @@ from sparkwarden.session import ship_package
 WINDOW, END_ID, SHARD_ROWS = 2048, 1, 2048
 #: BM25's saturation of term frequencies and weight of lengths.
 K1, B = 1.2, 0.75
-#: Distinct words that a worker remembers of each of two generations, and words that the library encodes at once.
-WORDS_KEPT, WORDS_AT_ONCE = 250_000, 4_000
+#: Distinct words that a worker remembers of each of two generations, words that the library encodes at once, and characters
+#: of texts whose words are looked up together.
+WORDS_KEPT, WORDS_AT_ONCE, GROUP_CHARS = 400_000, 4_000, 1_000_000
 
 
 class LibraryWords(TrieBpe):
     """Splits texts as TrieBpe does, and lets the library encode each distinct word. Words are sent many at a time: each
-    ends with a token that only ends words, so the ids are told apart again."""
+    ends with a token that only ends words, so their ids are told apart again."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,25 +53,18 @@ class LibraryWords(TrieBpe):
         self.library = Tokenizer.from_str(json.dumps(json.loads(vocabulary) | {"normalizer": None, "added_tokens": []}))
         self.ends_word = np.zeros(1 + max(self.strings), bool)
         self.ends_word[[i for i, s in self.strings.items() if s.endswith(self.suffix)]] = True
+        self.special_ids = {i: i.to_bytes(4, "little") for i in self.special.values()}
+        self.known = dict(self.special_ids)
 
     def _plant_suffixes(self) -> None:
         """No automaton: the library knows the merges."""
 
-    def know(self, words: set[str]) -> None:
-        if len(self.known) > WORDS_KEPT:
-            self.known, self.older = {}, self.known
-        new = words - self.known.keys()
-        again = new & self.older.keys()
-        self.known.update(zip(again, map(self.older.__getitem__, again)))
-        self.learn(new - again)
-
     def ids_of(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, words: set[str]) -> None:
-        every = list(words)
-        for k in range(0, len(every), WORDS_AT_ONCE):
-            some = every[k : k + WORDS_AT_ONCE]
+    def learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            some = words[k : k + WORDS_AT_ONCE]
             ids = self.ids_of(" ".join(some))
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(some):
@@ -78,6 +73,39 @@ class LibraryWords(TrieBpe):
             else:  # a word that the library would split again
                 self.known.update((w, self.ids_of(w).tobytes()) for w in some)
 
+    def know(self, words: set[str]) -> None:
+        """Have the ids of all these words in `known`; words of the older generation that come again are taken over."""
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.older = dict(self.special_ids), self.known
+        fresh = words.difference(self.known)
+        again = [w for w in fresh if w in self.older]
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self.learn(list(fresh.difference(again)))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Long texts are encoded in parts, so that only about
+        GROUP_CHARS characters are held as words."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str | int]]] = []
+        size = 0
+
+        def flush() -> None:
+            self.know(set(chain.from_iterable(words for _, words in held)))
+            ids = self.known.__getitem__
+            for k, words in held:
+                out[k].append(b"".join(map(ids, words)))
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for part in parts(text):
+                held.append((k, self.pieces(part)))
+                size += len(part)
+                if size >= GROUP_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(x) for x in out]
+
 
 _CODERS: dict[int, LibraryWords] = {}
 
@@ -120,19 +148,31 @@ def cut(docs: DataFrame, vocabulary_path: str, *, id_col: str, text_col: str) ->
     return docs.mapInArrow(run, f"doc_id {kind}, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, ids binary")
 
 
+def frequencies(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, tf) of the distinct terms of each row, in that order."""
+    ids = np.concatenate(rows)
+    terms = 1 + int(ids.max())
+    kind = np.uint32 if len(rows) * terms < 1 << 32 else np.uint64
+    keys = np.repeat(np.arange(len(rows), dtype=kind), [len(r) for r in rows]) * kind(terms) + ids.astype(kind)
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys, tf = keys[first], np.diff(np.append(first, len(keys)))
+    row = keys // kind(terms)
+    return row.astype(np.int64), (keys - row * kind(terms)).astype(np.int64), tf
+
+
 def document_frequencies(rests: DataFrame) -> DataFrame:
     """(token, df): rows that hold the token; token -1 has the rows and -2 the tokens of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows, tokens = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for ids in batch["ids"].to_pylist():
-                ids = np.frombuffer(ids, "<u4")
-                distinct = np.unique(ids)
-                if len(df) <= distinct[-1]:
-                    df = np.concatenate([df, np.zeros(1 + int(distinct[-1]) - len(df), np.int64)])
-                df[distinct] += 1
-                rows, tokens = rows + 1, tokens + len(ids)
+            own = [np.frombuffer(x, "<u4") for x in batch["ids"].to_pylist()]
+            if own:
+                _, term, _ = frequencies(own)
+                own_df = np.bincount(term, minlength=len(df))
+                own_df[: len(df)] += df
+                df, rows, tokens = own_df, rows + len(own), tokens + sum(map(len, own))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2], pa.int64()), pa.array([*df[at].tolist(), rows, tokens], pa.int64())], ["token", "df"])
 
@@ -146,15 +186,13 @@ class Shard:
     def __init__(self, rows: list[np.ndarray], weight: np.ndarray, mean: float):
         self.n, self.terms = len(rows), len(weight)
         lengths = np.array([len(r) for r in rows])
-        keys = np.repeat(np.arange(self.n, dtype=np.int64), lengths) * self.terms + np.concatenate(rows)
-        keys, tf = np.unique(keys, return_counts=True)
-        row, term = keys // self.terms, keys % self.terms
+        row, term, tf = frequencies(rows)
         telling = weight[term] > 0
         row, term, tf = row[telling], term[telling], tf[telling]
         value = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / mean))
         self.term_of, self.row_bounds = term, np.searchsorted(row, np.arange(self.n + 1))
-        order = np.argsort(term, kind="stable")
-        self.row, self.value = row[order], value[order]
+        order = np.argsort(term.astype(np.uint16) if self.terms <= 1 << 16 else term, kind="stable")
+        self.row, self.value = row[order].astype(np.int32), value[order]
         self.bounds = np.searchsorted(term[order], np.arange(self.terms + 1))
         self.unused, self.indexed = np.ones(self.n, bool), self.n
 

@@ -155,7 +155,7 @@ def test_words_of_the_library():
     coder, library = packing.LibraryWords(open(P.path("word_bpe_49k.json")).read()), Tokenizer.from_file(P.path("word_bpe_49k.json"))
     rng = random.Random(3)
     odd = [chr(c) for c in [*range(32, 0x250), *range(0x300, 0x380), *range(0x3A0, 0x3FF), 0x130, 0x3A3, 0x2126, 0xFB01, 0x1F600, 0x4E2D] if chr(c).isprintable()]
-    texts = ["".join(rng.choice(odd + [" "] * 60 + list("'s'tn't")) for _ in range(200)) for _ in range(300)]
+    texts = ["".join(rng.choice(odd + [" "] * 60 + list("'s'tn't\n\t\x1c\xa0") + ["<|startoftext|>", "<|endoftext|>", " " + "y" * 300]) for _ in range(200)) for _ in range(300)]
     ids = coder.encode_batch(texts)
     assert all(np.frombuffer(x, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids for x, t in zip(ids, texts, strict=True))
 

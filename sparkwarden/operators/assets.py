@@ -1,8 +1,9 @@
 """Asset identity: which computer an observation belongs to, in order of arrival, with manual merges and splits.
 
-The rules need order: an identifier bound by one observation decides the next. So a tenant's log (observations and
-actions) is one ordered stream; `Resolver` is the state of a tenant, used by the batch form below and by the streaming
-processor. A tenant's computers fit in memory; its observations do not have to, they pass in batches.
+The rules need order: an identifier bound by one observation decides the next. `Resolver` answers a log in order; the
+streaming processor gives it a state store in place of its dicts. In the batch form only what can touch must be in one order:
+identifiers that an observation names together, and whatever a merge or split names, are linked, and each connected
+component is replayed by itself. An asset's id comes from the row that made it, so that it does not depend on the rest.
 """
 
 from __future__ import annotations
@@ -10,12 +11,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.operators.components import components
 from sparkwarden.session import ship_package
+from sparkwarden.storage import written
 
 # The name of the match by each kind of identifier, strongest first.
 MATCH_RULES = {"device_id": "device_id_exact", "hostname_os": "hostname_os", "mac": "mac_exact"}
@@ -24,8 +28,21 @@ sources array<string>, agent_status string, dedup_rule string, first_seen timest
 BINDING_SCHEMA = "tenant_id string, seq long, asset_id string, matched_rule string, created boolean, bound array<string>"
 
 
+def identifier_keys() -> Column:
+    """`kind:value` of the identifiers of an observation, strongest first."""
+    present = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    named = lambda kind, value: F.concat(F.lit(f"{kind}:"), value)
+    return F.filter(F.array(
+        F.when(present("device_id"), named("device_id", F.col("device_id"))),
+        F.when(present("hostname") & present("os_family"), named("hostname_os", F.concat(F.lower("hostname"), F.lit("|"), F.lower("os_family")))),
+        F.when(present("mac"), named("mac", F.lower("mac"))),
+    ), lambda k: k.isNotNull())
+
+
 def identifiers(row) -> list[tuple[str, str]]:
     """(kind, value) of an observation, strongest first."""
+    if row.get("keys") is not None:
+        return [tuple(k.split(":", 1)) for k in row["keys"]]
     out = []
     if row.get("device_id"):
         out.append(("device_id", row["device_id"]))
@@ -38,16 +55,16 @@ def identifiers(row) -> list[tuple[str, str]]:
 
 @dataclass
 class Resolver:
-    """The assets, identities and pins of one tenant."""
+    """Assets, the asset of each identifier, those that are pinned, and the identifiers of each asset."""
 
     tenant_id: str
     assets: dict[str, dict] = field(default_factory=dict)
     identities: dict[tuple[str, str], str] = field(default_factory=dict)
     pins: dict[tuple[str, str], str] = field(default_factory=dict)
-    n_created: int = 0
+    owned: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
 
     def device_of(self, asset_id: str) -> str | None:
-        return next((v for (k, v), a in self.identities.items() if k == "device_id" and a == asset_id), None)
+        return next((v for k, v in self.owned.get(asset_id, []) if k == "device_id"), None)
 
     def match(self, row, keys) -> tuple[str | None, str | None]:
         for kind, value in keys:
@@ -62,9 +79,8 @@ class Resolver:
             return found, None if pinned else MATCH_RULES[kind]
         return None, None
 
-    def new_id(self) -> str:
-        self.n_created += 1
-        return "as_" + hashlib.sha256(f"{self.tenant_id}:{self.n_created}".encode()).hexdigest()[:26]
+    def new_id(self, row) -> str:
+        return "as_" + hashlib.sha256(f"{self.tenant_id}:{row['seq']}".encode()).hexdigest()[:26]
 
     def observe(self, row) -> dict | None:
         keys = identifiers(row)
@@ -75,7 +91,7 @@ class Resolver:
         at = row["observed_at"]
         seen = {"hostname": (row.get("hostname") or "").lower() or None, "mac": (row.get("mac") or "").lower() or None} | {k: row.get(k) for k in ("os_family", "os_name", "os_version", "ip")}
         if created:
-            asset_id = self.new_id()
+            asset_id = self.new_id(row)
             agent = row.get("source") == "agent"
             self.assets[asset_id] = seen | {"sources": [row.get("source")], "agent_status": "enrolled" if agent else "none", "dedup_rule": "agent_enrollment" if agent else "log_ingest", "first_seen": at, "last_seen": at, "state": "active"}
         else:
@@ -92,6 +108,7 @@ class Resolver:
                 continue
             if key not in self.identities:
                 bound.append(f"{key[0]}:{key[1]}")
+                self.owned[asset_id] = [*self.owned.get(asset_id, []), key]
             self.identities[key] = asset_id
             if key[0] == "device_id":
                 self.assets[asset_id]["device_id"] = key[1]
@@ -104,9 +121,9 @@ class Resolver:
             return None
         keep, rest = ids[0], ids[1:]
         a = self.assets[keep]
-        for key, owner in list(self.identities.items()):
-            if owner in rest or owner == keep:
-                self.identities[key] = self.pins[key] = keep
+        self.owned[keep] = [key for i in ids for key in self.owned.get(i, [])]
+        for key in self.owned[keep]:
+            self.identities[key] = self.pins[key] = keep
         for other in rest:
             b = self.assets[other]
             a["sources"] = sorted(set(a["sources"]) | set(b["sources"]))
@@ -114,25 +131,25 @@ class Resolver:
             a["device_id"] = a.get("device_id") or b.get("device_id")
             if a["agent_status"] == "none":
                 a["agent_status"] = b["agent_status"]
-            b["state"] = "merged"
+            b["state"], self.owned[other] = "merged", []
         a["dedup_rule"] = "manual_merge"
         return keep
 
-    def split(self, asset_id: str, keys: list[tuple[str, str]]) -> str | None:
+    def split(self, asset_id: str, keys: list[tuple[str, str]], row) -> str | None:
         """A new asset from some of an asset's identities, pinned to it; the agent's status goes with its device id."""
         own = [k for k in keys if self.identities.get(k) == asset_id]
         if not own or asset_id not in self.assets:
             return None
-        a, new = self.assets[asset_id], self.new_id()
+        a, new = self.assets[asset_id], self.new_id(row)
         moves = any(k[0] == "device_id" for k in own)
+        self.owned[new], self.owned[asset_id] = own, [k for k in self.owned[asset_id] if k not in own]
         self.assets[new] = dict(a) | {"sources": list(a["sources"]), "dedup_rule": "manual_split", "agent_status": a["agent_status"] if moves else "none", "device_id": next((v for k, v in own if k == "device_id"), None)}
         if moves:
             a["agent_status"], a["device_id"] = "none", self.device_of(asset_id)
         for key in own:
             self.identities[key] = self.pins[key] = new
-        for key, owner in self.identities.items():
-            if owner == asset_id:
-                self.pins[key] = asset_id
+        for key in self.owned[asset_id]:
+            self.pins[key] = asset_id
         return new
 
     def apply(self, row) -> dict | None:
@@ -144,7 +161,7 @@ class Resolver:
             done = self.merge(ids)
         else:
             keys = [tuple(k.split(":", 1)) for k in (row["identities"] if row.get("identities") is not None else [])]
-            done = self.split(ids[0], keys) if ids else None
+            done = self.split(ids[0], keys, row) if ids else None
         return None if done is None else {"asset_id": done, "matched_rule": f"manual_{kind}", "created": kind == "split", "bound": []}
 
     def rows(self) -> list[tuple]:
@@ -156,62 +173,68 @@ def _clean(batch: pd.DataFrame) -> list[dict]:
     return [{k: (None if not isinstance(v, (list, tuple)) and not hasattr(v, "__len__") and pd.isna(v) else v) for k, v in r.items()} for r in batch.to_dict("records")]
 
 
+def with_component(log: DataFrame) -> DataFrame:
+    """log with `keys` (its identifiers) and `component`: rows of different components cannot touch. Rows without any
+    identifier, and actions that name nothing, are in none and go."""
+    kind = F.coalesce("action", F.lit("observe"))
+    rows = log.withColumns({"keys": F.when(kind == "observe", identifier_keys()).otherwise(F.array().cast("array<string>")), "_action": F.concat(F.lit("action:"), F.col("seq").cast("string"))})
+    name = lambda c: F.concat(F.col("tenant_id"), F.lit("\x1f"), c)
+    observed = rows.filter((kind == "observe") & (F.size("keys") > 0))
+    together = observed.select("tenant_id", F.element_at("keys", 1).alias("first"), F.explode("keys").alias("key")).distinct()
+    links = together.select(name(F.col("first")).alias("u"), name(F.col("key")).alias("v"))
+    actions = written(rows.filter(kind != "observe"), "actions")
+    if not actions.isEmpty():
+        asset = lambda c: F.concat(F.lit("asset:"), c)
+        named = F.concat(F.transform(F.coalesce("asset_ids", F.array().cast("array<string>")), asset), F.coalesce("identities", F.array().cast("array<string>")))
+        acted = actions.select("tenant_id", "_action", F.explode(named).alias("key"))
+        own_id = F.concat(F.lit("as_"), F.substring(F.sha2(F.concat_ws(":", "tenant_id", F.col("seq").cast("string")), 256), 1, 26))
+        makers = observed.select("tenant_id", asset(own_id).alias("key"), F.element_at("keys", 1).alias("made_by")).unionByName(actions.select("tenant_id", asset(own_id).alias("key"), F.col("_action").alias("made_by")))
+        made = makers.join(acted.select("tenant_id", "key").distinct(), ["tenant_id", "key"], "left_semi")
+        links = links.union(acted.select(name(F.col("_action")), name(F.col("key")))).union(made.select(name(F.col("key")), name(F.col("made_by"))))
+    node = name(F.when(kind == "observe", F.element_at("keys", 1)).otherwise(F.col("_action")))
+    placed = rows.filter((kind != "observe") | (F.size("keys") > 0)).withColumn("node", node)
+    return placed.join(components(links), "node").drop("node", "_action")
+
+
 def resolve(log: DataFrame) -> DataFrame:
-    """log(tenant_id, seq, observed_at, source, ..., action, asset_ids, identities) -> the asset of each row, in order.
+    """log(tenant_id, seq, observed_at, source, ..., action, asset_ids, identities) -> the asset of each row.
 
-    Rows reach a tenant's task sorted and in batches of bounded size.
-    """
+    A component's rows reach its task in order and in batches of bounded size."""
     ship_package(log.sparkSession)
 
-    def run(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = Resolver(key[0])
+    def run(tenant: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = Resolver(tenant)
         for batch in batches:
             done = [(r["tenant_id"], r["seq"], state.apply(r)) for r in _clean(batch)]
             rows = [(t, s, d["asset_id"], d["matched_rule"], d["created"], d["bound"]) for t, s, d in done if d]
             yield pd.DataFrame(rows, columns=["tenant_id", "seq", "asset_id", "matched_rule", "created", "bound"])
 
-    return _in_order(log, run, BINDING_SCHEMA)
+    return _in_order(with_component(log), run, BINDING_SCHEMA)
 
 
 def assets(log: DataFrame) -> DataFrame:
-    """The tenants' assets after the whole log."""
+    """The assets after the whole log."""
     ship_package(log.sparkSession)
 
-    def run(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = Resolver(key[0])
+    def run(tenant: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = Resolver(tenant)
         for batch in batches:
             for r in _clean(batch):
                 state.apply(r)
         yield pd.DataFrame(state.rows(), columns=[c.split()[0] for c in ASSET_SCHEMA.replace("\n", " ").split(", ")])
 
-    return _in_order(log, run, ASSET_SCHEMA)
+    return _in_order(with_component(log), run, ASSET_SCHEMA)
 
 
 def _in_order(log: DataFrame, run, schema: str) -> DataFrame:
-    """Tenants in hash partitions, each partition sorted by tenant and sequence, and read batch by batch."""
+    """Components in hash partitions, each partition sorted by component and sequence, and read batch by batch."""
     def partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, tenant = [], None
-
-        def groups():
-            for batch in batches:
-                for name, part in batch.groupby("tenant_id", sort=False):
-                    yield name, part
-
-        stream = groups()
-        nxt = next(stream, None)
-        while nxt is not None:
-            tenant = nxt[0]
-
-            def of_tenant():
-                nonlocal nxt
-                while nxt is not None and nxt[0] == tenant:
-                    part = nxt[1]
-                    nxt = next(stream, None)
-                    yield part
-
-            yield from run((tenant,), of_tenant())
+        parts = (part for batch in batches for part in batch.groupby("component", sort=False))
+        for _, own in groupby(parts, key=lambda part: part[0]):
+            first = next(own)[1]
+            yield from run(first["tenant_id"].iloc[0], chain([first], (part for _, part in own)))
 
-    return log.repartition("tenant_id").sortWithinPartitions("tenant_id", "seq").mapInPandas(partition, schema)
+    return log.repartition("component").sortWithinPartitions("component", "seq").mapInPandas(partition, schema)
 
 
 def match_once(observations: DataFrame, pins: DataFrame, identities: DataFrame) -> DataFrame:

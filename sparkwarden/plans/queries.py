@@ -7,8 +7,6 @@ Events stand for security events: tenant = user_id % 5, rule = event_type, entit
 from __future__ import annotations
 
 import datetime
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +18,8 @@ from sparkwarden.rules.content import RULES, leaf
 from sparkwarden.rules.detect import detect
 from sparkwarden.rules.pack import build_pack
 from sparkwarden.sources import ingest
+from sparkwarden.storage import new_path
+from sparkwarden.streaming import jobs, processors
 
 AS_OF = "2024-01-31 00:00:00"
 QUERIES: dict[str, tuple] = {}
@@ -529,13 +529,43 @@ def match_once(spark, d):
     return assets.match_once(obs, known.limit(0), known).select(F.col("obs_id").alias("event_id"), "asset_id")
 
 
-@query("resolve_assets", None)
+@query("resolve_assets", """
+WITH RECURSIVE log AS (
+  SELECT 't' || user_id % 5 AS tenant_id, event_id AS seq, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS k, CASE WHEN event_type = 'click' THEN 'd' || user_id END AS device,
+    list_filter([CASE WHEN event_type = 'click' THEN 'device_id:d' || user_id END, 'hostname_os:h' || user_id % 30 || '|linux', CASE WHEN event_type = 'view' THEN 'mac:00:00:00:00:00:' || (user_id % 90 + 10) END], lambda x: x IS NOT NULL) AS keys FROM events),
+steps AS (
+  SELECT tenant_id, 0::BIGINT AS k, NULL::BIGINT AS seq, NULL::VARCHAR AS asset_id, NULL::VARCHAR AS matched_rule, false AS created, MAP([]::VARCHAR[], []::VARCHAR[]) AS identities, MAP([]::VARCHAR[], []::VARCHAR[]) AS devices FROM (SELECT DISTINCT tenant_id FROM log)
+  UNION ALL
+  SELECT tenant_id, k, seq, asset_id, matched_rule, created, map_concat(identities, MAP(fresh, list_transform(fresh, lambda x: asset_id))), CASE WHEN device IS NOT NULL AND coalesce(identities['device_id:' || device], asset_id) = asset_id THEN map_concat(devices, MAP([asset_id], [device])) ELSE devices END
+  FROM (SELECT *, list_filter(keys, lambda x: identities[x] IS NULL) AS fresh, coalesce(identities[hit], 'as_' || substr(sha256(tenant_id || ':' || seq), 1, 26)) AS asset_id, hit IS NULL AS created,
+      CASE split_part(hit, ':', 1) WHEN 'device_id' THEN 'device_id_exact' WHEN 'mac' THEN 'mac_exact' ELSE split_part(hit, ':', 1) END AS matched_rule
+    FROM (SELECT l.tenant_id, l.k, l.seq, l.device, l.keys, s.identities, s.devices,
+        list_filter(l.keys, lambda x: s.identities[x] IS NOT NULL AND (x[:10] = 'device_id:' OR l.device IS NULL OR coalesce(s.devices[s.identities[x]], l.device) = l.device))[1] AS hit
+      FROM steps s JOIN log l ON l.tenant_id = s.tenant_id AND l.k = s.k + 1)))
+SELECT tenant_id, seq, asset_id, matched_rule, created FROM steps WHERE k > 0""")
 def resolve_assets(spark, d):
     e = read(spark, d, "events")
-    log = e.select(F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("tenant_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("observed_at"), F.when(F.col("event_type") == "click", "agent").otherwise("log_ingest").alias("source"), F.concat(F.lit("H"), (F.col("user_id") % 30).cast("string")).alias("hostname"), F.lit("linux").alias("os_family"), F.when(F.col("event_type") == "click", F.concat(F.lit("d"), F.col("user_id").cast("string"))).alias("device_id"), F.when(F.col("event_type") == "view", F.concat(F.lit("00:00:00:00:00:"), (F.col("user_id") % 90 + 10).cast("string"))).alias("mac"))
+    log = e.select(F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("tenant_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("observed_at"), F.when(F.col("event_type") == "click", "agent").otherwise("log_ingest").alias("source"), F.concat(F.lit("H"), (F.col("user_id") % 30).cast("string")).alias("hostname"), F.lit("linux").alias("os_family"), F.when(F.col("event_type") == "click", F.concat(F.lit("d"), F.col("user_id").cast("string"))).alias("device_id"), F.when(F.col("event_type") == "view", F.concat(F.lit("00:00:00:00:00:"), (F.col("user_id") % 90 + 10).cast("string"))).alias("mac"), *[F.lit(None).cast(kind).alias(c) for c, kind in (("os_name", "string"), ("os_version", "string"), ("ip", "string"), ("action", "string"), ("asset_ids", "array<string>"), ("identities", "array<string>"))])
     return assets.resolve(log).select("tenant_id", "seq", "asset_id", "matched_rule", "created")
 
 
+OFFLINE_S = 7200
+
+
+@query("offline_stream", f"""
+WITH beats AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+mark AS (SELECT max(ts) AS last FROM events)
+SELECT user_id, 'healthy' AS status, ts AS at FROM beats WHERE before IS NULL OR ts > before + INTERVAL {OFFLINE_S} SECOND
+UNION ALL SELECT user_id, 'offline', ts + INTERVAL {OFFLINE_S} SECOND FROM beats, mark WHERE following > ts + INTERVAL {OFFLINE_S} SECOND OR following IS NULL AND last > ts + INTERVAL {OFFLINE_S} SECOND""")
+def offline_stream(spark, d):
+    """Events as a stream of heartbeats by user: each outage once, by timers in event time, and each return."""
+    schema = read(spark, d, "events").schema
+    # A stream reads folders or patterns; the table may be one file.
+    beats = spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/events.parque[t]").select(F.lit("t").alias("tenant_id"), F.col("user_id").cast("string").alias("device_id"), F.lit("heartbeat").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+    changes = jobs.drained(processors.agent_status(beats, OFFLINE_S, event_time="0 seconds"), "update", new_path(spark, "offline"))
+    return changes.select(F.col("device_id").cast(schema["user_id"].dataType).alias("user_id"), "status", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 @query("billable_window", "SELECT CAST(c_custkey % 5 AS VARCHAR) AS tenant_id, count(*) AS billable FROM customer JOIN (SELECT o_custkey, max(o_orderdate) AS last_seen FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE last_seen >= TIMESTAMP '2001-12-01' - INTERVAL 365 DAY AND c_mktsegment <> 'BUILDING' GROUP BY 1")
 def billable_window(spark, d):
     last = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_seen"))
@@ -633,8 +663,7 @@ def raw_chain(spark, d):
 def store_once(spark, d):
     """The store after two deliveries of the same events, the second under another epoch: nothing twice, October included."""
     e = read(spark, d, "events").select(F.lit("t1").alias("tenant_id"), F.col("event_id").cast("string").alias("doc_id"), (F.col("ts").cast("timestamp") + F.expr("interval 280 days")).alias("event_time"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store-", dir="/tmp")
-    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = new_path(spark, "store")
     ingest.store_events(e, path)
     again = ingest.store_events(e.repartition(3), path)
     stored = spark.read.schema(again.schema).parquet(path)

@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from sparkwarden.operators.normalize import check_batches, explode_batches, normalize, split_valid
 from sparkwarden.rules.detect import detect
 from sparkwarden.rules.pack import Pack
+from sparkwarden.session import SETTINGS
 from sparkwarden.sources.ingest import store_events, stream_batches
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def run_events(spark: SparkSession, raw: str, base: str, pack_of: Callable[[], Pack], *, overlays: Callable[[], tuple] = lambda: (None, None)):
     """Raw batch files -> events, dead letters and detections under `base`; returns the query, which ends when all is read.
 
@@ -37,6 +41,19 @@ def run_events(spark: SparkSession, raw: str, base: str, pack_of: Callable[[], P
     return stream_batches(spark, raw).writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
 
 
+def drained(stream: DataFrame, mode: str, path: str) -> DataFrame:
+    """What a stream gives until all that is there now is read. Each micro-batch writes a folder of its own, which a
+    repeated batch writes anew."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/epoch={batch_id}")
+
+    spark = stream.sparkSession
+    spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])  # stateful processors need it
+    query = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def first_of_each(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A stream without repeated events, with state only for as long as repeats may come."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["tenant_id", "doc_id"])

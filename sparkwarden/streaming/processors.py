@@ -1,11 +1,18 @@
-"""Exact stateful forms, in arrival order: alerts with correlation, and asset identity."""
+"""Exact stateful forms, in arrival order: alerts with correlation, asset identity, and the status of agents.
+
+State ends. What makes a repeated event known, and an alert that correlation may meet, has a time to live; an alert without
+a hit for that long is given up by a timer, which says so (`expired`). Times to live and those timers run on processing time,
+since a late hit must still find its alert: in event time Spark would drop it. Spark then goes on with batches without rows,
+to look at timers; a query that is to end with its input (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled
+set to false, and looks at timers when it next has rows.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
-from datetime import timedelta
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,29 +25,58 @@ from sparkwarden.session import ship_package
 
 ALERT_CHANGES = """tenant_id string, rule_id string, entity_key string, alert_id string, change string, event_id string, occurrence_count int,
 first_seen timestamp, last_seen timestamp, title string, severity string, entity_hostname string"""
+STATUS_CHANGES = "tenant_id string, device_id string, status string, at timestamp"
+#: How long state is kept without news, and the heartbeats after which an agent is offline.
+KEEP = timedelta(days=30)
+HEARTBEAT_S, MISSED = 60, 3
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.replace("\n", " ").split(", ")]
+
+
+def stamp(t):
+    return t.to_pydatetime() if hasattr(t, "to_pydatetime") else t
+
+
+def millis(t: datetime) -> int:
+    return round(t.replace(tzinfo=timezone.utc).timestamp() * 1000)
 
 
-def alert_id(tenant: str, rule: str, entity: str, number: int) -> str:
-    return "al_" + hashlib.sha256("\x1f".join([tenant, rule, entity, str(number)]).encode()).hexdigest()[:26]
+def alert_id(tenant: str, rule: str, entity: str, event: str) -> str:
+    """An alert's id comes from the event that opened it, so that it needs no counter."""
+    return "al_" + hashlib.sha256("\x1f".join([tenant, rule, entity, event]).encode()).hexdigest()[:26]
+
+
+def wake(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """Have one timer, at this time."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(at_ms)
 
 
 class AlertDedup(StatefulProcessor):
     """One open alert for each (tenant, rule, entity). A hit joins it if its last time is not more than the window before
     the hit's, so a late hit always joins; else it is closed and a new one opens. A repeated event changes nothing.
-    Rows of a key are taken by `arrival` within a batch. A `close` action makes the next hit open a new alert."""
+    Rows of a key are taken by `arrival` within a batch. A `close` action makes the next hit open a new alert. Without
+    a row for `keep`, an open alert expires and the key's state is dropped."""
+
+    def __init__(self, keep: timedelta = KEEP):
+        self.keep_ms = round(keep.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "number int, count int, first_seen timestamp, last_seen timestamp, title string, severity string, host string, is_open boolean")
-        self.linked = handle.getMapState("linked", "event_id string", "n int")
+        self.handle = handle
+        self.open = handle.getValueState("open", "alert_id string, count int, first_seen timestamp, last_seen timestamp, title string, severity string, host string, is_open boolean")
+        self.linked = handle.getMapState("linked", "event_id string", "n int", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tenant, rule, entity = key
         state = self.open.get()
-        number, count, first, last, title, severity, host, is_open = state if state is not None else (0, 0, None, None, None, None, None, False)
+        own, count, first, last, title, severity, host, is_open = state if state is not None else (None, 0, None, None, None, None, None, False)
         window, out = timedelta(minutes=DEDUP_MINUTES), []
 
         def change(kind: str, event_id: str | None) -> None:
-            out.append((tenant, rule, entity, alert_id(tenant, rule, entity, number), kind, event_id, count, first, last, title, severity, host))
+            out.append((tenant, rule, entity, own, kind, event_id, count, first, last, title, severity, host))
 
         batch = pd.concat(list(rows)).sort_values("arrival")
         for r in batch.to_dict("records"):
@@ -59,13 +95,22 @@ class AlertDedup(StatefulProcessor):
                 continue
             if is_open:
                 change("closed", None)
-            number, count, first, last, is_open = number + 1, 1, at, at, True
+            own, count, first, last, is_open = alert_id(tenant, rule, entity, r["event_id"]), 1, at, at, True
             title, severity, host = r["title"], r["severity"], r["entity_hostname"]
             change("opened", r["event_id"])
-        if number:
-            stamp = lambda t: t.to_pydatetime() if hasattr(t, "to_pydatetime") else t
-            self.open.update((number, count, stamp(first), stamp(last), title, severity, host, is_open))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT_CHANGES.replace("\n", " ").split(", ")])
+        if own:
+            self.open.update((own, count, stamp(first), stamp(last), title, severity, host, is_open))
+            wake(self.handle, timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
+        yield pd.DataFrame(out, columns=names(ALERT_CHANGES))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, out = self.open.get(), []
+        if state is not None and state[-1]:
+            own, count, first, last, title, severity, host, _ = state
+            out.append((*key, own, "expired", None, count, first, last, title, severity, host))
+        self.open.clear()
+        self.linked.clear()
+        yield pd.DataFrame(out, columns=names(ALERT_CHANGES))
 
     def close(self) -> None:
         pass
@@ -73,34 +118,68 @@ class AlertDedup(StatefulProcessor):
 
 class Correlate(StatefulProcessor):
     """Groups alerts of a host as they open: with one by another rule seen within the window before, the new alert joins
-    the group of the latest such alert that has one, or both start a group; existing groups are never merged."""
+    the group of the latest such alert that has one, or both start a group; existing groups are never merged.
+
+    Alerts stand in slots of one window by the time they were last seen, so a row reads the slots from one window before
+    it on, not all of a host's alerts. Slots end with their time to live."""
+
+    def __init__(self, keep: timedelta = KEEP):
+        self.keep_ms = round(keep.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getMapState("recent", "alert_id string", "rule_id string, last_seen timestamp, group_id string")
+        self.slots = handle.getMapState("slots", "slot long", "alerts string", self.keep_ms)
+        self.places = handle.getMapState("places", "alert_id string", "slot long", self.keep_ms)
+
+    def slot_of(self, at: datetime) -> int:
+        return millis(at) // (CORRELATION_MINUTES * 60_000)
+
+    def read(self, slot: int) -> dict[str, list]:
+        """Alerts of a slot: rule, milliseconds of the last time, group."""
+        return json.loads(self.slots.getValue((slot,))[0]) if self.slots.containsKey((slot,)) else {}
+
+    def put(self, alert: str, entry: list, slot: int) -> None:
+        if (old := self.place(alert)) is not None and old != slot:
+            self.remove(alert, old)
+        self.slots.updateValue((slot,), (json.dumps(self.read(slot) | {alert: entry}),))
+        self.places.updateValue((alert,), (slot,))
+
+    def place(self, alert: str) -> int | None:
+        return self.places.getValue((alert,))[0] if self.places.containsKey((alert,)) else None
+
+    def remove(self, alert: str, slot: int) -> None:
+        left = {k: v for k, v in self.read(slot).items() if k != alert}
+        if left:
+            self.slots.updateValue((slot,), (json.dumps(left),))
+        elif self.slots.containsKey((slot,)):
+            self.slots.removeKey((slot,))
+        self.places.removeKey((alert,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tenant, host = key
-        window, out = timedelta(minutes=CORRELATION_MINUTES), []
+        out = []
         for r in pd.concat(list(rows)).sort_values("arrival").to_dict("records"):
-            at, own = r["last_seen"].to_pydatetime(), r["alert_id"]
-            known = {k[0]: v for k, v in self.recent.iterator()}
-            if r["change"] == "closed":
-                if own in known:
-                    self.recent.removeKey((own,))
+            at, own = stamp(r["last_seen"]), r["alert_id"]
+            if r["change"] != "opened":
+                if (old := self.place(own)) is not None:
+                    entry = self.read(old).get(own)
+                    if r["change"] == "updated" and entry:
+                        self.put(own, [entry[0], millis(at), entry[2]], self.slot_of(at))
+                    elif r["change"] != "updated":
+                        self.remove(own, old)
                 continue
-            if r["change"] == "updated":
-                if own in known:
-                    self.recent.updateValue((own,), (known[own][0], at, known[own][2]))
-                continue
-            near = sorted(((v[1], k) for k, v in known.items() if v[0] != r["rule_id"] and v[1] >= at - window), reverse=True)
+            since = millis(at) - CORRELATION_MINUTES * 60_000
+            known: dict[str, list] = {}
+            for slot in sorted(k[0] for k in self.slots.keys() if k[0] >= self.slot_of(at) - 1):
+                known |= self.read(slot)
+            near = sorted(((v[1], k) for k, v in known.items() if v[0] != r["rule_id"] and v[1] >= since), reverse=True)
             group = next((known[k][2] for _, k in near if known[k][2]), None)
             if near and group is None:
                 group = "cg_" + hashlib.sha256(f"{tenant}\x1f{host}\x1f{own}".encode()).hexdigest()[:26]
             for _, k in near:
                 if not known[k][2]:
-                    self.recent.updateValue((k,), (known[k][0], known[k][1], group))
+                    self.put(k, [*known[k][:2], group], self.place(k))
                     out.append((tenant, k, group))
-            self.recent.updateValue((own,), (r["rule_id"], at, group))
+            self.put(own, [r["rule_id"], millis(at), group], self.slot_of(at))
             if group:
                 out.append((tenant, own, group))
         yield pd.DataFrame(out, columns=["tenant_id", "alert_id", "group_id"])
@@ -109,55 +188,173 @@ class Correlate(StatefulProcessor):
         pass
 
 
+class Kept(dict):
+    """A map state as a dict: a key is loaded when it is first asked for, and written back at the end if it has changed."""
+
+    def __init__(self, state, load: Callable[[str], object], dump: Callable[[object], str], name: Callable[[object], str] = str):
+        super().__init__()
+        self.state, self.load, self.dump, self.name = state, load, dump, name
+        self.seen: dict[object, str | None] = {}
+
+    def __contains__(self, key) -> bool:
+        if key not in self.seen:
+            found = self.state.getValue((self.name(key),))[0] if self.state.containsKey((self.name(key),)) else None
+            self.seen[key] = found
+            if found is not None:
+                super().__setitem__(key, self.load(found))
+        return super().__contains__(key)
+
+    def __getitem__(self, key):
+        if key not in self:
+            raise KeyError(key)
+        return super().__getitem__(key)
+
+    def __setitem__(self, key, value) -> None:
+        self.seen.setdefault(key, None)
+        super().__setitem__(key, value)
+
+    def get(self, key, default=None):
+        return self[key] if key in self else default
+
+    def flush(self) -> None:
+        for key, value in self.items():
+            now = self.dump(value)
+            if now != self.seen[key]:
+                self.state.updateValue((self.name(key),), (now,))
+                self.seen[key] = now
+
+
 class Assets(StatefulProcessor):
-    """The tenant's resolver, kept as JSON in the state store between batches."""
+    """The tenant's resolver over keyed states: a batch loads and writes only the assets and identifiers that it touches."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("resolver", "document string")
+        self.states = {k: handle.getMapState(k, "name string", "value string") for k in ("assets", "identities", "pins", "owned")}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        resolver = load_resolver(key[0], self.kept.get())
+        pair = ":".join
+        kept = {
+            "assets": Kept(self.states["assets"], load_asset, dump_asset), "owned": Kept(self.states["owned"], lambda t: [tuple(k) for k in json.loads(t)], json.dumps),
+            "identities": Kept(self.states["identities"], str, str, pair), "pins": Kept(self.states["pins"], str, str, pair),
+        }
+        resolver = Resolver(key[0], **kept)
         done = [(r["tenant_id"], r["seq"], resolver.apply(r)) for r in _clean(pd.concat(list(rows)).sort_values("seq"))]
-        self.kept.update((dump_resolver(resolver),))
+        for state in kept.values():
+            state.flush()
         out = [(t, s, d["asset_id"], d["matched_rule"], d["created"], d["bound"]) for t, s, d in done if d]
-        yield pd.DataFrame(out, columns=["tenant_id", "seq", "asset_id", "matched_rule", "created", "bound"])
+        yield pd.DataFrame(out, columns=names(BINDING_SCHEMA))
 
     def close(self) -> None:
         pass
 
 
-def dump_resolver(r: Resolver) -> str:
-    times = ("first_seen", "last_seen")
-    return json.dumps({
-        "assets": {k: {c: (str(v) if c in times else v) for c, v in a.items()} for k, a in r.assets.items()},
-        "identities": [[*k, v] for k, v in r.identities.items()], "pins": [[*k, v] for k, v in r.pins.items()], "n": r.n_created,
-    })
+def dump_asset(asset: dict) -> str:
+    return json.dumps({k: str(v) if k in ("first_seen", "last_seen") else v for k, v in asset.items()})
 
 
-def load_resolver(tenant: str, kept) -> Resolver:
-    r = Resolver(tenant)
-    if kept is not None:
-        doc = json.loads(kept[0])
-        r.assets = {k: a | {c: pd.Timestamp(a[c]) for c in ("first_seen", "last_seen")} for k, a in doc["assets"].items()}
-        r.identities = {(a, b): v for a, b, v in doc["identities"]}
-        r.pins = {(a, b): v for a, b, v in doc["pins"]}
-        r.n_created = doc["n"]
-    return r
+def load_asset(text: str) -> dict:
+    asset = json.loads(text)
+    return asset | {k: pd.Timestamp(asset[k]) for k in ("first_seen", "last_seen")}
 
 
-def alert_changes(hits: DataFrame) -> DataFrame:
+class AgentStatus(StatefulProcessor):
+    """healthy with the first heartbeat, offline when none has come for `after_s`, healthy again with the next one, and
+    never again anything once revoked. Rows of a batch are taken by time; an outage between two of them, which no timer has
+    met, is told as well, so results do not depend on how rows fall into batches. A heartbeat older than the last one
+    changes nothing."""
+
+    def __init__(self, after_s: int, event_time: bool):
+        self.after, self.event_time = timedelta(seconds=after_s), event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("status", "status string, last timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, last = self.state.get() or (None, None)
+        before, out = (status, last), []
+        for at, kind in sorted((stamp(r["at"]), r["kind"]) for part in rows for r in part.to_dict("records")):
+            if status == "revoked":
+                break
+            if kind == "revoke":
+                status, last = "revoked", at
+                out.append((*key, status, at))
+                continue
+            if status == "healthy" and self.event_time and at > last + self.after:
+                out.append((*key, "offline", last + self.after))
+                status = "offline"
+            if status != "healthy" and (last is None or at > last):
+                status = "healthy"
+                out.append((*key, status, at))
+            last = at if last is None else max(last, at)
+        if (status, last) != before:
+            self.state.update((status, last))
+            if status == "healthy":
+                wake(self.handle, millis(last + self.after) if self.event_time else timerValues.getCurrentProcessingTimeInMs() + round(self.after.total_seconds() * 1000))
+            elif status == "revoked":
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+        yield pd.DataFrame(out, columns=names(STATUS_CHANGES))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, last = self.state.get() or (None, None)
+        out = []
+        if status == "healthy":
+            self.state.update(("offline", last))
+            out.append((*key, "offline", last + self.after))
+        yield pd.DataFrame(out, columns=names(STATUS_CHANGES))
+
+    def close(self) -> None:
+        pass
+
+
+class FirstSeen(StatefulProcessor):
+    """The first row of each key by time, once for all."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        if not self.done.exists():
+            first = stamp(min(part["ingest_time"].min() for part in rows))
+            self.done.update((first,))
+            out.append((*key, first))
+        yield pd.DataFrame(out, columns=["tenant_id", "first_event_at"])
+
+    def close(self) -> None:
+        pass
+
+
+def alert_changes(hits: DataFrame, keep: timedelta = KEEP) -> DataFrame:
     """hits with arrival (a number that grows) and kind (hit or close), a stream or not -> changes of alerts."""
     ship_package(hits.sparkSession)
-    return hits.groupBy("tenant_id", "rule_id", "entity_key").transformWithStateInPandas(AlertDedup(), ALERT_CHANGES, "Update", "None")
+    return hits.groupBy("tenant_id", "rule_id", "entity_key").transformWithStateInPandas(AlertDedup(keep), ALERT_CHANGES, "Update", "ProcessingTime")
 
 
-def correlated(changes: DataFrame) -> DataFrame:
+def correlated(changes: DataFrame, keep: timedelta = KEEP) -> DataFrame:
     """changes with arrival -> group membership as it comes about."""
     ship_package(changes.sparkSession)
     on_host = changes.filter(F.col("entity_hostname").isNotNull())
-    return on_host.groupBy("tenant_id", "entity_hostname").transformWithStateInPandas(Correlate(), "tenant_id string, alert_id string, group_id string", "Update", "None")
+    return on_host.groupBy("tenant_id", "entity_hostname").transformWithStateInPandas(Correlate(keep), "tenant_id string, alert_id string, group_id string", "Update", "ProcessingTime")
 
 
 def asset_bindings(log: DataFrame) -> DataFrame:
     ship_package(log.sparkSession)
     return log.groupBy("tenant_id").transformWithStateInPandas(Assets(), BINDING_SCHEMA, "Update", "None")
+
+
+def agent_status(beats: DataFrame, after_s: int = HEARTBEAT_S * MISSED, event_time: str | None = None) -> DataFrame:
+    """beats(tenant_id, device_id, kind: heartbeat or revoke, at) -> changes of status as they come about.
+
+    By default an agent is offline when no heartbeat has come for so long by the clock; with `event_time` (a delay for late
+    rows), when the stream's own time has passed that point."""
+    ship_package(beats.sparkSession)
+    rows = beats if event_time is None else beats.withWatermark("at", event_time)
+    mode = "ProcessingTime" if event_time is None else "EventTime"
+    return rows.groupBy("tenant_id", "device_id").transformWithStateInPandas(AgentStatus(after_s, event_time is not None), STATUS_CHANGES, "Update", mode)
+
+
+def first_seen(events: DataFrame) -> DataFrame:
+    """events(tenant_id, ingest_time) -> when each tenant's first event came, told once."""
+    ship_package(events.sparkSession)
+    return events.select("tenant_id", "ingest_time").groupBy("tenant_id").transformWithStateInPandas(FirstSeen(), "tenant_id string, first_event_at timestamp", "Update", "None")

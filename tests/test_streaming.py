@@ -20,8 +20,10 @@ HIT = "tenant_id string, rule_id string, entity_key string, kind string, event_i
 def drain(spark, path, schema, build, name, out_schema_cols):
     """Run a stateful stream over JSON files, one file a micro-batch."""
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # with timers by the clock, they would never end
     q = build(source).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    assert q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     return spark.table(name).select(*out_schema_cols).collect()
 
 

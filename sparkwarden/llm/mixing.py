@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from sparkwarden.llm.common import free_name, materialize
 from sparkwarden.llm.quotas import communication_matrix, even_parts, small_table, spread_draws
 
-ROWS_PER_BLOCK = 2_000
+#: Few rows, so that small sources are split by draws too; large tables get MAX_BLOCKS blocks.
+ROWS_PER_BLOCK = 4
 #: Blocks of all sources with more than one: what the driver holds is bounded by it.
 MAX_BLOCKS = 4_096
 #: Most rows of a table of sources that is broadcast; a larger one is joined by shuffle.
@@ -83,7 +84,7 @@ def mix(
     in_block = Window.partitionBy(source, block).orderBy(order, *cols)
     dealt = dealt.withColumn(upto, F.sum(size).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
     dealt = dealt.withColumn(block_size, F.sum(size).over(Window.partitionBy(source, block)))
-    # A source of one block keeps its whole quota, and its shards take even runs of it.
+    # A source of one block leaves nothing to draw: it keeps its whole quota, and its shards take even runs of it.
     dealt = dealt.withColumn(quota, F.coalesce(quota, rest))
     line = F.col(whole) * F.col(block_size) + F.col(quota)
     even = F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda k: F.floor(line * k / n_shards).cast("long"))

@@ -43,6 +43,21 @@ def test_mixing_targets_by_sql(spark):
     assert all(abs(n - t) <= 1 for (_, t), n in taken.items())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_mixing_draws_for_every_source(spark, monkeypatch, sf):
+    """Blocks that are drawn for: several of each source, at any size; quotas and shards add up."""
+    seen = []
+
+    def drawn(cells, n_shards, seed, draw=queries.mixing.draw_cells):
+        seen.extend(draw(cells, n_shards, seed))
+        return seen
+    monkeypatch.setattr(queries.mixing, "draw_cells", drawn)
+    got = queries.QUERIES["op2_mixing"](spark, f"/root/testdata/{sf}").groupBy("source_size", "target").agg({"taken": "sum"}).collect()
+    blocks = Counter(source for source, *_ in seen)
+    assert len(blocks) == 20 and min(blocks.values()) > 1 and len(seen) <= 2 * queries.mixing.MAX_BLOCKS
+    assert all(abs(r["sum(taken)"] - r.target) <= 1 for r in got)
+
+
 def test_token_counts(spark, docs):
     from sparkwarden.llm.token_counts import Counter as Pieces
     counter = Pieces(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)

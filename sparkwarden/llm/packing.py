@@ -24,12 +24,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkwarden.llm.bpe import TrieBpe, parts
+from sparkwarden.llm.bpe import HIGH, TrieBpe, parts
 from sparkwarden.llm.common import materialize, release_memory
 from sparkwarden.session import ship_package
 
@@ -37,9 +38,9 @@ from sparkwarden.session import ship_package
 WINDOW, END_ID, SHARD_ROWS = 2048, 1, 2048
 #: BM25's saturation of term frequencies and weight of lengths.
 K1, B = 1.2, 0.75
-#: Distinct words that a worker remembers of each of two generations, words that the library encodes at once, and characters
-#: of texts whose words are looked up together.
-WORDS_KEPT, WORDS_AT_ONCE, GROUP_CHARS = 400_000, 4_000, 1_000_000
+#: Distinct words, and distinct chunks between spaces, that a worker remembers of each of two generations; words that the
+#: library encodes at once; and characters of texts whose chunks are looked up together.
+WORDS_KEPT, CHUNKS_KEPT, WORDS_AT_ONCE, GROUP_CHARS = 300_000, 300_000, 4_000, 4_000_000
 
 
 class LibraryWords(TrieBpe):
@@ -55,6 +56,8 @@ class LibraryWords(TrieBpe):
         self.ends_word[[i for i, s in self.strings.items() if s.endswith(self.suffix)]] = True
         self.special_ids = {i: i.to_bytes(4, "little") for i in self.special.values()}
         self.known = dict(self.special_ids)
+        self.chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
 
     def _plant_suffixes(self) -> None:
         """No automaton: the library knows the merges."""
@@ -82,23 +85,68 @@ class LibraryWords(TrieBpe):
         self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
         self.learn(list(fresh.difference(again)))
 
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct texts without a space, in lower case."""
+        if len(self.chunks) > CHUNKS_KEPT:
+            self.chunks, self.older_chunks = {}, self.chunks
+        out = list(map(self.chunks.get, chunks))
+        words: set[str] = set()
+        mixed: dict[int, list[str]] = {}
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        for k in missing:
+            chunk = chunks[k]
+            if chunk.isalpha():  # one word
+                words.add(chunk)
+            elif (ids := self.older_chunks.get(chunk)) is not None:
+                out[k] = self.chunks[chunk] = ids
+            else:
+                mixed[k] = self.split.findall(chunk)
+                words.update(mixed[k])
+        self.know(words)
+        for k in missing:
+            if out[k] is None:
+                own = mixed.get(k)
+                out[k] = self.chunks[chunks[k]] = self.known[chunks[k]] if own is None else b"".join(map(self.known.__getitem__, own))
+        return out
+
+    def encode_plain(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts in lower case. Pre-tokens never span a space, so only the distinct chunks between spaces are split
+        and looked up; the ids of all of them are then gathered."""
+        lists = pc.split_pattern(pa.array(parts, pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = self.chunk_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        tokens, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        n = lengths[at]
+        ends = np.cumsum(n)
+        every = tokens[np.repeat(starts[at] - (ends - n), n) + np.arange(n.sum())]
+        bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets)]
+        return [every[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Long texts are encoded in parts, so that only about
-        GROUP_CHARS characters are held as words."""
+        GROUP_CHARS characters are held as chunks. Parts that may hold a special token, or code points that combine, are
+        split by the vocabulary's full rules."""
         out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[str | int]]] = []
+        held: list[tuple[list[bytes], int, str]] = []
         size = 0
 
         def flush() -> None:
-            self.know(set(chain.from_iterable(words for _, words in held)))
-            ids = self.known.__getitem__
-            for k, words in held:
-                out[k].append(b"".join(map(ids, words)))
-            held.clear()
+            if held:
+                for (own, k, _), ids in zip(held, self.encode_plain([p for _, _, p in held]), strict=True):
+                    own[k] = ids
+                held.clear()
 
-        for k, text in enumerate(texts):
+        for own, text in zip(out, texts, strict=True):
             for part in parts(text):
-                held.append((k, self.pieces(part)))
+                if "<|" in part or not part.isascii() and HIGH.search(part):
+                    words = self.pieces(part)
+                    self.know(set(words))
+                    own.append(b"".join(map(self.known.__getitem__, words)))
+                    continue
+                held.append((own, len(own), part.lower().replace("\n", " ")))
+                own.append(b"")
                 size += len(part)
                 if size >= GROUP_CHARS:
                     flush()

@@ -38,9 +38,9 @@ from sparkwarden.session import ship_package
 WINDOW, END_ID, SHARD_ROWS = 2048, 1, 2048
 #: BM25's saturation of term frequencies and weight of lengths.
 K1, B = 1.2, 0.75
-#: Distinct words, and distinct chunks between spaces, that a worker remembers of each of two generations; words that the
-#: library encodes at once; and characters of texts whose chunks are looked up together.
-WORDS_KEPT, CHUNKS_KEPT, WORDS_AT_ONCE, GROUP_CHARS = 300_000, 300_000, 4_000, 4_000_000
+#: Distinct words and chunks between spaces that a worker remembers of each of two generations, words that the library
+#: encodes at once, and characters of texts whose chunks are looked up together.
+WORDS_KEPT, WORDS_AT_ONCE, GROUP_CHARS = 500_000, 4_000, 4_000_000
 
 
 class LibraryWords(TrieBpe):
@@ -56,8 +56,6 @@ class LibraryWords(TrieBpe):
         self.ends_word[[i for i, s in self.strings.items() if s.endswith(self.suffix)]] = True
         self.special_ids = {i: i.to_bytes(4, "little") for i in self.special.values()}
         self.known = dict(self.special_ids)
-        self.chunks: dict[str, bytes] = {}
-        self.older_chunks: dict[str, bytes] = {}
 
     def _plant_suffixes(self) -> None:
         """No automaton: the library knows the merges."""
@@ -86,27 +84,23 @@ class LibraryWords(TrieBpe):
         self.learn(list(fresh.difference(again)))
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct texts without a space, in lower case."""
-        if len(self.chunks) > CHUNKS_KEPT:
-            self.chunks, self.older_chunks = {}, self.chunks
-        out = list(map(self.chunks.get, chunks))
+        """Ids of distinct texts without a space, in lower case. They are remembered as words are; most are words."""
+        out = list(map(self.known.get, chunks))
         words: set[str] = set()
         mixed: dict[int, list[str]] = {}
         missing = [k for k, ids in enumerate(out) if ids is None]
         for k in missing:
             chunk = chunks[k]
-            if chunk.isalpha():  # one word
+            if chunk.isalpha() or chunk in self.older:
                 words.add(chunk)
-            elif (ids := self.older_chunks.get(chunk)) is not None:
-                out[k] = self.chunks[chunk] = ids
             else:
                 mixed[k] = self.split.findall(chunk)
                 words.update(mixed[k])
         self.know(words)
+        for k, own in mixed.items():
+            self.known[chunks[k]] = b"".join(map(self.known.__getitem__, own))
         for k in missing:
-            if out[k] is None:
-                own = mixed.get(k)
-                out[k] = self.chunks[chunks[k]] = self.known[chunks[k]] if own is None else b"".join(map(self.known.__getitem__, own))
+            out[k] = self.known[chunks[k]]
         return out
 
     def encode_plain(self, parts: list[str]) -> list[bytes]:
@@ -241,7 +235,7 @@ class Shard:
         self.term_of, self.row_bounds = term, np.searchsorted(row, np.arange(self.n + 1))
         order = np.argsort(term.astype(np.uint16) if self.terms <= 1 << 16 else term, kind="stable")
         self.row, self.value = row[order].astype(np.int32), value[order]
-        self.bounds = np.searchsorted(term[order], np.arange(self.terms + 1))
+        self.bounds = np.searchsorted(term[order], np.arange(self.terms + 1)).astype(np.int32)
         self.unused, self.indexed = np.ones(self.n, bool), self.n
 
     def use(self, row: int) -> None:
@@ -249,13 +243,14 @@ class Shard:
         self.unused[row] = False
         if (left := int(self.unused.sum())) * 2 <= self.indexed:
             stay = self.unused[self.row]
-            self.bounds = np.concatenate([[0], np.cumsum(stay)])[self.bounds]
+            self.bounds = np.concatenate([[0], np.cumsum(stay)])[self.bounds].astype(np.int32)
             self.row, self.value, self.indexed = self.row[stay], self.value[stay], left
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.term_of[self.row_bounds[seed] : self.row_bounds[seed + 1]]
         first, n = self.bounds[terms], self.bounds[terms + 1] - self.bounds[terms]
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(first - (ends - n), n) + np.arange(n.sum(), dtype=np.int32)
         return np.bincount(self.row[at], weights=self.value[at], minlength=self.n)
 
     def neighbours(self, seed: int) -> Iterator[tuple[int, float]]:

@@ -235,7 +235,7 @@ class Shard:
         self.term_of, self.row_bounds = term, np.searchsorted(row, np.arange(self.n + 1))
         order = np.argsort(term.astype(np.uint16) if self.terms <= 1 << 16 else term, kind="stable")
         self.row, self.value = row[order].astype(np.int32), value[order]
-        self.bounds = np.searchsorted(term[order], np.arange(self.terms + 1)).astype(np.int32)
+        self.bounds = np.searchsorted(term[order], np.arange(self.terms + 1))
         self.unused, self.indexed = np.ones(self.n, bool), self.n
 
     def use(self, row: int) -> None:
@@ -243,14 +243,14 @@ class Shard:
         self.unused[row] = False
         if (left := int(self.unused.sum())) * 2 <= self.indexed:
             stay = self.unused[self.row]
-            self.bounds = np.concatenate([[0], np.cumsum(stay)])[self.bounds].astype(np.int32)
+            self.bounds = np.concatenate([[0], np.cumsum(stay)])[self.bounds]
             self.row, self.value, self.indexed = self.row[stay], self.value[stay], left
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.term_of[self.row_bounds[seed] : self.row_bounds[seed + 1]]
         first, n = self.bounds[terms], self.bounds[terms + 1] - self.bounds[terms]
-        ends = np.cumsum(n, dtype=np.int32)
-        at = np.repeat(first - (ends - n), n) + np.arange(n.sum(), dtype=np.int32)
+        ends = np.cumsum(n)
+        at = np.repeat(first - (ends - n), n) + np.arange(n.sum())
         return np.bincount(self.row[at], weights=self.value[at], minlength=self.n)
 
     def neighbours(self, seed: int) -> Iterator[tuple[int, float]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden import schema
@@ -14,6 +14,7 @@ from sparkwarden.operators.tenancy import UUID, month_of, tenant_or_platform
 
 MAX_BATCH_BYTES, MAX_BATCH_EVENTS = 5 * 1024 * 1024, 1000
 MAX_AUDIT_BYTES = 16 * 1024
+DELIVERY_ORDER = ("ingest_time", "batch_id", "ordinal")
 STREAMS = ("raw", "normalized", "detections", "alerts", "asset.observations")
 
 
@@ -50,12 +51,19 @@ def from_envelope(messages: DataFrame, payload_schema: str) -> tuple[DataFrame,
 
 
 def store_events(events: DataFrame, path: str, epoch: str | None = None) -> DataFrame:
-    """Append events that the store does not have, by tenant and month; returns the stored events of this epoch.
+    """Append events that the store does not have, by tenant and month; returns the stored events of this epoch. Of
+    events that repeat, the first is stored: by ingest time, batch and place, as far as the events have them.
 
     Each row names the epoch that stored it (by default a new one). A delivery that is made again under its epoch, after a
     crash for one, stores nothing twice and returns the same rows. Only the months that the batch writes to are read."""
     spark, epoch = events.sparkSession, epoch or uuid.uuid4().hex
-    keyed = events.withColumn("month", month_of(F.col("event_time"))).dropDuplicates(["tenant_id", "month", "doc_id"]).withColumn("epoch", F.lit(epoch))
+    keyed = events.withColumn("month", month_of(F.col("event_time")))
+    if order := [c for c in DELIVERY_ORDER if c in events.columns]:
+        place = F.row_number().over(Window.partitionBy("tenant_id", "month", "doc_id").orderBy(*order))
+        keyed = keyed.withColumn("_place", place).filter("_place = 1").drop("_place")
+    else:
+        keyed = keyed.dropDuplicates(["tenant_id", "month", "doc_id"])
+    keyed = keyed.withColumn("epoch", F.lit(epoch))
     months = [r.month for r in keyed.select("month").distinct().collect()]  # a batch spans a few
     # With a schema of its own the month stays text: inferred, 2024.10 would be the number 2024.1.
     store = lambda: spark.read.schema(keyed.schema).parquet(path).filter(F.col("month").isin(months))

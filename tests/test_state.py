@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators import assets
 from sparkwarden.operators.components import components
+from sparkwarden.sources.ingest import store_events
 from sparkwarden.sources.snapshots import Snapshot, SourceUnavailable, admit
 from sparkwarden.streaming import jobs, processors, retry
 from tests.test_events import LOG, log_frame, observed
@@ -254,3 +255,12 @@ def test_devices_are_looked_at_first(spark):
     asked = [(1, "b", "d1", "aa", T0), (2, "b", "d1", "BB", T0), (3, "b", "d1", "bb", T0 + timedelta(1)), (4, "b", "d2", "cc", T0), (5, "b", "d9", "aa", T0), (6, "b", "d1", None, T0), (7, "a", "d1", "dd", T0)]
     rows = spark.createDataFrame(asked, "n int, tenant_id string, device_id string, serial string, at timestamp")
     assert {r.n: r.code for r in admit(rows, tenants, devices).collect()} == {1: None, 2: None, 3: "DEVICE_IDENTITY_INVALID", 4: "DEVICE_REVOKED", 5: "DEVICE_IDENTITY_INVALID", 6: "DEVICE_IDENTITY_INVALID", 7: "TRIAL_EXPIRED"}
+
+
+def test_the_first_of_repeated_events_is_stored(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [("t", "d", at(0), at(m), b, k, f"{m}{b}{k}") for m in (5, 3, 4) for b in ("y", "x") for k in (2, 1)] + [("t", "e", at(0), at(9), "x", 0, "e")]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "tenant_id string, doc_id string, event_time timestamp, ingest_time timestamp, batch_id string, ordinal int, v string").repartition(3)
+    assert {r.doc_id: r.v for r in store_events(df, str(tmp_path / "s"), "1").collect()} == {"d": "3x1", "e": "e"}
+    assert store_events(df, str(tmp_path / "s"), "2").count() == 0

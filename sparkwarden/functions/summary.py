@@ -6,31 +6,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_WORDS = 120
-# The labels of the lines, and what a summary must not hold.
+# The labels of the lines, what a summary must not hold, and the texts of the errors.
 LABELS = ("What happened: ", "Why it matters: ", "Do this next: ")
 FORMAT_DENIED = ("`", "**", "# ", "](", "http://", "https://", "!")
+STRUCTURE_ERROR, LINE_ERROR = "structure: expected exactly 3 lines, got ", "structure: line does not match '^{}\\S'"
+ENTITY_ERROR = ("entity: {}-like token '", "' not in alert.entity")
 JARGON = {
     "lateral movement": r"\blateral movement\b",
-    "C2": r"\bc2\b|\bcommand[ -]and[ -]control\b",
-    "beaconing": r"\bbeacon(ing|s)?\b|\bcallback(s)?\b",
+    "C2 / command and control": r"\bc2\b|\bcommand[ -]and[ -]control\b",
+    "beaconing / callback": r"\bbeacon(ing|s)?\b|\bcallback(s)?\b",
     "exfiltration": r"\bexfiltrat\w*\b",
     "persistence": r"\bpersistence\b",
     "privilege escalation": r"\bprivilege escalation\b",
-    "credential dumping": r"\bcredential (dump\w*|access)\b",
+    "credential dumping/access": r"\bcredential (dump\w*|access)\b",
     "brute force": r"\bbrute[ -]force\w*\b",
-    "payload": r"\bpayload(s)?\b|\bdropper(s)?\b|\bimplant(s)?\b|\brats?\b",
-    "reverse shell": r"\breverse shell\b|\bshell access\b",
-    "obfuscated": r"\bobfuscat\w*\b|\bencoded\b",
+    "payload/dropper/implant/RAT": r"\bpayload(s)?\b|\bdropper(s)?\b|\bimplant(s)?\b|\brats?\b",
+    "reverse shell / shell access": r"\breverse shell\b|\bshell access\b",
+    "obfuscated/encoded": r"\bobfuscat\w*\b|\bencoded\b",
     "process injection": r"\bprocess injection\b",
-    "living off the land": r"\bliving off the land\b|\blolbins?\b",
-    "enumeration": r"\benumerat\w*\b|\brecon\b|\bdiscovery\b",
-    "IOC": r"\biocs?\b|\bindicator(s)?\b",
-    "threat actor": r"\bthreat actor(s)?\b|\badversar(y|ies)\b|\bttps?\b",
-    "endpoint": r"\bendpoint(s)?\b|\bhost(s)?\b",
+    "living off the land / LOLBin": r"\bliving off the land\b|\blolbins?\b",
+    "enumeration/recon/discovery": r"\benumerat\w*\b|\brecon\b|\bdiscovery\b",
+    "IOC / indicator": r"\biocs?\b|\bindicator(s)?\b",
+    "threat actor/adversary/TTP": r"\bthreat actor(s)?\b|\badversar(y|ies)\b|\bttps?\b",
+    "endpoint/host as nouns": r"\bendpoint(s)?\b|\bhost(s)?\b",
     "compromised": r"\bcompromised\b",
-    "mitigate": r"\bmitigat\w*\b|\bremediat\w*\b",
-    "exploit": r"\bexploit\w*\b",
-    "zero-day": r"\bzero[ -]day(s)?\b|\bcve-\d+",
+    "mitigate/remediate": r"\bmitigat\w*\b|\bremediat\w*\b",
+    "exploit (verb)": r"\bexploit\w*\b",
+    "zero-day / CVE": r"\bzero[ -]day(s)?\b|\bcve-\d+",
 }
 HOST_LIKE = r"\b(?=[a-z0-9-]*\d)[a-z][a-z0-9]*(?:-[a-z0-9]+)+\b"
 USER_LIKE = r"\b[a-z][a-z0-9_-]*\.[a-z][a-z0-9._-]*[a-z0-9]\b"
@@ -41,26 +43,26 @@ EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE00}-\x{FE0F
 def summary_errors(summary: Column, hostname: Column, user: Column) -> Column:
     """Array of what is wrong with a summary; empty for a good one."""
     lines = F.split(summary, "\n")
-    checks = [F.when(F.size(lines) != 3, F.concat(F.lit("structure: expected exactly 3 lines, got "), F.size(lines).cast("string")))]
+    checks = [F.when(F.size(lines) != 3, F.concat(F.lit(STRUCTURE_ERROR), F.size(lines).cast("string")))]
     for k, label in enumerate(LABELS):
         bad = (F.size(lines) == 3) & ~F.get(lines, F.lit(k)).rlike(rf"^{label}\S")
-        checks.append(F.when(bad, F.lit(f"structure: line {k + 1} does not start with '{label.strip()}'")))
+        checks.append(F.when(bad, F.lit(LINE_ERROR.format(label))))
     words = F.size(F.filter(F.split(summary, r"\s+"), lambda w: w != ""))
     checks.append(F.when(words > MAX_WORDS, F.lit(f"length: over {MAX_WORDS} words")))
     checks += [F.when(summary.contains(x), F.lit(f"format: banned sequence '{x}'")) for x in FORMAT_DENIED]
     checks.append(F.when(summary.rlike(EMOJI), F.lit("format: emoji codepoint")))
     checks += [F.when(summary.rlike(f"(?i){p}"), F.lit(f"jargon: banned term ({name})")) for name, p in JARGON.items()]
-    unglossed = F.exists(F.split(summary, "[.?]"), lambda s: s.rlike(r"(?i)\bphishing\b") & ~s.rlike(r"(?i)\btrick"))
-    checks.append(F.when(unglossed, F.lit("jargon: 'phishing' without the required gloss")))
-    checks.append(F.when(summary.rlike(BLOB_LIKE), F.lit("content: encoded blob or hash reproduced")))
+    unglossed = F.filter(F.split(summary, "[.?]"), lambda s: s.rlike(r"(?i)\bphishing\b") & ~s.rlike(r"(?i)\btrick"))
+    blob = F.when(summary.rlike(BLOB_LIKE), F.lit("content: encoded blob or hash reproduced"))
     allowed = F.filter(F.array(hostname, user), lambda v: v.isNotNull() & (v != ""))
 
     def invented(pattern: str, what: str) -> Column:
-        found = F.regexp_extract_all(summary, F.lit(pattern), F.lit(0))
-        return F.transform(F.array_except(found, allowed), lambda t: F.concat(F.lit(f"entity: {what}-like token '"), t, F.lit("' not in the alert")))
+        found = F.filter(F.regexp_extract_all(summary, F.lit(pattern), F.lit(0)), lambda t: ~F.array_contains(allowed, t))
+        return F.transform(found, lambda t: F.concat(F.lit(ENTITY_ERROR[0].format(what)), t, F.lit(ENTITY_ERROR[1])))
 
-    fixed = F.filter(F.array(*checks), lambda c: c.isNotNull())
-    return F.concat(fixed, invented(HOST_LIKE, "hostname"), invented(USER_LIKE, "account"))
+    given = lambda checks: F.filter(F.array(*checks), lambda c: c.isNotNull())
+    phishing = F.transform(unglossed, lambda s: F.lit("jargon: 'phishing' without the required gloss"))
+    return F.concat(given(checks), phishing, invented(HOST_LIKE, "hostname"), invented(USER_LIKE, "account"), given([blob]))
 
 
 def read_answer(answer: Column) -> Column:

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters that full case folding leaves as they are, or folds to capitals, unlike upper then lower case.
 _DOTLESS, _SAVED = chr(0x131), chr(0xE000)
@@ -61,7 +62,9 @@ def clamp_payload(payload: Column, most: int = 65_536) -> Column:
 SECRET_KEY = r"(?i)(token|secret|password|passwd|credential|cert_key|private_key|api_key|(^|[_\-.])key(s)?([_\-.]|$))"
 BLOB, BLOB_MARK = r"[A-Za-z0-9+/=]{64,}|\b[0-9a-fA-F]{40,}\b", "[blob-removed]"
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
-REDACTED, CUT = "[REDACTED]", "...[truncated]"
+REDACTED, CUT = "[REDACTED]", "…[truncated]"
+# What a model is never told of an event, and how many items of a list it is.
+UNTOLD, MOST_ITEMS = ("raw", "unmapped", "batch_id", "tenant_id", "source"), 16
 
 
 def redact_map(values: Column) -> Column:
@@ -122,3 +125,44 @@ def semver(version: Column) -> Column:
     ok = version.rlike(r"^(0|[1-9][0-9]{0,8})\.(0|[1-9][0-9]{0,8})\.(0|[1-9][0-9]{0,8})$")
     part = lambda k: F.try_to_number(F.split_part(version, F.lit("."), F.lit(k)), F.lit("999999999")).cast("int")
     return F.when(ok, F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))
+
+
+def trimmed(event: Column, kind: T.DataType, most: int = 512) -> Column:
+    """A typed event for a model: without UNTOLD fields at any depth, lists and texts cut short. Null stays null."""
+    if isinstance(kind, T.StructType):
+        fields = [trimmed(event[f.name], f.dataType, most).alias(f.name) for f in kind.fields if f.name not in UNTOLD]
+        return F.when(event.isNotNull(), F.struct(*fields)) if fields else F.lit(None).cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.slice(event, 1, MOST_ITEMS), lambda x: trimmed(x, kind.elementType, most))
+    if isinstance(kind, T.MapType):
+        told = F.map_filter(event, lambda k, v: ~k.cast("string").isin(*UNTOLD))
+        return F.transform_values(told, lambda k, v: trimmed(v, kind.valueType, most))
+    if isinstance(kind, T.VariantType):
+        return F.parse_json(trim_json(F.to_json(event), most))
+    return scrub(event, most) if isinstance(kind, T.StringType) else event
+
+
+def trim_json(document: Column, most: int = 512) -> Column:
+    """The same for JSON text, whose depth no plan knows; null where it is no object."""
+    # Control characters but tab and line feed, as scrub() takes them.
+    control, blob = re.compile(r"[\x00-\x08\x0B-\x1F\x7F]"), re.compile(BLOB, re.ASCII)
+
+    def trim(value):
+        if isinstance(value, str):
+            value = blob.sub(BLOB_MARK, control.sub(" ", value))
+            return value[:most] + CUT if len(value) > most else value
+        if isinstance(value, dict):
+            return {k: trim(v) for k, v in value.items() if k not in UNTOLD}
+        return [trim(v) for v in value[:MOST_ITEMS]] if isinstance(value, list) else value
+
+    def one(text):
+        try:
+            value = json.loads(text)
+            return json.dumps(trim(value), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else None
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return F.pandas_udf(run, "string")(document)

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sparkwarden.functions.text import byte_prefix, clamp_payload, document_id, scrub, semver
+from sparkwarden.functions.text import byte_prefix, clamp_payload, document_id, semver
 from sparkwarden.operators.tenancy import UUID, tenant_or_platform
 
 SCHEMA_VERSION = "1.0.0"
@@ -206,13 +205,3 @@ def enrolment_observations(enrolments: DataFrame) -> DataFrame:
         "tenant_id", F.col("enrolled_at").alias("observed_at"), F.lit("agent").alias("source"), "host.hostname", "host.os_family", "host.os_name", "host.os_version", "host.ip", "host.mac",
         "device_id", "agent_version",
     )
-
-
-def trim_event(event: Column, schema, most: int = 512, most_items: int = 16) -> Column:
-    """A struct without raw, unmapped, batch_id, tenant_id and source at any depth, with arrays and strings cut short."""
-    if isinstance(schema, T.StructType):
-        fields = [trim_event(event[f.name], f.dataType, most, most_items).alias(f.name) for f in schema.fields if f.name not in ("raw", "unmapped", "batch_id", "tenant_id", "source")]
-        return F.struct(*fields) if fields else F.lit(None)
-    if isinstance(schema, T.ArrayType):
-        return F.transform(F.slice(event, 1, most_items), lambda x: trim_event(x, schema.elementType, most, most_items))
-    return scrub(event, most) if isinstance(schema, T.StringType) else event

@@ -9,8 +9,9 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkwarden.functions.text import like_literal
+from sparkwarden.functions.text import like_literal, trim_json, trimmed
 
 DEFAULT_PAGE, MAX_PAGE = 50, 200
 # The order of each sort name; True is ascending.
@@ -124,10 +125,22 @@ def alert_view(alerts: DataFrame) -> DataFrame:
     )
 
 
-def context_document(alerts: DataFrame, links: DataFrame, events: DataFrame, most: int = 5) -> DataFrame:
-    """For each alert, compact JSON of it and of its first events: the earliest `most` links, missing bodies left out."""
-    first = links.withColumn("_n", F.row_number().over(Window.partitionBy("tenant_id", "alert_id").orderBy("created_at", "event_id"))).filter(F.col("_n") <= most)
-    bodies = first.join(events, ["tenant_id", "event_id"], "left").groupBy("tenant_id", "alert_id").agg(F.array_sort(F.collect_list(F.struct("_n", "body"))).alias("_b"))
-    rows = alerts.join(bodies, ["tenant_id", "alert_id"], "left")
-    events_json = F.coalesce(F.filter(F.transform("_b", lambda b: b["body"]), lambda b: b.isNotNull()), F.array().cast("array<string>"))
-    return rows.select("tenant_id", "alert_id", F.to_json(F.struct("alert_id", "rule_id", "title", "severity", "occurrence_count", events_json.alias("events"))).alias("context"))
+def context_document(alerts: DataFrame, links: DataFrame, events: DataFrame, most: int = 5, most_chars: int = 512) -> DataFrame:
+    """tenant_id, alert_id, context: compact JSON of each alert and, in it, of its first events (the earliest `most` links;
+    missing bodies are left out). events(tenant_id, event_id, body): bodies are structs, or JSON text. They are trimmed,
+    so raw data does not get there. Columns that alerts lack are null."""
+    def of(name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in alerts.columns else F.lit(None).cast(kind)
+
+    stamp = lambda c: F.date_format(of(c, "timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSSxxx").alias(c)
+    about = F.struct(
+        of("title").alias("rule_title"), of("severity").alias("rule_severity"), F.coalesce(of("mitre_technique_ids", "array<string>"), F.array().cast("array<string>")).alias("mitre_technique_ids"),
+        F.struct(of("entity_hostname").alias("hostname"), of("entity_user").alias("user")).alias("entity"), of("occurrence_count", "int").alias("occurrence_count"), stamp("first_seen"), stamp("last_seen"))
+    first = links.select("tenant_id", "alert_id", "event_id", F.row_number().over(Window.partitionBy("tenant_id", "alert_id").orderBy("created_at", "event_id")).alias("_n")).filter(F.col("_n") <= most)
+    kind = events.schema["body"].dataType
+    body = F.to_json(trimmed(F.col("body"), kind, most_chars)) if isinstance(kind, T.StructType) else trim_json(F.col("body"), most_chars)
+    found = first.join(events.select("tenant_id", "event_id", "body"), ["tenant_id", "event_id"]).select("tenant_id", "alert_id", F.struct("_n", body.alias("_body")).alias("_b"))
+    told = found.groupBy("tenant_id", "alert_id").agg(F.array_sort(F.collect_list("_b")).alias("_b"))
+    bodies = F.concat_ws(",", F.transform("_b", lambda b: b["_body"]))
+    context = F.concat(F.lit('{"alert":'), F.to_json(about, {"ignoreNullFields": "false"}), F.lit(',"events":['), bodies, F.lit("]}"))
+    return alerts.join(told, ["tenant_id", "alert_id"], "left").select("tenant_id", "alert_id", context.alias("context"))

@@ -17,6 +17,7 @@ from sparkwarden.operators.queue import context_document
 from sparkwarden.operators.usage import running_budget
 
 DAILY_TOKENS = 2_000_000
+UNREADABLE = "output: no JSON object with summary and ai_severity"
 #: (context, alert's columns) -> the answer's text.
 Scorer = Callable[[Column], Column]
 
@@ -30,7 +31,8 @@ def deterministic(context: Column) -> Column:
 def triage(alerts: DataFrame, links: DataFrame, events: DataFrame, scorer: Scorer = deterministic, again: Scorer | None = None, *, daily_tokens: int = DAILY_TOKENS) -> DataFrame:
     """alerts with summary, ai_severity, tokens_in, tokens_out and outcome: ok, invalid (both tries failed the checks) or
     over_budget (the tenant's day had spent its tokens before). `again` is asked where the first answer fails; by default
-    the same. A scorer gets a null context where it is not to answer, and costs nothing there.
+    the same. Its context says, as `correction`, what was wrong with the first answer. A scorer gets a null context where
+    it is not to answer, and costs nothing there.
 
     Each try costs the tokens that go in and come out; skipped alerts cost nothing. Spending only grows, so the alerts
     that are let through are the first ones of a day, up to the one that used the budget up. Alerts whose predecessors'
@@ -38,18 +40,19 @@ def triage(alerts: DataFrame, links: DataFrame, events: DataFrame, scorer: Score
     rows = alerts.join(context_document(alerts, links, events), ["tenant_id", "alert_id"]).withColumn("_in", tokens_estimate(F.col("context")))
     rows = running_budget(rows, ["tenant_id"], "last_seen", "alert_id", F.col("_in"), daily_tokens).withColumnRenamed("allowed", "_asked").drop("spent_before")
 
-    def attempt(df: DataFrame, ask: Scorer, name: str, asked: Column) -> DataFrame:
-        read = df.withColumn("_given", F.col("context")).withColumn("context", F.when(asked, F.col("context"))).withColumn(f"_text_{name}", ask(F.col("context")))
-        read = read.withColumn(f"_text_{name}", F.when(F.col("context").isNotNull(), F.col(f"_text_{name}"))).withColumn(f"_tried_{name}", F.col("context").isNotNull())
-        read = read.withColumn("context", F.col("_given")).drop("_given").withColumn(f"_answer_{name}", read_answer(F.col(f"_text_{name}")))
+    def attempt(df: DataFrame, ask: Scorer, name: str, asked: Column, given: Column) -> DataFrame:
+        read = df.withColumn("_own", F.col("context")).withColumn("context", F.when(asked, given)).withColumn(f"_text_{name}", ask(F.col("context")))
+        read = read.withColumn(f"_text_{name}", F.when(F.col("context").isNotNull(), F.col(f"_text_{name}"))).withColumn(f"_in_{name}", F.coalesce(tokens_estimate(F.col("context")), F.lit(0)))
+        read = read.withColumn("context", F.col("_own")).drop("_own").withColumn(f"_answer_{name}", read_answer(F.col(f"_text_{name}")))
         errors = summary_errors(F.col(f"_answer_{name}.summary"), F.col("entity_hostname"), F.col("entity_user"))
-        return read.withColumn(f"_good_{name}", F.coalesce(F.size(errors) == 0, F.lit(False)) & F.col(f"_answer_{name}").isNotNull())
+        return read.withColumn(f"_errors_{name}", F.when(F.col(f"_answer_{name}").isNull(), F.array(F.lit(UNREADABLE))).otherwise(errors)).withColumn(f"_good_{name}", F.size(f"_errors_{name}") == 0)
 
-    rows = attempt(rows, scorer, "first", F.col("_asked"))
-    rows = attempt(rows, again or scorer, "second", F.col("_asked") & ~F.col("_good_first"))
-    tries = F.col("_tried_first").cast("int") + F.col("_tried_second").cast("int")
+    rows = attempt(rows, scorer, "first", F.col("_asked"), F.col("context"))
+    correction = F.to_json(F.struct(F.concat_ws("; ", "_errors_first").alias("correction")))
+    corrected = F.concat(F.expr("left(context, length(context) - 1)"), F.lit(","), F.substring(correction, 2, 1_000_000))
+    rows = attempt(rows, again or scorer, "second", F.col("_asked") & ~F.col("_good_first"), corrected)
     out = F.coalesce(tokens_estimate(F.col("_text_first")), F.lit(0)) + F.coalesce(tokens_estimate(F.col("_text_second")), F.lit(0))
-    rows = rows.withColumn("tokens_in", tries * F.col("_in")).withColumn("tokens_out", out)
+    rows = rows.withColumn("tokens_in", F.col("_in_first") + F.col("_in_second")).withColumn("tokens_out", out)
     rows = running_budget(rows, ["tenant_id"], "last_seen", "alert_id", F.col("tokens_in") + F.col("tokens_out"), daily_tokens)
     allowed = F.col("allowed") & F.col("_asked")
     answer = F.when(allowed, F.when(F.col("_good_first"), F.col("_answer_first")).when(F.col("_good_second"), F.col("_answer_second")))

@@ -222,7 +222,7 @@ def truncate_utf8(spark, d):
     return read(spark, d, "documents").select("doc_id", text.byte_prefix(F.col("text"), 101).alias("cut"))
 
 
-@query("trim_scrub", "SELECT doc_id, CASE WHEN length(s) > 80 THEN s[1:80] || '...[truncated]' ELSE s END AS scrubbed FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', ' ', 'g'), '[A-Za-z0-9+/=]{64,}|\\b[0-9a-fA-F]{40,}\\b', '[blob-removed]', 'g') AS s FROM documents)")
+@query("trim_scrub", "SELECT doc_id, CASE WHEN length(s) > 80 THEN s[1:80] || '…[truncated]' ELSE s END AS scrubbed FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', ' ', 'g'), '[A-Za-z0-9+/=]{64,}|\\b[0-9a-fA-F]{40,}\\b', '[blob-removed]', 'g') AS s FROM documents)")
 def trim_scrub(spark, d):
     return read(spark, d, "documents").select("doc_id", text.scrub(F.col("text"), 80).alias("scrubbed"))
 
@@ -267,21 +267,24 @@ def priority_score(spark, d):
     return read(spark, d, "orders").select("o_orderkey", scoring.effective_severity(s, ai).alias("effective"), scoring.priority(s, ai, n, st).cast("int").alias("score"))
 
 
-@query("correlate_interval", f"WITH {SESSIONS} SELECT a.tenant_id, a.entity_hostname, a.rule_id, a.entity_key, a.session, b.rule_id AS other_rule, b.entity_key AS other_key, b.session AS other_session FROM al a JOIN al b ON a.tenant_id = b.tenant_id AND a.entity_hostname = b.entity_hostname AND a.rule_id <> b.rule_id AND b.last_seen >= a.first_seen - INTERVAL 30 MINUTE AND b.first_seen <= a.first_seen")
+@query("correlate_interval", f"""WITH {SESSIONS} SELECT a.tenant_id, a.entity_hostname, a.rule_id, a.entity_key, a.session, b.rule_id AS other_rule, b.entity_key AS other_key, b.session AS other_session, max(b.event_time) AS other_last
+ FROM al a JOIN numbered b ON a.tenant_id = b.tenant_id AND a.entity_hostname = b.entity_hostname AND a.rule_id <> b.rule_id AND b.event_time BETWEEN a.first_seen - INTERVAL 30 MINUTE AND a.first_seen GROUP BY ALL""")
 def correlate_interval(spark, d):
-    pairs = alerts.candidates(alerts.alerts(hits(spark, d)), carry=("entity_key", "session"))
-    return pairs.select("tenant_id", "entity_hostname", "rule_id", "entity_key", "session", "other_rule", F.col("other_entity_key").alias("other_key"), "other_session")
+    rows = hits(spark, d)
+    pairs = alerts.candidates(alerts.alerts(rows), alerts.alert_events(rows), carry=("entity_key", "session"))
+    return pairs.select("tenant_id", "entity_hostname", "rule_id", "entity_key", "session", "other_rule", F.col("other_entity_key").alias("other_key"), "other_session", ntz("other_last"))
 
 
 @query("correlation_groups", f"""WITH {SESSIONS}, a AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, entity_hostname ORDER BY first_seen, rule_id, entity_key, session) AS n FROM al),
- p AS (SELECT a.tenant_id, a.entity_hostname, a.n, b.n AS other FROM a JOIN a b ON a.tenant_id = b.tenant_id AND a.entity_hostname = b.entity_hostname AND a.rule_id <> b.rule_id AND b.n < a.n AND b.last_seen >= a.first_seen - INTERVAL 30 MINUTE),
+ p AS (SELECT DISTINCT a.tenant_id, a.entity_hostname, a.n, b.n AS other FROM a JOIN numbered h ON a.tenant_id = h.tenant_id AND a.entity_hostname = h.entity_hostname AND a.rule_id <> h.rule_id AND h.event_time BETWEEN a.first_seen - INTERVAL 30 MINUTE AND a.first_seen
+ JOIN a b ON b.tenant_id = h.tenant_id AND b.rule_id = h.rule_id AND b.entity_key = h.entity_key AND b.session = h.session AND b.n < a.n),
  since AS (SELECT tenant_id, entity_hostname, x AS n, min(n) AS since FROM (SELECT *, n AS x FROM p UNION ALL SELECT *, other FROM p) GROUP BY ALL),
  o AS (SELECT p.tenant_id, p.entity_hostname, p.n, max(CASE WHEN s.since < p.n THEN 1 ELSE 0 END) = 0 AS opens FROM p JOIN since s ON s.tenant_id = p.tenant_id AND s.entity_hostname = p.entity_hostname AND s.n = p.other GROUP BY ALL)
  SELECT a.tenant_id, a.entity_hostname, a.rule_id, a.entity_key, a.session, COALESCE(o.opens, FALSE) AS opens FROM a JOIN since USING (tenant_id, entity_hostname, n) LEFT JOIN o USING (tenant_id, entity_hostname, n)""")
 def correlation_groups(spark, d):
     """Which alerts are in a group, and which opened one: an alert has one since it met another, or another met it."""
     a = alerts.alerts(hits(spark, d))
-    rows = alerts.correlation_groups(a).join(a, ["tenant_id", "alert_id"])
+    rows = alerts.correlation_groups(a, alerts.alert_events(hits(spark, d))).join(a, ["tenant_id", "alert_id"])
     return rows.select("tenant_id", "entity_hostname", "rule_id", "entity_key", "session", "opens")
 
 
@@ -757,95 +760,40 @@ def audit_search(spark, d):
     return rows.filter(queue.audit_filter(actor=7, action_type="click", since=datetime.datetime(2024, 1, 5), until=datetime.datetime(2024, 1, 25))).select("event_id")
 
 
-@query("context_document", """WITH f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders), g AS (SELECT o_custkey, list('"' || o_orderstatus || o_orderkey || '"' ORDER BY n) AS b FROM f WHERE n <= 5 AND o_orderkey % 3 <> 0 GROUP BY 1)
- SELECT CAST(c_custkey AS VARCHAR) AS alert_id, '{"alert_id":"' || c_custkey || '","rule_id":"r","title":"' || c_mktsegment || '","severity":"low","occurrence_count":1,"events":[' || COALESCE(array_to_string(b, ','), '') || ']}' AS context FROM customer LEFT JOIN g ON o_custkey = c_custkey""")
+@query("context_document", """WITH f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, CASE WHEN o_orderkey % 7 = 0 THEN 'enc [blob-removed]' ELSE repeat(o_orderpriority || ' ', CAST(o_orderkey % 100 AS INTEGER)) END AS line FROM orders),
+ g AS (SELECT o_custkey, list('{"message":"' || o_orderstatus || o_orderkey || '","process":{"cmd_line":"' || CASE WHEN length(line) > 512 THEN line[1:512] || '…[truncated]' ELSE line END || '","pids":[1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16]},"total":' || o_custkey || '}' ORDER BY n) AS b FROM f WHERE n <= 5 AND o_orderkey % 3 <> 0 GROUP BY 1),
+ t AS (SELECT o_custkey AS k, strftime(min(o_orderdate), '%Y-%m-%d') || ' 00:00:00.000000+00:00' AS first_seen, strftime(max(o_orderdate), '%Y-%m-%d') || ' 00:00:00.000000+00:00' AS last_seen, count(*) AS n FROM orders GROUP BY 1)
+ SELECT CAST(c_custkey AS VARCHAR) AS alert_id, '{"alert":{"rule_title":"' || c_mktsegment || '","rule_severity":"low","mitre_technique_ids":["T1059"],"entity":{"hostname":"h' || c_custkey || '","user":null},"occurrence_count":' || n || ',"first_seen":"' || first_seen || '","last_seen":"' || last_seen || '"},"events":[' || COALESCE(array_to_string(b, ','), '') || ']}' AS context
+ FROM customer JOIN t ON k = c_custkey LEFT JOIN g ON o_custkey = c_custkey""")
 def context_document(spark, d):
+    """Orders as events, each with raw data at two depths that no context may hold, and customers as alerts on them."""
     o = read(spark, d, "orders")
-    links = o.select(F.lit("t").alias("tenant_id"), F.col("o_custkey").cast("string").alias("alert_id"), F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("created_at"))
-    events = o.filter("o_orderkey % 3 <> 0").select(F.lit("t").alias("tenant_id"), F.col("o_orderkey").alias("event_id"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("body"))
-    rows = read(spark, d, "customer").select(F.lit("t").alias("tenant_id"), F.col("c_custkey").cast("string").alias("alert_id"), F.lit("r").alias("rule_id"), F.col("c_mktsegment").alias("title"), F.lit("low").alias("severity"), F.lit(1).alias("occurrence_count"))
-    return queue.context_document(rows, links, events).select("alert_id", "context")
-
-
-@query("triage_outcomes", f"WITH {SESSIONS} SELECT tenant_id, 'ok' AS outcome, severity AS ai_severity, count(*) AS n FROM al GROUP BY ALL")
+    t = F.lit("t").alias("tenant_id")
+    links = o.select(t, F.col("o_custkey").cast("string").alias("alert_id"), F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    line = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("enc "), F.repeat(F.lit("QQ"), 64))).otherwise(F.expr("repeat(o_orderpriority || ' ', int(o_orderkey % 100))"))
+    process = F.struct(line.alias("cmd_line"), F.lit("secret").alias("raw"), F.sequence(F.lit(1), F.lit(20)).alias("pids"))
+    body = F.struct(t, F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("message"), F.struct(F.lit("secret").alias("text")).alias("raw"), process.alias("process"), F.col("o_custkey").alias("total"))
+    events = o.filter("o_orderkey % 3 <> 0").select(t, F.col("o_orderkey").alias("event_id"), body.alias("body"))
+    seen = links.groupBy("tenant_id", "alert_id").agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.count("*").alias("occurrence_count"))
+    about = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("alert_id"), F.col("c_mktsegment").alias("title"), F.lit("low").alias("severity"), F.array(F.lit("T1059")).alias("mitre_technique_ids"), F.concat(F.lit("h"), F.col("c_custkey").cast("string")).alias("entity_hostname"))
+    return queue.context_document(seen.join(about, "alert_id"), links, events).select("alert_id", "context")
+
+
+@query("triage_outcomes", f"""WITH {SESSIONS}, k AS (SELECT *, CASE WHEN occurrence_count > 1 THEN 'first' WHEN CAST(entity_key AS BIGINT) % 2 = 0 THEN 'second' ELSE 'never' END AS good FROM al)
+ SELECT tenant_id, CASE good WHEN 'never' THEN 'invalid' ELSE 'ok' END AS outcome, CASE WHEN good <> 'never' THEN severity END AS ai_severity, CAST(CASE good WHEN 'first' THEN 1 ELSE 2 END AS INTEGER) AS tries, count(*) AS n FROM k GROUP BY ALL""")
 def triage_outcomes(spark, d):
-    rows = alerts.alerts(hits(spark, d))
+    """A scorer that says too much of alerts with one hit, and corrects itself for even users where it is told what was wrong."""
+    rows = alerts.alerts(hits(spark, d)).withColumn("entity_hostname", F.lit(None).cast("string"))  # "host-7" would be jargon
     links = alerts.alert_events(hits(spark, d))
-    events = hits(spark, d).select("tenant_id", "event_id", F.to_json(F.struct("rule_id", "entity_key")).alias("body"))
-    return triage.triage(rows.withColumn("entity_hostname", F.lit(None).cast("string")), links, events).groupBy("tenant_id", "outcome", "ai_severity").agg(F.count("*").alias("n"))
-
-
-@query("technique_text", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'sub' WHEN p_size % 3 = 1 THEN 'parent' END AS name FROM part")
-def technique_text(spark, d):
-    rows = read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "T1059.001").when(F.col("p_size") % 3 == 1, "T1059.999").otherwise("T9999").alias("technique_id"))
-    known = spark.sql("select * from values ('T1059', 'parent', 'd', 'u'), ('T1059.001', 'sub', 'd', 'u') as v(technique_id, name, description, url)")
-    return admin.with_technique_text(rows, known).select("p_partkey", F.col("text.name").alias("name"))
-
-
-@query("rule_catalog", "SELECT c_name AS rule_id, c_custkey % 11 = 0 AS runtime_disabled, c_custkey % 11 <> 0 AND c_custkey % 4 <> 0 AS enabled FROM customer ORDER BY 1")
-def rule_catalog(spark, d):
-    c = read(spark, d, "customer")
-    rules = c.select(F.col("c_name").alias("rule_id"))
-    toggles = c.filter("c_custkey % 2 = 0").select(F.lit("t1").alias("tenant_id"), F.col("c_name").alias("rule_id"), (F.col("c_custkey") % 4 != 0).alias("enabled"))
-    return admin.rule_catalog(rules, c.filter("c_custkey % 11 = 0").select(F.col("c_name").alias("rule_id")), toggles, "t1")
-
-
-@query("registry_gaps", "SELECT s_name AS table_name FROM supplier WHERE s_suppkey % 3 <> 0")
-def registry_gaps(spark, d):
-    t = read(spark, d, "supplier").select(F.lit("x").alias("table_schema"), F.col("s_name").alias("table_name"), "s_suppkey")
-    return admin.registry_gaps(t, t.filter("s_suppkey % 3 = 0").select("table_schema", "table_name")).select("table_name")
-
-
-@query("credential_valid", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1998-06-01') OR (o_orderpriority = '1-URGENT' AND TIMESTAMP '1998-06-01' <= o_orderdate + INTERVAL 24 HOUR)")
-def credential_valid(spark, d):
-    at = F.col("o_orderdate").cast("timestamp")
-    rows = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "O", at).alias("used_at"), at.alias("expires_at"), F.when(F.col("o_orderpriority") == "1-URGENT", at).alias("renewed_at"))
-    return admin.credential_valid(rows, "1998-06-01 00:00:00").select("o_orderkey")
-
-
-@query("tenant_gate", "SELECT c_custkey, COALESCE(CASE WHEN c_acctbal < 0 THEN 'TENANT_ABUSE_FROZEN' WHEN c_mktsegment = 'BUILDING' THEN 'TENANT_FROZEN' WHEN c_mktsegment = 'MACHINERY' THEN 'TENANT_PURGED' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'TENANT_NOT_ACTIVE' END, 'ok') AS gate FROM customer")
-def tenant_gate(spark, d):
-    seg = F.col("c_mktsegment")
-    status = F.when(seg == "BUILDING", "frozen").when(seg == "MACHINERY", "purged").when(seg == "HOUSEHOLD", "provisioning").otherwise("active")
-    return read(spark, d, "customer").select("c_custkey", F.coalesce(admin.tenant_gate(status, F.col("c_acctbal") < 0), F.lit("ok")).alias("gate"))
-
-
-@query("capacity_admission", "SELECT o_orderkey, n + o_custkey % 4 <= 6 AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")
-def capacity_admission(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_custkey").alias("tenant_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))
-    seats = o.select("tenant_id").distinct().withColumns({"cap": F.lit(6), "used": F.col("tenant_id") % 4})
-    return usage.admit_by_capacity(o, seats).select(F.col("id").alias("o_orderkey"), "admitted")
-
-
-@query("rate_admission", """WITH RECURSIVE e AS (SELECT event_id, event_type, CAST(floor(epoch(ts) / 6) AS BIGINT) AS b, CAST(user_id % 7 AS BIGINT) AS n, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
- w AS (SELECT event_type, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, FALSE AS admitted, CAST([] AS STRUCT(b BIGINT, n BIGINT)[]) AS held FROM (SELECT DISTINCT event_type FROM e)
-  UNION ALL SELECT event_type, k, event_id, n + COALESCE(list_sum([x.n for x in h]), 0) <= 9, CASE WHEN n + COALESCE(list_sum([x.n for x in h]), 0) <= 9 THEN list_append(h, {'b': b, 'n': n}) ELSE h END
-  FROM (SELECT e.*, [x for x in w.held if x.b > e.b - 10] AS h FROM w JOIN e ON e.event_type = w.event_type AND e.k = w.k + 1))
- SELECT event_id, admitted FROM w WHERE k > 0""")
-def rate_admission(spark, d):
-    e = read(spark, d, "events").select("event_type", "ts", "event_id", (F.col("user_id") % 7).alias("n"))
-    return usage.admit_by_rate(e, "event_type", "ts", "event_id", F.col("n"), 9).select("event_id", "admitted")
-
-
-@query("fixed_window_admission", """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s, ts FROM events),
- nxt AS MATERIALIZED (SELECT a.event_type, a.s, b.s AS n FROM (SELECT DISTINCT event_type, s FROM e) a ASOF JOIN (SELECT DISTINCT event_type, s FROM e) b ON a.event_type = b.event_type AND a.s + 600 <= b.s),
- w AS (SELECT event_type, min(s) AS s FROM e GROUP BY 1 UNION ALL SELECT nxt.event_type, nxt.n FROM w JOIN nxt ON nxt.event_type = w.event_type AND nxt.s = w.s)
- SELECT event_id, row_number() OVER (PARTITION BY e.event_type, w.s ORDER BY ts, event_id) <= 3 AS admitted FROM e ASOF JOIN w ON w.event_type = e.event_type AND w.s <= e.s""")
-def fixed_window_admission(spark, d):
-    e = read(spark, d, "events").select("event_type", "ts", "event_id")
-    return usage.admit_by_fixed_window(e, "event_type", "ts", "event_id", 3, 600).select("event_id", "admitted")
-
-
-@query("retry_backoff", "SELECT event_id, round(least(300.0, 1.0 * pow(2, least(event_id % 12, 30))) * (0.5 + (user_id % 10) / 10.0), 6) AS wait FROM events")
-def retry_backoff(spark, d):
-    return read(spark, d, "events").select("event_id", F.round(usage.backoff_seconds(F.col("event_id") % 12, (F.col("user_id") % 10) / 10.0), 6).alias("wait"))
+    events = hits(spark, d).select("tenant_id", "event_id", F.struct("rule_id", "entity_key").alias("body"))
 
+    def answer(context):
+        good = (F.col("occurrence_count") > 1) | (context.contains("jargon: banned term (C2 / command and control)") & (F.col("entity_key").cast("bigint") % 2 == 0))
+        said = F.concat(summary.fake_summary(F.col("entity_hostname"), F.col("entity_user"), F.col("occurrence_count"), F.col("last_seen")), F.when(good, "").otherwise(" It is C2."))
+        return F.to_json(F.struct(said.alias("summary"), F.col("severity").alias("ai_severity")))
 
-@query("alert_view", "SELECT CAST(o_orderkey AS VARCHAR) AS alert_id, o_orderpriority AS rule, lower(o_orderstatus) AS state FROM orders")
-def alert_view(spark, d):
-    null = F.lit(None).cast("string")
-    rows = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("alert_id"), F.lower("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("rule_id"), F.lit("1").alias("rule_version"), F.lit("t").alias("title"), F.lit("low").alias("severity"), null.alias("entity_hostname"), null.alias("entity_user"), F.lit(1).alias("occurrence_count"), F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"), F.lit(1).alias("priority_score"))
-    return queue.alert_view(rows).select("alert_id", F.col("rule.id").alias("rule"), "state")
+    done = triage.triage(rows, links, events, answer).withColumn("tries", F.when(F.col("occurrence_count") > 1, 1).otherwise(2))
+    return done.groupBy("tenant_id", "outcome", "ai_severity", "tries").agg(F.count("*").alias("n"))
 
 
 # ---- text checks, filters and sets ---------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from sparkwarden.rules.compile import TypedResolver, condition
 from sparkwarden.rules.content import RULES, leaf
 from sparkwarden.rules.detect import detect
 from sparkwarden.rules.pack import build_pack
-from sparkwarden.sources import ingest
+from sparkwarden.sources import ingest, tables
 from sparkwarden.storage import new_path
 from sparkwarden.streaming import jobs, processors
 
@@ -590,6 +590,46 @@ def retention_expired(spark, d):
     return admin.expired_partitions(parts, days, "1999-07-08 00:00:00")
 
 
+def stored_orders(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, str]:
+    """(orders as rows of a table, its folder): partitioned by status."""
+    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.lit(1).alias("n"), "o_orderstatus")
+    path = new_path(spark, name)
+    rows.repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    return rows, path
+
+
+@query("upsert_reread", """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 AND o_orderstatus = 'F' THEN -1.0 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 5 = 0 AND o_orderstatus = 'F' THEN 11 ELSE 1 END AS n, o_orderstatus FROM orders
+ UNION ALL SELECT -1 - o_orderkey, o_custkey, -1.0, 10, 'F' FROM orders WHERE o_orderkey % 5 = 0""")
+def upsert_reread(spark, d):
+    """Orders of one status change, some twice in a batch, and others of it are new; counts are added up. Then the table is reread."""
+    rows, path = stored_orders(spark, d, "upserted")
+    fifth = rows.filter("o_orderkey % 5 = 0")
+    both = fifth.filter("o_orderstatus = 'F'").unionByName(fifth.withColumns({"o_orderkey": -1 - F.col("o_orderkey"), "o_orderstatus": F.lit("F")}))
+    late = both.withColumns({"o_totalprice": F.lit(-1.0), "n": F.lit(10), "_seq": F.lit(2)})
+    early = both.filter("o_orderkey % 2 = 0").withColumns({"o_totalprice": F.lit(-2.0), "n": F.lit(99), "_seq": F.lit(1)})
+    tables.upsert(path, early.unionByName(late), keys=["o_orderkey", "o_orderstatus"], by=["o_orderstatus"], order=["_seq"], merge={"n": lambda old, new: old["n"] + new["n"]})
+    return tables.table(spark, path, rows.schema)
+
+
+@query("delete_reread", "SELECT o_orderkey, o_custkey, o_totalprice, 1 AS n, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' AND NOT (o_orderstatus = 'F' AND o_custkey % 3 = 0)")
+def delete_reread(spark, d):
+    """All orders of one status and some of another are deleted; then the table is reread."""
+    rows, path = stored_orders(spark, d, "deleted")
+    tables.delete(spark, path, rows.schema, (F.col("o_orderstatus") == "P") | (F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 3 == 0), by=["o_orderstatus"])
+    return tables.table(spark, path, rows.schema)
+
+
+@query("retention_reread", "SELECT o_orderkey, CAST(o_custkey % 5 AS VARCHAR) AS tenant_id, strftime(o_orderdate, '%Y.%m') AS month FROM orders WHERE NOT epoch(TIMESTAMP '1999-07-08' - (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)) > (o_custkey % 5) * 300 * 86400")
+def retention_reread(spark, d):
+    """Months that a tenant's retention has passed lose their folders; then the table is reread."""
+    rows = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5).cast("string").alias("tenant_id"), F.date_format("o_orderdate", "yyyy.MM").alias("month"))
+    path = new_path(spark, "retained")
+    rows.repartition("tenant_id", "month").write.partitionBy("tenant_id", "month").parquet(path)
+    days = rows.select("tenant_id").distinct().withColumn("days", F.col("tenant_id").cast("int") * 300)
+    tables.retain_months(spark, path, rows.schema, days, "1999-07-08")
+    return tables.table(spark, path, rows.schema)
+
+
 @query("ttl_rows", f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
 def ttl_rows(spark, d):
     return admin.older_than(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", AS_OF, 7).select("event_id")

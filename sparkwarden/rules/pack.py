@@ -1,9 +1,10 @@
-"""Rule packs: strict YAML loading, manifest checks, fixtures, publishing as versioned Parquet with a pointer row."""
+"""Rule packs: strict YAML loading, manifest checks, fixtures, publishing as Parquet under a log of commits."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -11,7 +12,11 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwarden.operators.tenancy import PLATFORM_TENANT
 from sparkwarden.rules.compile import Rule, RuleError, VariantResolver, compile_rule
+from sparkwarden.storage import create_once, names_in, remove, text_of
+
+RULES_SCHEMA = "pack_version string, rule_id string, rule_version string, definition string"
 
 
 class _StrictLoader(yaml.SafeLoader):
@@ -100,20 +105,60 @@ def run_fixtures(spark: SparkSession, pack: Pack, cases: list[dict]) -> DataFram
     return rows.select("rule_id", "name", "expected", matched.alias("matched"))
 
 
-def publish(spark: SparkSession, pack: Pack, documents: list[dict], base: str, *, published_by: str, at: str) -> None:
-    """Write a version's rules to its own folder, then add the pointer row that makes it the active one."""
+def publish(spark: SparkSession, pack: Pack, documents: list[dict], base: str, *, published_by: str, at: str) -> int:
+    """Make a version the active one; returns the number of its commit.
+
+    The rules go to a folder of their own. Then one file, the next number of the log, says that they are active, what they
+    supersede, and what the audit log is to hold. Of several publishers that meet, one can make that file; the others are
+    told, and what they wrote is never read. A version can be published once."""
     if pack.errors:
         raise RuleError("; ".join(pack.errors[:20]))
+    if not published_by.strip():
+        raise RuleError("who publishes must be named")
+    before, number = commits(spark, base), 1 + max((int(n[:-5]) for n in names_in(spark, f"{base}/commits") if n.endswith(".json") and n[:-5].isdigit()), default=0)
+    if pack.version in {c["pack_version"] for c in before}:
+        raise RuleError(f"{pack.version} is published already")
+    folder = f"{base}/rules/{uuid.uuid4().hex}"
     rows = [(pack.version, d["id"], d["version"], json.dumps(d, sort_keys=True)) for d in documents]
-    spark.createDataFrame(rows, "pack_version string, rule_id string, rule_version string, definition string").write.mode("errorifexists").parquet(f"{base}/rules/{pack.version}")
-    pointer = [(pack.version, pack.hash, published_by, at)]
-    spark.createDataFrame(pointer, "pack_version string, hash string, published_by string, published_at string").write.mode("append").parquet(f"{base}/pointer")
+    spark.createDataFrame(rows, RULES_SCHEMA).write.mode("errorifexists").parquet(folder)
+    after = {"pack_version": pack.version, "hash": pack.hash, "rule_count": len(documents), "published_at": at}
+    record = after | {
+        "number": number, "published_by": published_by, "folder": folder, "supersedes": before[-1]["pack_version"] if before else None,
+        "audit": {"tenant_id": PLATFORM_TENANT, "actor": published_by, "action_type": "rule_pack.publish", "target": pack.version, "after": after, "created_at": at}}
+    if not create_once(spark, f"{base}/commits/{number:08d}.json", json.dumps(record, sort_keys=True)):
+        remove(spark, folder)
+        raise RuleError("another version was published meanwhile")
+    return number
+
+
+def commits(spark: SparkSession, base: str) -> list[dict]:
+    """What was published, in order. A file that its publisher did not finish is no commit."""
+    out = []
+    for name in names_in(spark, f"{base}/commits"):
+        try:
+            out.append(json.loads(text_of(spark, f"{base}/commits/{name}")))
+        except ValueError:
+            continue
+    return out
+
+
+def published(spark: SparkSession, base: str) -> DataFrame:
+    """The versions with their status: the last one is active, the others are superseded by the next."""
+    log = commits(spark, base)
+    rows = [(c["number"], c["pack_version"], c["hash"], c["rule_count"], c["published_by"], c["published_at"], "active" if c is log[-1] else "superseded") for c in log]
+    return spark.createDataFrame(rows, "number int, pack_version string, hash string, rule_count int, published_by string, published_at string, status string")
+
+
+def publish_audit(spark: SparkSession, base: str) -> DataFrame:
+    """The rows of the audit log that publishing made."""
+    rows = [(*[c["audit"][k] for k in ("tenant_id", "actor", "action_type", "target")], json.dumps(c["audit"]["after"], sort_keys=True), c["audit"]["created_at"]) for c in commits(spark, base)]
+    return spark.createDataFrame(rows, "tenant_id string, actor string, action_type string, target string, after string, created_at string")
 
 
 def active_pack(spark: SparkSession, base: str) -> Pack | None:
     """The version published last."""
-    last = spark.read.parquet(f"{base}/pointer").orderBy(F.desc("published_at"), F.desc("pack_version")).first()
-    if last is None:
+    log = commits(spark, base)
+    if not log:
         return None
-    rules = spark.read.parquet(f"{base}/rules/{last.pack_version}").orderBy("rule_id").collect()  # a pack's rules: a few hundred
-    return build_pack(last.pack_version, [json.loads(r.definition) for r in rules])
+    rules = spark.read.schema(RULES_SCHEMA).parquet(log[-1]["folder"]).orderBy("rule_id").collect()  # a pack's rules: a few hundred
+    return build_pack(log[-1]["pack_version"], [json.loads(r.definition) for r in rules])

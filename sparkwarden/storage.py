@@ -64,3 +64,9 @@ def text_of(spark: SparkSession, path: str) -> str:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds; `path` may be a URI, as file metadata give it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path) if "://" in path or path.startswith("file:") else path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -897,6 +897,26 @@ def fixed_window_admission(spark, d):
     return usage.admit_by_fixed_window(e, "event_type", "ts", "event_id", 3, 600).select("event_id", "admitted")
 
 
+def requests_stream(spark: SparkSession, d: str, amount) -> DataFrame:
+    """Events as a stream of requests by type."""
+    rows = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parque[t]")
+    return rows.select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), amount.alias("amount"))
+
+
+@query("rate_stream", QUERIES["rate_admission"][1])
+def rate_stream(spark, d):
+    """rate_admission as a stream with a ring of buckets for each key."""
+    said = processors.admission(requests_stream(spark, d, F.col("user_id") % 7), 9, event_time="0 seconds")
+    return jobs.drained(said, "update", new_path(spark, "rate")).select(F.col("id").alias("event_id"), "admitted")
+
+
+@query("fixed_window_stream", QUERIES["fixed_window_admission"][1])
+def fixed_window_stream(spark, d):
+    """fixed_window_admission as a stream with a window and a count for each key."""
+    said = processors.admission(requests_stream(spark, d, F.lit(1)), 3, seconds=600, event_time="0 seconds")
+    return jobs.drained(said, "update", new_path(spark, "window")).select(F.col("id").alias("event_id"), "admitted")
+
+
 @query("retry_backoff", "SELECT event_id, round(least(300.0, 1.0 * pow(2, least(event_id % 12, 30))) * (0.5 + (user_id % 10) / 10.0), 6) AS wait FROM events")
 def retry_backoff(spark, d):
     return read(spark, d, "events").select("event_id", F.round(usage.backoff_seconds(F.col("event_id") % 12, (F.col("user_id") % 10) / 10.0), 6).alias("wait"))

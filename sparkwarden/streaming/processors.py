@@ -1,4 +1,4 @@
-"""Exact stateful forms, in arrival order: alerts with correlation, asset identity, and the status of agents.
+"""Exact stateful forms, in arrival order: alerts with correlation, asset identity, the status of agents, and admission.
 
 State ends. What makes a repeated event known, and an alert that correlation may meet, has a time to live; an alert without
 a hit for that long is given up by a timer, which says so (`expired`). Times to live and those timers run on processing time,
@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sparkwarden.operators.alerts import CORRELATION_MINUTES, DEDUP_MINUTES
 from sparkwarden.operators.assets import BINDING_SCHEMA, Resolver, _clean
+from sparkwarden.operators.usage import BUCKET_SECONDS, BUCKETS
 from sparkwarden.session import ship_package
 
 ALERT_CHANGES = """tenant_id string, rule_id string, entity_key string, alert_id string, change string, event_id string, occurrence_count int,
@@ -307,6 +308,60 @@ class AgentStatus(StatefulProcessor):
         pass
 
 
+class Admission(StatefulProcessor):
+    """Whether each request of a key is admitted, in the order of arrival, and by time and id within a batch.
+
+    By rate: buckets of BUCKET_SECONDS in a ring of BUCKETS; a request that would bring their sum over the limit is refused
+    and takes nothing. By fixed window: the first request after the last window starts one, and `limit` are admitted in it.
+    A late request is taken at the time of the newest before it. Once a key's ring or window is past, it has no state."""
+
+    def __init__(self, limit: int, seconds: int | None, event_time: bool):
+        self.limit, self.seconds, self.event_time = limit, seconds, event_time
+        self.lasts = seconds or BUCKET_SECONDS * BUCKETS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("taken", "newest bigint, taken string")
+
+    def by_rate(self, ring: list, second: int, amount: int) -> tuple[bool, list]:
+        bucket = second // BUCKET_SECONDS
+        ring = [r for r in ring if r[0] > bucket - BUCKETS]
+        if sum(n for _, n in ring) + amount > self.limit:
+            return False, ring
+        if ring and ring[-1][0] == bucket:
+            return True, [*ring[:-1], [bucket, ring[-1][1] + amount]]
+        return True, [*ring, [bucket, amount]]
+
+    def by_window(self, window: list, second: int, amount: int) -> tuple[bool, list]:
+        start, asked = window or (second, 0)
+        start, asked = (second, 1) if second >= start + self.seconds else (start, asked + 1)
+        return asked <= self.limit, [start, asked]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest, text = self.state.get() or (None, "[]")
+        taken, ask = json.loads(text), self.by_rate if self.seconds is None else self.by_window
+        batch = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
+        said = []
+        for second, amount in zip(batch["second"], batch["amount"]):
+            if pd.isna(second):
+                said.append(False)
+                continue
+            newest = int(second) if newest is None else max(newest, int(second))
+            admitted, taken = ask(taken, newest, int(amount))
+            said.append(admitted)
+        if newest is not None:
+            self.state.update((newest, json.dumps(taken)))
+            wake(self.handle, (newest + self.lasts) * 1000 if self.event_time else timerValues.getCurrentProcessingTimeInMs() + self.lasts * 1000)
+        yield pd.DataFrame({"key": [key[0]] * len(batch), "id": batch["id"].to_list(), "admitted": said}, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame(columns=["key", "id", "admitted"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
 class FirstSeen(StatefulProcessor):
     """The first row of each key by time, once for all."""
 
@@ -358,3 +413,18 @@ def first_seen(events: DataFrame) -> DataFrame:
     """events(tenant_id, ingest_time) -> when each tenant's first event came, told once."""
     ship_package(events.sparkSession)
     return events.select("tenant_id", "ingest_time").groupBy("tenant_id").transformWithStateInPandas(FirstSeen(), "tenant_id string, first_event_at timestamp", "Update", "None")
+
+
+def admission(requests: DataFrame, limit: int, *, seconds: int | None = None, event_time: str | None = None) -> DataFrame:
+    """requests(key, at, id, amount) -> key, id, admitted: by rate, or with `seconds` by fixed windows of that length, where
+    amounts do not count. The same answers as usage.admit_by_rate() and admit_by_fixed_window() where rows come in order.
+
+    By default every request is answered, and a key's state ends when it was not asked for by the clock for as long as a
+    ring or window lasts. With `event_time` (a delay for late rows) it ends when the stream's own time is past it, which
+    replays need; later rows than that delay are not answered."""
+    ship_package(requests.sparkSession)
+    rows = requests if event_time is None else requests.withWatermark("at", event_time)
+    rows = rows.select("key", "at", "id", F.unix_timestamp("at").alias("second"), F.coalesce(F.col("amount").cast("bigint"), F.lit(0)).alias("amount"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    mode = "ProcessingTime" if event_time is None else "EventTime"
+    return rows.groupBy("key").transformWithStateInPandas(Admission(limit, seconds, event_time is not None), f"key {kinds['key']}, id {kinds['id']}, admitted boolean", "Update", mode)

@@ -7,7 +7,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwarden.operators import assets
+from sparkwarden.operators import assets, usage
 from sparkwarden.operators.components import components
 from sparkwarden.sources.ingest import store_events
 from sparkwarden.sources.snapshots import Snapshot, SourceUnavailable, admit
@@ -264,3 +264,34 @@ def test_the_first_of_repeated_events_is_stored(spark, tmp_path):
     df = spark.createDataFrame(rows, "tenant_id string, doc_id string, event_time timestamp, ingest_time timestamp, batch_id string, ordinal int, v string").repartition(3)
     assert {r.doc_id: r.v for r in store_events(df, str(tmp_path / "s"), "1").collect()} == {"d": "3x1", "e": "e"}
     assert store_events(df, str(tmp_path / "s"), "2").count() == 0
+
+
+ASKED = "key string, at timestamp, id long, amount long"
+
+
+def asked_at(key, second, n, amount=1):
+    return {"key": key, "at": None if second is None else T0 + timedelta(seconds=second), "id": n, "amount": amount}
+
+
+@pytest.mark.parametrize("seconds", [None, 60])
+def test_admission_in_a_stream_equals_the_batch(spark, tmp_path, seconds):
+    """Cut into micro-batches anywhere: repeated times, nulls, a key that is null, and answers that depend on refused ones."""
+    rng = random.Random(7)
+    rows = sorted((asked_at(rng.choice(["a", "b", None]), rng.randrange(900), k, rng.choice([0, 1, 2, 5, None])) for k in range(600)), key=lambda r: (r["at"], r["id"]))
+    rows += [asked_at("a", None, 700), asked_at("b", 901, 701)]
+    write_batches(tmp_path, [rows[k : k + 150] for k in range(0, len(rows), 150)])
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ASKED)
+    want = usage.admit_by_rate(df, "key", "at", "id", F.col("amount"), 12) if seconds is None else usage.admit_by_fixed_window(df, "key", "at", "id", 9, seconds)
+    got, kept = run_stream(spark, tmp_path, ASKED, lambda r: processors.admission(r, 12 if seconds is None else 9, seconds=seconds), "cp")
+    said = {r.id: r.admitted for r in got}
+    assert said == {r.id: r.admitted for r in want.collect()} and len(said) == len(rows) == len(got) and len(set(said.values())) == 2 and kept > 0
+
+
+def test_state_of_admission_ends_and_late_requests_count(spark, tmp_path):
+    write_batches(tmp_path, [[asked_at("a", 100, 0, 5)], [asked_at("a", 20, 1, 5), asked_at("a", 20, 2, 1)], [asked_at("b", 1000, 3)]])
+    got, kept = run_stream(spark, tmp_path, ASKED, lambda r: processors.admission(r, 10), "late")
+    assert {r.id: r.admitted for r in got} == {0: True, 1: True, 2: False, 3: True}
+    many = [[asked_at(f"k{k}", k, k) for k in range(50)], [asked_at("z", 5000, 99)], [asked_at("z", 5001, 100)]]
+    write_batches(tmp_path / "more", many)
+    got, ended = run_stream(spark, tmp_path / "more", ASKED, lambda r: processors.admission(r, 10, event_time="0 seconds"), "cp", idle=True)
+    assert len(got) == 52 and ended <= 4

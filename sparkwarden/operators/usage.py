@@ -59,22 +59,36 @@ def failing_rules(evaluations: DataFrame, at: str = "at", order: str = "id", *,
     had `least` evaluations or more, `fraction` of them or more failed, and for `tenants` tenants or more.
 
     The window slides by buckets: those that started within it count, the current one up to the failure. Sums of whole
-    buckets come from one row for each, so only rows of one bucket are ordered by time."""
-    width = seconds // buckets
-    rows = evaluations.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_bucket", F.floor(F.col("_t") / (width * 1_000_000)))
-    failing = F.when(F.col("error"), F.col("tenant_id"))
-    whole = rows.groupBy("rule_id", "_bucket").agg(F.count("*").alias("_n"), F.sum(F.col("error").cast("int")).alias("_e"), F.collect_set(failing).alias("_f"))
-    back = lambda k: Window.partitionBy("rule_id").orderBy("_bucket").rangeBetween(-k, -1)
+    buckets come from one row for each, so only rows of one bucket are ordered by time. A tenant counts from a failure
+    until the window has passed its last one, so tenants are a running sum of such beginnings and ends; nothing holds a
+    set of them. Failures without a tenant count as failures only."""
+    width = seconds // buckets * 1_000_000
+    rows = evaluations.select("rule_id", "tenant_id", F.coalesce("error", F.lit(False)).alias("error"), F.col(at).alias("_at"), F.col(order).alias("_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("_t"))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_t") / width))
+    by_tenant = Window.partitionBy("rule_id", "tenant_id").orderBy("_t", "_id")
+    until = (F.col("_bucket") + buckets) * width  # the last moment at which a failure counts
+    failed = rows.filter("error").withColumn("_until", until).withColumns({"_before": F.lag("_until").over(by_tenant), "_after": F.lead("_t").over(by_tenant)})
+    named = F.col("tenant_id").isNotNull()
+    begins = (named & (F.col("_before").isNull() | (F.col("_t") > F.col("_before")))).cast("int")
+    ends = failed.filter(named & (F.col("_after").isNull() | (F.col("_after") > F.col("_until"))))
+    log = rows.filter("not error").withColumns({"_one": F.lit(1), "_tenants": F.lit(0)})
+    log = log.unionByName(failed.withColumns({"_one": F.lit(1), "_tenants": begins}).drop("_until", "_before", "_after"))
+    log = log.unionByName(ends.select("rule_id", F.lit(False).alias("error"), F.col("_until").alias("_t"), (F.col("_bucket") + buckets).alias("_bucket"), F.lit(0).alias("_one"), F.lit(-1).alias("_tenants")), allowMissingColumns=True)
+    whole = log.groupBy("rule_id", "_bucket").agg(F.sum("_one").alias("_n"), F.sum(F.col("error").cast("int")).alias("_e"), F.sum("_tenants").alias("_d"))
+    of_rule = Window.partitionBy("rule_id").orderBy("_bucket")
     for k in (buckets - 1, buckets):  # at the start of a bucket, the one that started `seconds` before still counts
-        whole = whole.withColumns({f"n{k}": F.coalesce(F.sum("_n").over(back(k)), F.lit(0)), f"e{k}": F.coalesce(F.sum("_e").over(back(k)), F.lit(0)), f"f{k}": F.flatten(F.collect_list("_f").over(back(k)))})
-    within = Window.partitionBy("rule_id", "_bucket").orderBy("_t", order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_own": F.count("*").over(within), "_own_e": F.sum(F.col("error").cast("int")).over(within), "_own_f": F.collect_set(failing).over(within)}).filter("error")
-    rows = rows.join(whole.drop("_n", "_e", "_f"), ["rule_id", "_bucket"])
-    pick = lambda c: F.when(F.col("_t") % (width * 1_000_000) == 0, F.col(f"{c}{buckets}")).otherwise(F.col(f"{c}{buckets - 1}"))
-    rows = rows.withColumns({"samples": F.col("_own") + pick("n"), "_errors": F.col("_own_e") + pick("e"), "tenants_affected": F.size(F.array_union("_own_f", pick("f")))})
+        back = of_rule.rangeBetween(-k, -1)
+        whole = whole.withColumns({f"_n{k}": F.coalesce(F.sum("_n").over(back), F.lit(0)), f"_e{k}": F.coalesce(F.sum("_e").over(back), F.lit(0))})
+    whole = whole.withColumn("_known", F.coalesce(F.sum("_d").over(of_rule.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n", "_e", "_d")
+    # Rows of a moment come before the ends of that moment, as these still count at it.
+    within = Window.partitionBy("rule_id", "_bucket").orderBy("_t", F.desc("_one"), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = log.withColumns({"_own": F.sum("_one").over(within), "_own_e": F.sum(F.col("error").cast("int")).over(within), "_own_d": F.sum("_tenants").over(within)}).filter("error")
+    seen = seen.join(whole, ["rule_id", "_bucket"])
+    pick = lambda c: F.when(F.col("_t") % width == 0, F.col(f"_{c}{buckets}")).otherwise(F.col(f"_{c}{buckets - 1}"))
+    seen = seen.withColumns({"samples": F.col("_own") + pick("n"), "_errors": F.col("_own_e") + pick("e"), "tenants_affected": (F.col("_known") + F.col("_own_d")).cast("int")})
     over = (F.col("samples") >= least) & (F.col("_errors") >= fraction * F.col("samples")) & (F.col("tenants_affected") >= tenants)
-    first = F.min_by(F.struct(F.col(at).alias("at"), "samples", F.round(F.col("_errors") / F.col("samples"), 6).alias("error_fraction"), "tenants_affected"), F.struct("_t", order))
-    return rows.filter(over).groupBy("rule_id").agg(first.alias("_d")).select("rule_id", "_d.*")
+    first = F.min_by(F.struct(F.col("_at").alias("at"), "samples", F.round(F.col("_errors") / F.col("samples"), 6).alias("error_fraction"), "tenants_affected"), F.struct("_t", "_id"))
+    return seen.filter(over).groupBy("rule_id").agg(first.alias("_d")).select("rule_id", "_d.*")
 
 
 def pipeline_counts(rows: DataFrame) -> DataFrame:

@@ -48,12 +48,6 @@ PURGE_ORDER = (
 )
 
 
-def create_table(spark, name: str, schema: str, *, partition_by: tuple[str, ...] = ()) -> None:
-    """An empty managed Parquet table of a schema, if there is none."""
-    by = f" partitioned by ({', '.join(partition_by)})" if partition_by else ""
-    spark.sql(f"create table if not exists {name} ({schema}) using parquet{by}")
-
-
 def purge_order(tables: list[str]) -> list[str]:
     """Tables so that what refers to others goes first; unknown ones before all."""
     return sorted(tables, key=lambda t: (PURGE_ORDER.index(t) if t in PURGE_ORDER else -1, t))

@@ -1,4 +1,4 @@
-"""Tables that change: upserts, deletes and purges in Parquet, and rule packs that are published against each other."""
+"""Tables that change: upserts, deletes and purges in Parquet, packs published against each other, and migrations."""
 
 import json
 import threading
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from sparkwarden.rules.compile import RuleError
 from sparkwarden.rules.content import RULES
 from sparkwarden.rules.pack import active_pack, build_pack, commits, publish, publish_audit, published
-from sparkwarden.sources import tables
+from sparkwarden.sources import migrations, tables
 from sparkwarden.storage import create_once
 
 SCHEMA = T.StructType([T.StructField(c, t()) for c, t in (("tenant_id", T.StringType), ("month", T.StringType), ("k", T.IntegerType), ("v", T.StringType), ("n", T.IntegerType))])
@@ -116,3 +116,44 @@ def test_publishers_race(spark, tmp_path):
             publish(spark, build_pack(version, RULES[:2]), RULES[:2], base, published_by=who, at="2026-01-02")
     with pytest.raises(RuleError):
         publish(spark, build_pack("5.0.0", [{"id": "broken"}]), [], base, published_by="me", at="2026-01-02")
+
+
+def test_migrations_up_down_and_drift(spark, tmp_path):
+    spark.sql("create database if not exists moved")
+    ledger = migrations.Ledger(spark, str(tmp_path / "ledger"))
+    state = lambda files: {r.name: r.state for r in ledger.status(files).collect()}
+    tables_of = lambda: {t.name for t in spark.catalog.listTables("moved")}
+    own = migrations.own_tables("moved")
+    names = [m.name for m in own]
+    assert set(state(own).values()) == {"pending"} and ledger.up(own, "1") == (names, [])
+    assert tables_of() == {"events", "detections", "asset_observations", "dead_letters", "audit_log", "metering"}
+    assert "variant" in dict(spark.table("moved.events").dtypes).values() and ledger.up(own, "2") == ([], [])
+    changed = [own[0], migrations.parse(names[1], f"{migrations.UP}\nselect 1;\n{migrations.DOWN}\nselect 2;\n"), *own[2:]]
+    assert ledger.up(changed, "3") == ([], [names[1]]) and state(changed)[names[1]] == "drifted"
+    with pytest.raises(migrations.MigrationError):
+        ledger.down(own[:-1], 2, "4")
+    assert state(own[:-1])[names[-1]] == "missing" and ledger.down(own, 2, "4") == [names[-1], names[-2]] and tables_of() == {"events", "detections", "asset_observations", "dead_letters"}
+    assert ledger.down(own, 99, "5") == names[:4][::-1] and tables_of() == set() and ledger.down(own, 1, "6") == [] and set(state(own).values()) == {"pending"}
+
+
+def test_an_interrupted_migration_is_run_again(spark, tmp_path):
+    spark.sql("create database if not exists halfway")
+    (tmp_path / "files").mkdir()
+    file = tmp_path / "files" / "0001_two.sql"
+    file.write_text("-- migrate:up\ncreate table if not exists halfway.a (k int) using parquet;\ncreate table halfway.b (k nonsense) using parquet;\n-- migrate:down\ndrop table if exists halfway.a;\ndrop table if exists halfway.b;\n")
+    ledger = migrations.Ledger(spark, str(tmp_path / "ledger"))
+    with pytest.raises(Exception):
+        ledger.up(migrations.load(str(tmp_path / "files")), "1")
+    assert ledger.status(migrations.load(str(tmp_path / "files"))).first().state == "interrupted"
+    file.write_text(file.read_text().replace("table halfway.b (k nonsense)", "table if not exists halfway.b (k int)"))
+    files = migrations.load(str(tmp_path / "files"))
+    assert ledger.up(files, "2") == (["0001_two.sql"], []) and ledger.status(files).first().state == "applied"
+    assert {t.name for t in spark.catalog.listTables("halfway")} == {"a", "b"}
+    create_once(spark, str(tmp_path / "ledger" / "00000004.json"))  # a runner that ended as it wrote
+    assert ledger.down(files, 1, "3") == ["0001_two.sql"] and {t.name for t in spark.catalog.listTables("halfway")} == set()
+    for text in ("create table x", "-- migrate:up\n-- migrate:down\ndrop x;", "-- migrate:down\ndrop x;\n-- migrate:up\ncreate x;"):
+        with pytest.raises(migrations.MigrationError):
+            migrations.parse("bad", text)
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(migrations.MigrationError):
+        migrations.load(str(tmp_path / "empty"))

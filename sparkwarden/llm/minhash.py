@@ -16,8 +16,9 @@ Work on candidates, none of which emits all pairs of a group:
 
 Null and empty texts have n_shingles 0 and stay alone. Ids are whole numbers or else text, of which the least by code
 point is the component's. Rows that share a doc_id are one document: if their texts differ, it links both texts' groups
-only where it is the least id of each, and each row tells the group of its own text. Rows with a null id are in no group.
-An empty table gives no rows. Columns other than id and text are not read.
+only where it is the least id of each, and each row tells the group of its own text. A row with a null id links nothing
+and is no group's component; it is told the group of documents with an id that have its very words (then it is not
+kept), else a null component (then it is kept). An empty table gives no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations

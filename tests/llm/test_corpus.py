@@ -79,6 +79,10 @@ def test_near_duplicates_edge_tables(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (7, None)]
     got = sorted(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
     assert [(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id] == [(2, 2, True), (5, 2, False), (5, 2, False), (7, 7, True)]
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(2, False)]
+    nameless = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "u v w x y z")]
+    got = minhash.near_duplicates(spark.createDataFrame(nameless, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("1", "1", True), ("None", "None", True), ("None", "None", True)]
 
 
 def test_long_texts_hash_like_short_ones(monkeypatch):

@@ -37,7 +37,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group of near-duplicates; of rows that share a doc_id, one."""
+    """The least doc_id of each group of near-duplicates; of rows that share a doc_id, one. Rows without a
+    doc_id stay, as no id names them."""
     found = materialize(minhash.near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
     again = found.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
     gone = materialize(found.filter(~F.col("kept")).select("doc_id").union(again).distinct(), "gone")

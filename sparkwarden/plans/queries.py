@@ -774,11 +774,16 @@ def bulk_outcome(spark, d):
     return alerts.bulk_action(o, "t", [*ids, "none", ids[0]], "acknowledge", "me", AS_OF)[1]
 
 
-@query("degraded_context", "SELECT c_custkey AS alert_id, 0 AS bodies FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("degraded_context", """SELECT c_custkey AS alert_id, CASE s WHEN 'whole' THEN n ELSE 0 END AS bodies, s AS store FROM (SELECT o_custkey AS c_custkey, CAST(count(*) FILTER (o_orderkey % 3 <> 0) AS INTEGER) AS n FROM orders GROUP BY 1), (VALUES ('whole'), ('missing'), ('failing')) AS v(s)""")
 def degraded_context(spark, d):
-    """Alerts whose event store is out of reach keep their links, without bodies."""
-    links = read(spark, d, "orders").select(F.lit("t").alias("tenant_id"), F.col("o_custkey").alias("alert_id"), F.col("o_orderkey").alias("event_id"))
-    return ingest.bodies_or_none(links, None).groupBy("alert_id").agg(F.count("body").cast("int").alias("bodies"))
+    """Links with bodies of a store that can be read, of one that is not there, and of one that fails while it is read."""
+    o = read(spark, d, "orders")
+    links = o.select(F.lit("t").alias("tenant_id"), F.col("o_custkey").alias("alert_id"), F.col("o_orderkey").alias("event_id"))
+    whole = o.filter("o_orderkey % 3 <> 0").select(F.lit("t").alias("tenant_id"), F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("body"))
+    failing = whole.withColumn("body", F.when(F.col("event_id") >= 0, F.raise_error(F.lit("the store is out of reach")).cast("string")))
+    stores = {"whole": lambda: whole, "missing": lambda: spark.read.schema(whole.schema).parquet(new_path(spark, "nowhere")), "failing": lambda: failing}
+    out = [ingest.bodies_or_none(links, of).groupBy("alert_id").agg(F.count("body").cast("int").alias("bodies")).withColumn("store", F.lit(name)) for name, of in stores.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("login_rows", "SELECT o_orderkey AS user_id, c_mktsegment AS plan_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'F'")

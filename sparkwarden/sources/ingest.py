@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkwarden import schema
 from sparkwarden.functions.text import clamp_payload, redact_json
 from sparkwarden.operators.tenancy import UUID, month_of, tenant_or_platform
+from sparkwarden.storage import written
 
 MAX_BATCH_BYTES, MAX_BATCH_EVENTS = 5 * 1024 * 1024, 1000
 MAX_AUDIT_BYTES = 16 * 1024
@@ -83,11 +86,15 @@ def by_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
     return events.join(ids, ["tenant_id", "event_id"], "left_semi")
 
 
-def bodies_or_none(links: DataFrame, events: DataFrame | None) -> DataFrame:
-    """Linked events with their body; where the event store is out of reach (None), the links with null bodies."""
-    if events is None:
+def bodies_or_none(links: DataFrame, read: Callable[[], DataFrame]) -> DataFrame:
+    """Linked events with their body; where the event store cannot be read, when it is opened or while it is, all links with
+    null bodies. `read` gives events(tenant_id, event_id, body). The links are written first, so that a failure after
+    that is the store's; one of the links themselves is raised."""
+    links = written(links, "links")
+    try:
+        return written(links.join(read().select("tenant_id", "event_id", "body"), ["tenant_id", "event_id"], "left"), "bodies")
+    except (PySparkException, Py4JJavaError, OSError):
         return links.withColumn("body", F.lit(None).cast("string"))
-    return links.join(events.select("tenant_id", "event_id", "body"), ["tenant_id", "event_id"], "left")
 
 
 def append_dead_letters(rows: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators import assets, usage
 from sparkwarden.operators.components import components
-from sparkwarden.sources.ingest import store_events
+from sparkwarden.sources.ingest import bodies_or_none, store_events
 from sparkwarden.sources.snapshots import Snapshot, SourceUnavailable, admit
 from sparkwarden.streaming import jobs, processors, retry
 from tests.test_events import LOG, log_frame, observed
@@ -295,3 +295,18 @@ def test_state_of_admission_ends_and_late_requests_count(spark, tmp_path):
     write_batches(tmp_path / "more", many)
     got, ended = run_stream(spark, tmp_path / "more", ASKED, lambda r: processors.admission(r, 10, event_time="0 seconds"), "cp", idle=True)
     assert len(got) == 52 and ended <= 4
+
+
+def test_only_the_store_may_fail(spark):
+    links = spark.createDataFrame([("t", "a", "e1"), ("t", "a", "e2")], "tenant_id string, alert_id string, event_id string")
+    events = spark.createDataFrame([("t", "e1", "{}"), ("u", "e2", "other")], "tenant_id string, event_id string, body string")
+    assert {r.event_id: r.body for r in bodies_or_none(links, lambda: events).collect()} == {"e1": "{}", "e2": None}
+
+    def refused():
+        raise OSError("refused")
+
+    assert {r.event_id: r.body for r in bodies_or_none(links, refused).collect()} == {"e1": None, "e2": None}
+    with pytest.raises(Exception, match="broken links"):
+        bodies_or_none(links.withColumn("event_id", F.raise_error(F.lit("broken links")).cast("string")), lambda: events)
+    with pytest.raises(KeyError):  # a mistake of the caller is no outage
+        bodies_or_none(links, lambda: {}["events"])

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import scoring, summary, text
 from sparkwarden.operators import admin, alerts, assets, normalize, queue, relations, triage, usage
-from sparkwarden.rules.compile import TypedResolver, condition
+from sparkwarden.rules.compile import Rule, TypedResolver, condition
 from sparkwarden.rules.content import RULES, leaf
 from sparkwarden.rules.detect import detect
-from sparkwarden.rules.pack import build_pack
+from sparkwarden.rules.evaluate import evaluate, hits as hits_among
+from sparkwarden.rules.pack import Pack, build_pack
 from sparkwarden.sources import ingest, tables
 from sparkwarden.storage import new_path
 from sparkwarden.streaming import jobs, processors
@@ -154,6 +155,54 @@ def rule_overlay(spark, d):
     return detect(typed_events(spark, d), PACK, disabled=off, toggles=toggles).select("tenant_id", "event_id", "rule_id")
 
 
+class Ratio(Rule):
+    """A rule that divides by a number of the event, and so fails where that is zero."""
+
+    def matches(self, resolver):
+        return F.lit(100) / (F.col("event_id").cast("bigint") % 40) > 20
+
+
+def with_ratio() -> Pack:
+    r = PACK.of(NET)[0]
+    return Pack(PACK.version, [*PACK.rules, Ratio("ratio", r.version, "Ratio", "low", NET, r.min_schema_version, r.techniques, r.entity, r.tree)])
+
+
+_OUTCOMES = f"""{TYPED}, o AS (
+ SELECT 'locked' AS rule_id, te.*, COALESCE(failure_reason = 'account_locked', FALSE) AS m, FALSE AS error FROM te WHERE event_class = 'authentication' AND tenant_id <> 't1'
+ UNION ALL SELECT 'failed-named', te.*, activity = 'logon_failed' AND user_name IS NOT NULL, FALSE FROM te WHERE event_class = 'authentication'
+ UNION ALL SELECT 'outside', te.*, NOT COALESCE(starts_with(dst_ip, '10.'), FALSE), FALSE FROM te WHERE event_class = 'network_activity'
+ UNION ALL SELECT 'ratio', te.*, COALESCE(n % 40 BETWEEN 1 AND 4, FALSE), n % 40 = 0 FROM te WHERE event_class = 'network_activity'
+ UNION ALL SELECT 'bought', te.*, contains(lower(message), 'purchase'), FALSE FROM te WHERE event_class = 'generic')"""
+
+
+def outcomes(spark, d):
+    """Of a pack with a rule that fails on some events, one rule disabled for all and one for a tenant."""
+    off = spark.sql("select 'large' as rule_id")
+    toggles = spark.sql("select * from values ('t1', 'locked', false), ('t3', 'bought', true) as v(tenant_id, rule_id, enabled)")
+    return evaluate(typed_events(spark, d), with_ratio(), disabled=off, toggles=toggles)
+
+
+@query("rule_outcomes", f"WITH {_OUTCOMES} SELECT tenant_id, rule_id, count(*) AS evaluated, count(*) FILTER (m) AS hits, count(*) FILTER (error) AS errors FROM o WHERE {_GATE} GROUP BY ALL")
+def rule_outcomes(spark, d):
+    return outcomes(spark, d).groupBy("tenant_id", "rule_id").agg(F.count("*").alias("evaluated"), F.count_if("matched").alias("hits"), F.count_if("error").alias("errors"))
+
+
+@query("rule_hits_isolated", f"WITH {_OUTCOMES} SELECT tenant_id, event_id, rule_id FROM o WHERE m AND {_GATE}")
+def rule_hits_isolated(spark, d):
+    """What matches, of events on which another rule fails too."""
+    return hits_among(outcomes(spark, d), with_ratio()).select("tenant_id", "event_id", "rule_id")
+
+
+@query("rule_failing", f"""WITH {_OUTCOMES}, e AS (SELECT rule_id, tenant_id, n AS id, epoch_us(ts) AS t, error FROM o WHERE {_GATE}),
+ m AS (SELECT f.rule_id, f.id, f.t, count(*) AS samples, count(*) FILTER (r.error) AS errors, count(DISTINCT CASE WHEN r.error THEN r.tenant_id END) AS tenants_affected FROM e f JOIN e r ON r.rule_id = f.rule_id AND (r.t // 8640000000) * 8640000000 >= f.t - 86400000000 AND (r.t < f.t OR (r.t = f.t AND r.id <= f.id)) WHERE f.error GROUP BY ALL),
+ d AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY t, id) AS n FROM m WHERE samples >= 50 AND errors >= 0.02 * samples AND tenants_affected >= 1)
+ SELECT rule_id, samples, round(errors / samples, 6) AS error_fraction, tenants_affected FROM d WHERE n = 1""")
+def rule_failing(spark, d):
+    """The tracker on real outcomes of evaluation; days in place of minutes, as the events are few."""
+    log = outcomes(spark, d).select("rule_id", "tenant_id", F.col("event_time").alias("at"), F.col("event_id").cast("bigint").alias("id"), "error")
+    return usage.failing_rules(log, fraction=0.02, tenants=1, least=50, seconds=86_400).select("rule_id", "samples", "error_fraction", F.col("tenants_affected").cast("bigint").alias("tenants_affected"))
+
+
 @query("rule_gate_semver", f"WITH {TYPED} SELECT event_id, COALESCE(schema_version = '1.2.0', FALSE) AS applies FROM te WHERE event_class = 'generic'")
 def rule_gate_semver(spark, d):
     e = typed_events(spark, d).filter("event_class = 'generic'")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.operators.normalize import check_batches, explode_batches, normalize, split_valid
-from sparkwarden.rules.detect import detect
+from sparkwarden.rules.evaluate import evaluate, hits, observed
 from sparkwarden.rules.pack import Pack
 from sparkwarden.session import SETTINGS
 from sparkwarden.sources.ingest import store_events, stream_batches
@@ -25,6 +25,8 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 def run_events(spark: SparkSession, raw: str, base: str, pack_of: Callable[[], Pack], *, overlays: Callable[[], tuple] = lambda: (None, None)):
     """Raw batch files -> events, dead letters and detections under `base`; returns the query, which ends when all is read.
 
+    A rule that fails on an event leaves a row in evaluation_errors and all other detections as they are; metrics hold what
+    each micro-batch evaluated, observed as its outcomes were written.
     The pack and the overlays are asked for in every micro-batch, so a new version takes hold with the next one.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -34,8 +36,14 @@ def run_events(spark: SparkSession, raw: str, base: str, pack_of: Callable[[], P
         stored = store_events(events, f"{base}/events", str(batch_id))
         bad.unionByName(rejected).write.mode("overwrite").parquet(f"{base}/dead_letters/epoch={batch_id}")
         disabled, toggles = overlays()
-        hits = detect(stored, pack_of(), disabled=disabled, toggles=toggles)
-        hits.write.mode("overwrite").parquet(f"{base}/detections/epoch={batch_id}")
+        pack, place = pack_of(), f"epoch={batch_id}"
+        outcomes, seen = observed(evaluate(stored, pack, disabled=disabled, toggles=toggles), f"detection-{batch_id}")
+        outcomes.filter("matched or error").write.mode("overwrite").parquet(f"{base}/outcomes/{place}")
+        told = spark.read.schema(outcomes.schema).parquet(f"{base}/outcomes/{place}")
+        hits(told, pack).write.mode("overwrite").parquet(f"{base}/detections/{place}")
+        told.filter("error").select("tenant_id", "event_id", "event_time", "rule_id").write.mode("overwrite").parquet(f"{base}/evaluation_errors/{place}")
+        counts = spark.createDataFrame([("detection", k, v) for k, v in seen.get.items()], "stage string, outcome string, n long")
+        counts.write.mode("overwrite").parquet(f"{base}/metrics/{place}")
         normalized.unpersist()
 
     return stream_batches(spark, raw).writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()

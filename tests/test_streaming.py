@@ -75,6 +75,8 @@ def test_event_job_from_files_to_detections(spark, tmp_path):
     jobs.run_events(spark, raw, base, lambda: pack).awaitTermination(300)
     assert spark.read.parquet(f"{base}/events").count() == 200
     hits = spark.read.parquet(f"{base}/detections")
+    counts = {r.outcome: r.n for r in spark.read.parquet(f"{base}/metrics").groupBy("outcome").agg(F.sum("n").alias("n")).collect()}
+    assert counts["hits"] == 5 and counts["errors"] == 0 and counts["evaluated"] > 200 and spark.read.parquet(f"{base}/evaluation_errors").isEmpty()
     assert hits.count() == 5 and hits.select("event_id").distinct().count() == 5
 
 
@@ -86,7 +88,7 @@ def test_a_batch_that_died_after_its_events_makes_its_detections(spark, tmp_path
     def dies(*_, **__):
         raise RuntimeError("lost")
     with monkeypatch.context() as m:
-        m.setattr(jobs, "detect", dies)
+        m.setattr(jobs, "evaluate", dies)
         with pytest.raises(Exception, match="lost"):
             jobs.run_events(spark, raw, base, lambda: pack).awaitTermination(300)
     assert spark.read.parquet(f"{base}/events").count() == 200

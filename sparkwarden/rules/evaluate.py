@@ -56,7 +56,9 @@ def evaluate(events: DataFrame, pack: Pack, *, disabled: DataFrame | None = None
             on = r.gate(F.col("event_class"), F.col("schema_version")) & ~F.array_contains("_off", r.id)
             by_rule.append(F.when(on, F.struct(F.lit(r.id).alias("rule_id"), attempt(said).alias("said"))))
         tried = F.when(F.col("event_class") == of, F.array(*by_rule)).otherwise(tried)
-    rows = events.select("tenant_id", "event_id", "event_time", text("host.hostname").alias("entity_hostname"), text("user.name").alias("_user"), F.explode(tried).alias("_o")).filter("_o is not null")
+    # The outer form, as the plain one would add a filter on the array's size that works all rules out a second time.
+    rows = events.select("tenant_id", "event_id", "event_time", text("host.hostname").alias("entity_hostname"), text("user.name").alias("_user"), tried.alias("_tried"))
+    rows = rows.withColumn("_o", F.explode_outer("_tried")).filter("_o is not null")
     matched = F.coalesce(F.col("_o.said") != "", F.lit(False))
     key = F.when(F.startswith(F.col("_o.said"), F.lit("==")), F.substr(F.col("_o.said"), F.lit(3)))
     return rows.select("tenant_id", "event_id", "event_time", "_o.rule_id", matched.alias("matched"), F.col("_o.said").isNull().alias("error"), key.alias("entity_key"), F.when(matched, F.col("_user")).alias("_user"), "entity_hostname")

@@ -103,3 +103,4 @@ def test_outcomes_are_one_scan_in_generated_code(spark, pack):
     e = events(spark, ROWS)
     plan = evaluate.evaluate(e, pack)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Generate explode") == 1 and "*(1) Generate" in plan
+    assert plan.count("raise_error") == 1 and plan.count("tryeval") == 3  # no rule is worked out twice

@@ -1,4 +1,4 @@
-"""Sources and sinks: raw batches, stream envelopes, document store, dead letters, audit log, event buffer, seed tables."""
+"""Sources and sinks: raw batches, stream envelopes, document store, dead letters, audit log, seed tables."""
 
 from __future__ import annotations
 
@@ -110,15 +110,6 @@ def audit_rows(rows: DataFrame, actor: Column, action_type: Column, target: Colu
     return rows.withColumns({"before": value("before"), "after": value("after")}).drop("_before", "_after")
 
 
-def read_buffer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Lines `<20 digits> <json>` of a buffer's segments -> (events by class folder and segment with seq, corrupt lines)."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1).alias("class"), F.regexp_extract(F.input_file_name(), r"/([^/]+)$", 1).alias("segment"))
-    body = F.substring("value", 22, 1 << 30)
-    good = F.col("value").rlike(r"^[0-9]{20} \{") & F.try_parse_json(body).isNotNull()
-    rows = lines.filter(good).select(F.substring("value", 1, 20).cast("bigint").alias("seq"), "class", "segment", body.alias("body"), F.octet_length("value").alias("bytes"))
-    return rows, lines.filter(~good)
-
-
 def plan_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(schema.PLAN_CONFIG, "plan_id string, key string, value string")
 

@@ -350,3 +350,32 @@ def test_ulids_sort_by_time(spark):
     for c in ids[3]:
         value = value * 32 + alphabet.index(c)
     assert value >> 80 == int(rows[3][0].replace(tzinfo=rows[3][0].tzinfo or timezone.utc).timestamp() * 1000) and value & ((1 << 80) - 1) == int(hashlib.sha256(b"s3").hexdigest()[:20], 16)
+
+
+def test_correlation_makes_no_more_than_its_pairs_and_shuffles_none_of_them(spark):
+    """Two rules with 300 alerts each on one host: 60,000 pairs and more, while what is shuffled are alerts and hits."""
+    rows = [hit(rule, m / 10, f"{rule}-{k}-{m}", entity=f"e{k}") for rule in ("r1", "r2") for k in range(300) for m in (k, k + 3, k + 100)]
+    df = spark.createDataFrame(rows, HITS)
+    when = {}
+    for _, rule, entity, _, at, *_ in rows:
+        when.setdefault((rule, entity), []).append(at)
+    expected = {}
+    for a, own in when.items():
+        for b, seen in when.items():
+            last = max((t for t in seen if t <= min(own)), default=None)
+            if a[0] != b[0] and last and last >= min(own) - timedelta(minutes=30):
+                expected[a, b] = last
+    pairs = alerts.candidates(alerts.alerts(df), alerts.alert_events(df), carry=("entity_key",))
+    got = [((r.rule_id, r.entity_key), (r.other_rule, r.other_entity_key), r.other_last) for r in pairs.collect()]
+    assert len(got) == len(expected) > 40_000 and {(a, b): t for a, b, t in got} == expected
+    plan = lambda q: q._jdf.queryExecution().optimizedPlan().toString()
+    above = plan(pairs).split("(entity_hostname#")[0]  # all that is done after the join on tenant, host and slot
+    assert above.count("Join") == 1 and "Aggregate" not in above and "Window" not in above
+
+
+def test_correlation_finds_hits_within_long_runs(spark):
+    """Many hits of one alert in a slot: the last one before another alert opens is found among them, and over the slot's end."""
+    df = spark.createDataFrame([hit("r1", k / 10, f"a{k}") for k in range(400)] + [hit("r2", m, f"b{m}", entity=f"x{m}") for m in (0, 0.05, 3.25, 29.95, 30, 39.9, 69.9, 69.95)], HITS)
+    pairs = alerts.candidates(alerts.alerts(df), alerts.alert_events(df), carry=("entity_key",)).filter("rule_id = 'r2'")
+    got = {r.entity_key[1:]: round((r.other_last - T0).total_seconds() / 6) for r in pairs.collect()}
+    assert got == {"0": 0, "0.05": 0, "3.25": 32, "29.95": 299, "30": 300, "39.9": 399, "69.9": 399}

@@ -371,6 +371,7 @@ def test_correlation_makes_no_more_than_its_pairs_and_shuffles_none_of_them(spar
     plan = lambda q: q._jdf.queryExecution().optimizedPlan().toString()
     above = plan(pairs).split("(entity_hostname#")[0]  # all that is done after the join on tenant, host and slot
     assert above.count("Join") == 1 and "Aggregate" not in above and "Window" not in above
+    assert "NOT (rule_id#" not in plan(alerts.correlation_groups(alerts.alerts(df), alerts.alert_events(df)))  # no pairs
 
 
 def test_correlation_finds_hits_within_long_runs(spark):

@@ -71,13 +71,16 @@ class Buffer:
         """Lines with their parts; a torn end is a line of its own."""
         # Cut as bytes, one character each: split() would put U+FFFD for what is no UTF-8, a torn character for one.
         parts = F.split(F.decode("content", "ISO-8859-1"), "\n", -1)
-        lines = self.files().select("append", "class", "segment", F.size(parts).alias("_n"), F.posexplode(parts).alias("_k", "line"))
+        # The end is marked within the array: what is told of a segment beside its lines is worked out again for each line.
+        marked = lambda line, torn: F.struct(line.alias("line"), F.lit(torn).alias("torn"))
+        whole = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda line: marked(line, False))
+        lines = self.files().select("append", "class", "segment", F.inline(F.concat(whole, F.array(marked(F.element_at(parts, -1), True)))))
         lines = lines.withColumn("line", F.encode("line", "ISO-8859-1").cast("string"))
-        torn = F.col("_k") == F.col("_n") - 1
+        torn = F.col("torn")
         body = F.substring("line", 22, 1 << 30)
         ok = F.is_valid_utf8("line") & F.rlike("line", F.lit(r"^[0-9]{20} \{")) & F.try_parse_json(F.when(F.is_valid_utf8("line"), body)).isNotNull()
         seq = F.when(ok, F.substring("line", 1, 20).try_cast("bigint"))
-        return lines.filter(~torn | (F.col("line") != "")).select("append", "class", "segment", torn.alias("torn"), F.when(~torn, seq).alias("seq"), body.alias("body"), (F.octet_length("line") + 1).cast("long").alias("bytes"))
+        return lines.filter(~torn | (F.col("line") != "")).select("append", "class", "segment", "torn", F.when(~torn, seq).alias("seq"), body.alias("body"), (F.octet_length("line") + 1).cast("long").alias("bytes"))
 
     def events(self) -> DataFrame:
         """All whole events that are stored: append, class, segment, seq, body, bytes."""

@@ -94,3 +94,11 @@ def test_a_full_buffer_sheds_the_oldest_of_the_class_that_matters_least(spark, t
     with pytest.raises(ValueError):
         b.append(events(spark, 100, 50), "4", ["id"])
     assert ids(b.events()) == kept
+
+
+def test_a_segment_is_cut_once_and_not_for_each_line(spark, tmp_path):
+    b = Buffer(spark, str(tmp_path / "b"))
+    b.append(events(spark, 0, 3), "1", ["id"])
+    plan = b.events()._jdf.queryExecution().optimizedPlan().toString()
+    above, generate = plan.split("Generate ", 1)
+    assert "split(" not in above and "content" not in above and "split(" in generate.splitlines()[0]

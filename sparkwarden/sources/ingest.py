@@ -36,8 +36,9 @@ def admit_bodies(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     events = F.try_variant_get("_v", "$.events", "array<variant>")
     rows = parsed.withColumn("events", events)
     code = F.when(F.octet_length("body") > MAX_BATCH_BYTES, "BATCH_TOO_LARGE").when(F.col("events").isNull(), "BODY_MALFORMED").when(F.size("events") > MAX_BATCH_EVENTS, "TOO_MANY_EVENTS")
-    rows = rows.withColumn("code", code).drop("_v")
-    return rows.filter("code is null").drop("code"), rows.filter("code is not null")
+    # `_row` keeps the filters above, as pushed below they would read each body again for each use of its events.
+    rows = rows.withColumn("code", code).drop("_v").withColumn("_row", F.monotonically_increasing_id())
+    return rows.filter("code is null and _row >= 0").drop("code", "_row"), rows.filter("code is not null and _row >= 0").drop("_row")
 
 
 def to_envelope(rows: DataFrame, payload: list[str]) -> DataFrame:

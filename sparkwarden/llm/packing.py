@@ -16,7 +16,7 @@ no rows. Other columns are not read. A very long text is encoded in parts; only
 from __future__ import annotations
 
 import json
-import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,92 +30,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkwarden.llm.bpe import HIGH, TrieBpe, parts
+from sparkwarden.llm.bpe import HIGH, SPACE, TOKEN_BITS, TrieBpe, byte_symbols, low_class, parts
 from sparkwarden.llm.common import materialize, release_memory
+from sparkwarden.llm.merges import WIDTHS, Merges, places
 from sparkwarden.session import ship_package
 
 #: Tokens of a sequence, the id that ends each document, and rows of a shard.
 WINDOW, END_ID, SHARD_ROWS = 2048, 1, 2048
 #: BM25's saturation of term frequencies and weight of lengths.
 K1, B = 1.2, 0.75
-#: Distinct words and chunks between spaces that a worker remembers of each of two generations, words that the library
-#: encodes at once, and characters of texts whose chunks are looked up together.
-WORDS_KEPT, WORDS_AT_ONCE, GROUP_CHARS = 500_000, 4_000, 4_000_000
+#: Characters of texts whose chunks between spaces are encoded together.
+GROUP_CHARS = 4_000_000
+#: The pattern of words that are runs of a kind, and the kinds.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACES, LETTER, NUMBER, OTHER = range(4)
 
 
 class LibraryWords(TrieBpe):
-    """Splits texts as TrieBpe does, and lets the library encode each distinct word. Words are sent many at a time: each
-    ends with a token that only ends words, so their ids are told apart again."""
+    """Gives texts the ids that the library gives. Of a group of texts only the distinct chunks between spaces are split into
+    words and encoded, all of them at once in arrays; the library's own merges encode very long words."""
 
     def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__(vocabulary)
-        # Words are normal already, and marks that lower case has made would be put in another order if they were made so again.
-        self.library = Tokenizer.from_str(json.dumps(json.loads(vocabulary) | {"normalizer": None, "added_tokens": []}))
-        self.ends_word = np.zeros(1 + max(self.strings), bool)
-        self.ends_word[[i for i, s in self.strings.items() if s.endswith(self.suffix)]] = True
-        self.special_ids = {i: i.to_bytes(4, "little") for i in self.special.values()}
-        self.known = dict(self.special_ids)
+        if any(c.isspace() for c in "".join(self.special)):
+            raise ValueError("special tokens must have no space")
+        symbols = byte_symbols()
+        pairs = {(pair >> TOKEN_BITS, pair & (1 << TOKEN_BITS) - 1): k for pair, k in self.rank.items()}
+        merged = np.zeros(len(self.rank), np.int32)
+        for token, k in enumerate(self.made):
+            if k >= 0:
+                merged[k] = token
+        self.merges = Merges(pairs, merged, np.array([self.ids[c] for c in symbols]), np.array([self.ids[c + self.suffix] for c in symbols]))
+        self.library, self.symbols = Tokenizer.from_str(vocabulary).model, symbols
+        # The kind of each code point below U+0300, if words are runs of a kind.
+        pattern = next(p["pattern"]["Regex"] for p in json.loads(vocabulary)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.kinds = None
+        if pattern == RUNS:
+            self.kinds = np.full(0x300, OTHER, np.uint8)
+            for kind, own in ((LETTER, low_class("L")), (NUMBER, low_class("N")), (SPACES, re.findall(f"[{SPACE}]", "".join(map(chr, range(0x300)))))):
+                self.kinds[[ord(c) for c in own if ord(c) < 0x300]] = kind
 
     def _plant_suffixes(self) -> None:
-        """No automaton: the library knows the merges."""
-
-    def ids_of(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), WORDS_AT_ONCE):
-            some = words[k : k + WORDS_AT_ONCE]
-            ids = self.ids_of(" ".join(some))
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(some):
-                data, at = ids.tobytes(), (ends * 4).tolist()
-                self.known.update(zip(some, (data[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)), strict=True))
-            else:  # a word that the library would split again
-                self.known.update((w, self.ids_of(w).tobytes()) for w in some)
-
-    def know(self, words: set[str]) -> None:
-        """Have the ids of all these words in `known`; words of the older generation that come again are taken over."""
-        if len(self.known) > WORDS_KEPT:
-            self.known, self.older = dict(self.special_ids), self.known
-        fresh = words.difference(self.known)
-        again = [w for w in fresh if w in self.older]
-        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        self.learn(list(fresh.difference(again)))
-
-    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct texts without a space, in lower case. They are remembered as words are; most are words."""
-        out = list(map(self.known.get, chunks))
-        words: set[str] = set()
-        mixed: dict[int, list[str]] = {}
-        missing = [k for k, ids in enumerate(out) if ids is None]
-        for k in missing:
-            chunk = chunks[k]
-            if chunk.isalpha() or chunk in self.older:
-                words.add(chunk)
-            else:
-                mixed[k] = self.split.findall(chunk)
-                words.update(mixed[k])
-        self.know(words)
-        for k, own in mixed.items():
-            self.known[chunks[k]] = b"".join(map(self.known.__getitem__, own))
-        for k in missing:
-            out[k] = self.known[chunks[k]]
-        return out
-
-    def encode_plain(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts in lower case. Pre-tokens never span a space, so only the distinct chunks between spaces are split
-        and looked up; the ids of all of them are then gathered."""
+        """No automaton: merges are made."""
+
+    def word_ids(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, given: dict[int, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places of data, and their number for each word. `given` has the ids of some."""
+        others = dict(given or {})
+        for k in np.flatnonzero(lengths > WIDTHS[-1]).tolist():
+            word = "".join(map(self.symbols.__getitem__, data[starts[k] : starts[k] + lengths[k]].tolist()))
+            others[k] = [t.id for t in self.library.tokenize(word)]
+        if not others:
+            return self.merges.encode(data, starts, lengths)
+        counts, short = np.zeros(len(starts), np.int64), np.ones(len(starts), bool)
+        short[list(others)] = False
+        own, counts[short] = self.merges.encode(data, starts[short], lengths[short])
+        for k, ids in others.items():
+            counts[k] = len(ids)
+        ends = np.cumsum(counts)
+        out = np.zeros(int(counts.sum()), np.int32)
+        out[places((ends - counts)[short], counts[short])] = own
+        for k, ids in others.items():
+            out[ends[k] - counts[k] : ends[k]] = ids
+        return out, counts
+
+    def listed_ids(self, words: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words, of which numbers are special tokens, and their number for each word."""
+        coded = [w.encode() if isinstance(w, str) else b"" for w in words]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        special = {k: [words[k]] for k in np.flatnonzero(lengths == 0).tolist()}
+        return self.word_ids(np.frombuffer(b"".join(coded), np.uint8), np.cumsum(lengths) - lengths, lengths, special)
+
+    def runs(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, chunk) of the words of chunks that have no apostrophe and no code point from U+0300 on, and the
+        numbers of the other chunks."""
+        lengths = np.diff(bounds)
+        if self.kinds is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.flatnonzero(lengths)
+        chunk = np.repeat(np.arange(len(lengths)), lengths)
+        odd = np.zeros(len(lengths), bool)
+        odd[chunk[np.flatnonzero((data == ord("'")) | (data >= 0xCC))]] = True
+        kind = self.kinds[data]  # wrong for what is not ASCII
+        inner = data >> 6 == 2
+        second = np.flatnonzero(inner & ~odd[chunk])
+        kind[second] = kind[second - 1] = self.kinds[(data[second - 1].astype(np.int64) & 31) << 6 | data[second] & 63]
+        starts = np.concatenate([[True], (kind[1:] != kind[:-1]) | (chunk[1:] != chunk[:-1])])[: len(data)] | (kind == NUMBER)
+        start = np.flatnonzero(starts & ~inner)
+        length = np.diff(np.append(start, len(data)))
+        word = (kind[start] != SPACES) & ~odd[chunk[start]]
+        return start[word], length[word], chunk[start[word]], np.flatnonzero(odd)
+
+    def chunk_ids(self, chunks: pa.StringArray, full: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without a space, and their number for each. They are in lower case, or split by the full rules."""
+        if full:
+            start = length = chunk = np.zeros(0, np.int64)
+            data, odd, split = np.zeros(0, np.uint8), np.arange(len(chunks)), self.pieces
+        else:
+            _, offsets, data = chunks.buffers()
+            bounds = np.frombuffer(offsets, np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
+            data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+            start, length, chunk, odd = self.runs(data, bounds - bounds[0])
+            split = self.split.findall
+        ids, n = self.word_ids(data, start, length)
+        if len(odd):
+            words = [split(c) for c in chunks.take(pa.array(odd)).to_pylist()]
+            more, of_each = self.listed_ids(list(chain.from_iterable(words)))
+            ids, n = np.concatenate([ids, more]), np.concatenate([n, of_each])
+            chunk = np.concatenate([chunk, np.repeat(odd, [len(w) for w in words])])
+            order = np.argsort(chunk, kind="stable")
+            ids, n, chunk = ids[places((np.cumsum(n) - n)[order], n[order])], n[order], chunk[order]
+        return ids, np.bincount(chunk, weights=n, minlength=len(chunks)).astype(np.int64)
+
+    def encode_parts(self, parts: list[str], full: bool) -> list[bytes]:
+        """Ids of parts. Pre-tokens never span a space, so only the distinct chunks between spaces are split and encoded; the
+        ids of all of them are then gathered."""
         lists = pc.split_pattern(pa.array(parts, pa.string()), " ")
         coded = lists.flatten().dictionary_encode()
-        ids = self.chunk_ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        tokens, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        tokens, lengths = self.chunk_ids(coded.dictionary, full)
         at = coded.indices.to_numpy()
         n = lengths[at]
-        ends = np.cumsum(n)
-        every = tokens[np.repeat(starts[at] - (ends - n), n) + np.arange(n.sum())]
-        bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets)]
+        every = tokens.astype("<u4")[places((np.cumsum(lengths) - lengths)[at], n)]
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.asarray(lists.offsets)]
         return [every[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -123,23 +157,20 @@ class LibraryWords(TrieBpe):
         GROUP_CHARS characters are held as chunks. Parts that may hold a special token, or code points that combine, are
         split by the vocabulary's full rules."""
         out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[list[bytes], int, str]] = []
+        held: dict[bool, list[tuple[list[bytes], int, str]]] = {False: [], True: []}
         size = 0
 
         def flush() -> None:
-            if held:
-                for (own, k, _), ids in zip(held, self.encode_plain([p for _, _, p in held]), strict=True):
-                    own[k] = ids
-                held.clear()
+            for full, some in held.items():
+                if some:
+                    for (own, k, _), ids in zip(some, self.encode_parts([p for _, _, p in some], full), strict=True):
+                        own[k] = ids
+                    some.clear()
 
         for own, text in zip(out, texts, strict=True):
             for part in parts(text):
-                if "<|" in part or not part.isascii() and HIGH.search(part):
-                    words = self.pieces(part)
-                    self.know(set(words))
-                    own.append(b"".join(map(self.known.__getitem__, words)))
-                    continue
-                held.append((own, len(own), part.lower().replace("\n", " ")))
+                full = "<|" in part or not part.isascii() and HIGH.search(part) is not None
+                held[full].append((own, len(own), (part if full else part.lower()).replace("\n", " ")))
                 own.append(b"")
                 size += len(part)
                 if size >= GROUP_CHARS:

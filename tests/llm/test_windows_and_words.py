@@ -160,6 +160,22 @@ def test_words_of_the_library():
     assert all(np.frombuffer(x, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids for x, t in zip(ids, texts, strict=True))
 
 
+def test_words_are_merged_in_arrays():
+    """Words of up to 64 bytes get the library's ids without a call of it for each; longer ones are the library's."""
+    coder, library = packing.LibraryWords(open(P.path("word_bpe_49k.json")).read()), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    runs = ["".join(rng.choice("etaoinschrpméü") for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    texts = [" ".join(rng.choice(runs) + rng.choice(["", "", ",", ".", "'s", "12", "&&&", "\t", "\xa0é"]) for _ in range(50)) for _ in range(200)]
+    texts += [c * n for c in ("a", "é", "th", "1", "!", "'") for n in (1, 2, 31, 32, 33, 63, 64)]
+    want = lambda t: library.encode(t, add_special_tokens=False).ids
+    for long in ("x" * 65, "thé" * 5000):
+        assert np.frombuffer(coder.encode_batch([long, "a " + long + " b"])[1], "<u4").tolist() == want("a " + long + " b")
+    coder.library = None
+    short = [t for t in texts if max(len(w.encode()) for w in t.split(" ")) <= 64]
+    ids = coder.encode_batch(short)
+    assert len(short) > 200 and all(np.frombuffer(x, "<u4").tolist() == want(t) for x, t in zip(ids, short, strict=True))
+
+
 def brute_fill(rows, weight, mean):
     """The windows of one shard by scoring every unused row."""
     tf = [Counter(r) for r in rows]

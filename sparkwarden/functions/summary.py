@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+from itertools import groupby
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,38 +46,71 @@ BLOB_LIKE = r"[A-Za-z0-9+/=]{40,}|\b[0-9a-fA-F]{32,}\b"
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE00}-\x{FE0F}]"
 
 
+def stems(pattern: str) -> list[str]:
+    """Beginnings of words of which each match of a JARGON pattern holds one: what stands after each \\b up to what may be
+    lacking or differ, or to the word's end."""
+    return re.findall(r"\\b([a-z0-9]+?)(?=.[?*]|[^a-z0-9]|$)", pattern)
+
+
+_STEMS = {name: stems(p) for name, p in JARGON.items()}
+#: Of stems that begin alike the shortest, so that a word is found by one of them only.
+_SHORT = {x: min((y for own in _STEMS.values() for y in own if x.startswith(y)), key=len) for own in _STEMS.values() for x in own}
+_BY_LETTER = "|".join(f"{c}(?:{'|'.join(x[1:] for x in own)})" for c, own in groupby(sorted(set(_SHORT.values())), key=lambda x: x[0]))
+#: The first letters are looked at by themselves: few words begin with a stem.
+STEM = rf"\W(?=[{''.join(sorted({x[0] for x in _SHORT}))}])({_BY_LETTER})"
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), whose value is worked out once however often f uses it: it is bound in a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def summary_errors(summary: Column, hostname: Column, user: Column) -> Column:
-    """Array of what is wrong with a summary; empty for a good one."""
-    lines = F.split(summary, "\n")
-    checks = [F.when(F.size(lines) != 3, F.concat(F.lit(STRUCTURE_ERROR), F.size(lines).cast("string")))]
-    for k, label in enumerate(LABELS):
-        bad = (F.size(lines) == 3) & ~F.get(lines, F.lit(k)).rlike(rf"^{label}\S")
-        checks.append(F.when(bad, F.lit(LINE_ERROR.format(label))))
-    words = F.size(F.filter(F.split(summary, r"\s+"), lambda w: w != ""))
-    checks.append(F.when(words > MAX_WORDS, F.lit(f"length: over {MAX_WORDS} words")))
+    """Array of what is wrong with a summary; empty for a good one. A pattern is tried only where something stands
+    without which it has no match, and which costs less to find: most summaries are good."""
+    long = F.char_length(summary) > 2 * MAX_WORDS  # so many words and what parts them
+    checks = [F.when(long & (F.regexp_count(summary, F.lit(r"\S+")) > MAX_WORDS), F.lit(f"length: over {MAX_WORDS} words"))]
     checks += [F.when(summary.contains(x), F.lit(f"format: banned sequence '{x}'")) for x in FORMAT_DENIED]
-    checks.append(F.when(summary.rlike(EMOJI), F.lit("format: emoji codepoint")))
-    checks += [F.when(summary.rlike(f"(?i){p}"), F.lit(f"jargon: banned term ({name})")) for name, p in JARGON.items()]
+    plain = F.octet_length(summary) == F.char_length(summary)
+    checks.append(F.when(~plain & summary.rlike(EMOJI), F.lit("format: emoji codepoint")))
+    small = F.concat(F.lit(" "), F.lower(summary))
     unglossed = F.filter(F.split(summary, "[.?]"), lambda s: s.rlike(r"(?i)\bphishing\b") & ~s.rlike(r"(?i)\btrick"))
-    blob = F.when(summary.rlike(BLOB_LIKE), F.lit("content: encoded blob or hash reproduced"))
+    long_word = F.exists(F.split(summary, " "), lambda w: F.char_length(w) >= 32)
+    blob = F.when(long_word & summary.rlike(BLOB_LIKE), F.lit("content: encoded blob or hash reproduced"))
     allowed = F.filter(F.array(hostname, user), lambda v: v.isNotNull() & (v != ""))
+    none = F.array().cast("array<string>")
+
+    def structure(lines: Column) -> Column:
+        bad = [(F.size(lines) == 3) & ~F.get(lines, F.lit(k)).rlike(rf"^{label}\S") for k, label in enumerate(LABELS)]
+        of_lines = [F.when(b, F.lit(LINE_ERROR.format(label))) for b, label in zip(bad, LABELS)]
+        return given([F.when(F.size(lines) != 3, F.concat(F.lit(STRUCTURE_ERROR), F.size(lines).cast("string"))), *of_lines])
+
+    def jargon(found: Column) -> Column:
+        told = {name: reduce(or_, [F.array_contains(found, _SHORT[x]) for x in own]) & summary.rlike(f"(?i){JARGON[name]}") for name, own in _STEMS.items()}
+        return where(F.size(found) > 0, given([F.when(t, F.lit(f"jargon: banned term ({name})")) for name, t in told.items()]))
 
     def invented(pattern: str, what: str) -> Column:
         found = F.filter(F.regexp_extract_all(summary, F.lit(pattern), F.lit(0)), lambda t: ~F.array_contains(allowed, t))
         return F.transform(found, lambda t: F.concat(F.lit(ENTITY_ERROR[0].format(what)), t, F.lit(ENTITY_ERROR[1])))
 
     given = lambda checks: F.filter(F.array(*checks), lambda c: c.isNotNull())
-    phishing = F.transform(unglossed, lambda s: F.lit("jargon: 'phishing' without the required gloss"))
-    return F.concat(given(checks), phishing, invented(HOST_LIKE, "hostname"), invented(USER_LIKE, "account"), given([blob]))
+    where = lambda held, errors: F.when(held.isNull() | held, errors).otherwise(none)
+    phishing = where(small.contains("phishing"), F.transform(unglossed, lambda s: F.lit("jargon: 'phishing' without the required gloss")))
+    host, account = where(summary.contains("-"), invented(HOST_LIKE, "hostname")), where(summary.rlike(r"\.[a-z]"), invented(USER_LIKE, "account"))
+    return F.concat(once(F.split(summary, "\n"), structure), given(checks), once(F.regexp_extract_all(small, F.lit(STEM), F.lit(1)), jargon), phishing, host, account, given([blob]))
 
 
 def read_answer(answer: Column) -> Column:
     """(summary, ai_severity) of a model's answer: a fence goes, the outermost braces hold JSON with both; else null."""
-    bare = F.regexp_replace(F.trim(answer), r"(?s)^```[a-zA-Z]*\n?|```$", "")
+    bare = F.when(answer.contains("```"), F.regexp_replace(F.trim(answer), r"(?s)^```[a-zA-Z]*\n?|```$", "")).otherwise(answer)
     body = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(F.when(body != "", body), "summary string, ai_severity string")
-    good = (F.length(F.trim(parsed["summary"])) > 0) & F.lower(parsed["ai_severity"]).isin("low", "medium", "high", "critical")
-    return F.when(good, F.struct(parsed["summary"].alias("summary"), F.lower(parsed["ai_severity"]).alias("ai_severity")))
+    parsed = F.from_json(body, "summary string, ai_severity string")
+
+    def checked(p: Column) -> Column:
+        good = (F.length(F.trim(p["summary"])) > 0) & F.lower(p["ai_severity"]).isin("low", "medium", "high", "critical")
+        return F.when(good, F.struct(p["summary"].alias("summary"), F.lower(p["ai_severity"]).alias("ai_severity")))
+
+    return once(parsed, checked)
 
 
 def fake_summary(hostname: Column, user: Column, count: Column, at: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.summary import fake_summary, read_answer, summary_errors, tokens_estimate
 from sparkwarden.operators.alerts import rescore
-from sparkwarden.operators.queue import context_document
+from sparkwarden.operators.queue import with_context
 from sparkwarden.operators.usage import running_budget
 
 DAILY_TOKENS = 2_000_000
@@ -37,8 +37,9 @@ def triage(alerts: DataFrame, links: DataFrame, events: DataFrame, scorer: Score
     Each try costs the tokens that go in and come out; skipped alerts cost nothing. Spending only grows, so the alerts
     that are let through are the first ones of a day, up to the one that used the budget up. Alerts whose predecessors'
     contexts alone are over it are not asked at all."""
-    rows = alerts.join(context_document(alerts, links, events), ["tenant_id", "alert_id"]).withColumn("_in", tokens_estimate(F.col("context")))
-    rows = running_budget(rows, ["tenant_id"], "last_seen", "alert_id", F.col("_in"), daily_tokens).withColumnRenamed("allowed", "_asked").drop("spent_before")
+    rows = with_context(alerts, links, events).withColumns({"_in": tokens_estimate(F.col("context")), "_day": F.to_date("last_seen")})
+    # Both budgets go by this day: what is dealt and sorted for the first stays so for the second.
+    rows = running_budget(rows, ["tenant_id"], "last_seen", "alert_id", F.col("_in"), daily_tokens, "_day").withColumnRenamed("allowed", "_asked").drop("spent_before")
 
     def attempt(df: DataFrame, ask: Scorer, name: str, asked: Column, given: Column) -> DataFrame:
         read = df.withColumn("_own", F.col("context")).withColumn("context", F.when(asked, given)).withColumn(f"_text_{name}", ask(F.col("context")))
@@ -53,7 +54,7 @@ def triage(alerts: DataFrame, links: DataFrame, events: DataFrame, scorer: Score
     rows = attempt(rows, again or scorer, "second", F.col("_asked") & ~F.col("_good_first"), corrected)
     out = F.coalesce(tokens_estimate(F.col("_text_first")), F.lit(0)) + F.coalesce(tokens_estimate(F.col("_text_second")), F.lit(0))
     rows = rows.withColumn("tokens_in", F.col("_in_first") + F.col("_in_second")).withColumn("tokens_out", out)
-    rows = running_budget(rows, ["tenant_id"], "last_seen", "alert_id", F.col("tokens_in") + F.col("tokens_out"), daily_tokens)
+    rows = running_budget(rows, ["tenant_id"], "last_seen", "alert_id", F.col("tokens_in") + F.col("tokens_out"), daily_tokens, "_day")
     allowed = F.col("allowed") & F.col("_asked")
     answer = F.when(allowed, F.when(F.col("_good_first"), F.col("_answer_first")).when(F.col("_good_second"), F.col("_answer_second")))
     outcome = F.when(~allowed, "over_budget").when(answer.isNull(), "invalid").otherwise("ok")

@@ -47,9 +47,10 @@ def admit_by_quota(requests: DataFrame, keys: list[str], at: str, order: str, li
     return requests.withColumn("admitted", (limit < 0) | (n <= limit))
 
 
-def running_budget(calls: DataFrame, keys: list[str], at: str, order: str, tokens: Column, cap: int) -> DataFrame:
-    """calls with what their day had spent before them, and whether that leaves room."""
-    before = Window.partitionBy(*keys, F.to_date(at)).orderBy(at, order).rowsBetween(Window.unboundedPreceding, -1)
+def running_budget(calls: DataFrame, keys: list[str], at: str, order: str, tokens: Column, cap: int, day: str | None = None) -> DataFrame:
+    """calls with what their day had spent before them, and whether that leaves room. `day`: a column of calls that holds
+    the date of `at`, by which rows that are dealt and sorted already stay so."""
+    before = Window.partitionBy(*keys, F.to_date(at) if day is None else day).orderBy(at, order).rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum(tokens).over(before), F.lit(0))
     return calls.withColumn("spent_before", spent).withColumn("allowed", spent < cap)
 

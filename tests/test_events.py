@@ -380,3 +380,27 @@ def test_correlation_finds_hits_within_long_runs(spark):
     pairs = alerts.candidates(alerts.alerts(df), alerts.alert_events(df), carry=("entity_key",)).filter("rule_id = 'r2'")
     got = {r.entity_key[1:]: round((r.other_last - T0).total_seconds() / 6) for r in pairs.collect()}
     assert got == {"0": 0, "0.05": 0, "3.25": 32, "29.95": 299, "30": 300, "39.9": 399, "69.9": 399}
+
+
+def test_summary_checks_tell_what_their_patterns_tell(spark):
+    """Whatever is looked for first: banned terms in every form, with odd neighbours and case, next to and within each other."""
+    import itertools
+    import re
+    forms = """lateral movement|c2|command and control|command-and-control|beacon|beaconing|beacons|callback|callbacks|exfiltration|exfiltrated|persistence|privilege escalation|
+        credential dumping|credential access|brute force|brute-forcing|payload|payloads|dropper|droppers|implants|rat|rats|reverse shell|shell access|obfuscated|encoded|process injection|
+        living off the land|lolbin|lolbins|enumerates|recon|discovery|ioc|iocs|indicator|indicators|threat actor|threat actors|adversary|adversaries|ttp|ttps|endpoint|endpoints|host|hosts|
+        compromised|mitigate|remediation|exploits|zero-day|zero days|cve-2024|process|command|shell|rating|hosting|encodedx|c25|reverse shell access|credential host|phishing|phishing tricks"""
+    forms = [f.strip() for f in forms.split("|")]
+    around = ["{}", "{}.", "x{}", "({})", "-{}", "é{}", "{}é", "_{}", "{}\n", "a {}, {} b", "™{}", "K{}", "İ{}", "1{}", "sam {}?"]
+    texts = [a.format(f, f) for f in forms for a in around] + [a.format(f.upper(), f.title()) for f in forms for a in around[:6]] + [f"{a} {b}" for a, b in itertools.product(forms[::3], forms[::2])]
+    texts += ["w " * n for n in (119, 120, 121, 122)] + ["a b " * 70, "x" * 31, "x" * 39, "x" * 40, "see " + "A" * 40 + ".", "ab" * 16, "ab " * 16, "✨ ok", "\U0001f600", "fin-laptop-08 and fin-laptop-07", "bob.smith", "Bob.smith", "a.b", "a. b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    for r in df.select("k", "s", summary.summary_errors(F.col("s"), F.lit("fin-laptop-07"), F.lit("sam")).alias("e"), F.array(*[F.col("s").rlike(f"(?i){p}") for p in summary.JARGON.values()]).alias("j"), F.col("s").rlike(summary.EMOJI).alias("emoji"), F.col("s").rlike(summary.BLOB_LIKE).alias("blob"), F.expr(r"exists(split(s, '[.?]'), x -> x rlike '(?i)\\bphishing\\b' and not x rlike '(?i)\\btrick')").alias("p"), F.regexp_extract_all("s", F.lit(summary.HOST_LIKE), F.lit(0)).alias("h"), F.regexp_extract_all("s", F.lit(summary.USER_LIKE), F.lit(0)).alias("u")).collect():
+        assert [e for e in r.e if "banned term" in e] == [f"jargon: banned term ({n})" for n, found in zip(summary.JARGON, r.j) if found], r.s
+        assert (any("emoji" in e for e in r.e), any("blob" in e for e in r.e), any("gloss" in e for e in r.e)) == (r.emoji, r.blob, r.p), r.s
+        assert sum(e.startswith("entity:") for e in r.e) == sum(t not in ("fin-laptop-07", "sam") for t in r.h + r.u), r.s
+        assert any(e.startswith("length:") for e in r.e) == (len([w for w in re.split(r"[ \t\n\x0b\f\r]+", r.s) if w]) > 120), r.s
+    answers = ["", "no", "{}", '{"summary":"s","ai_severity":"LOW"}', '```json\n{"summary":"s","ai_severity":"low"}\n```', 'so: {"summary":"s","ai_severity":"low"} yes', '{"summary":" ","ai_severity":"low"}', '{"summary":"s","ai_severity":"x"}', '{"summary":"s"', None]
+    got = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, a string").select("k", summary.read_answer(F.col("a")).alias("r"))
+    assert {r.k: r.r and tuple(r.r) for r in got.collect()} == {k: ("s", "low") if k in (3, 4, 5) else None for k in range(len(answers))}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1

@@ -404,3 +404,24 @@ def test_summary_checks_tell_what_their_patterns_tell(spark):
     got = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, a string").select("k", summary.read_answer(F.col("a")).alias("r"))
     assert {r.k: r.r and tuple(r.r) for r in got.collect()} == {k: ("s", "low") if k in (3, 4, 5) else None for k in range(len(answers))}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_correlation_asks_of_pairs_what_generated_code_can_tell(spark):
+    """Of many hits in a slot, some at one time and at that of an opening; the join and all above it have no lambda."""
+    rng = random.Random(5)
+    rows = [hit(rule, m, f"{rule}-{e}-{k}", entity=f"{rule}{e}") for rule in ("r1", "r2", "r3") for e in range(6) for k, m in enumerate(sorted(rng.choice(range(400)) / 4 + (80 * e if k > 60 else 0) for k in range(90)))]
+    df = spark.createDataFrame(rows, HITS)
+    own = {}
+    for a in alerts.sessions(df, alerts.KEY, "event_time", ["event_id"]).collect():
+        own.setdefault((a.rule_id, a.entity_key, a.session), []).append(a.event_time)
+    expected = {}
+    for a, seen in own.items():
+        for b, others in own.items():
+            last = max((t for t in others if t <= min(seen)), default=None)
+            if a[0] != b[0] and last and last >= min(seen) - timedelta(minutes=30):
+                expected[a, b] = last
+    pairs = alerts.candidates(alerts.alerts(df), alerts.alert_events(df), carry=("entity_key", "session"))
+    got = [((r.rule_id, r.entity_key, r.session), (r.other_rule, r.other_entity_key, r.other_session), r.other_last) for r in pairs.collect()]
+    assert len(got) == len(expected) > 50 and {(a, b): t for a, b, t in got} == expected
+    lines = pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("lambda" in line for line in lines[:next(k for k, line in enumerate(lines) if "Join" in line) + 1])
